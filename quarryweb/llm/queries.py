@@ -1,7 +1,9 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
+from quarryweb.llm.packing import op2_best_fit_packing
 from quarryweb.llm.secrets import op1_secret_scan
+from quarryweb.llm.tokfile import op10_token_files
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan,)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op10_token_files)}
 
 ORACLE_SQL: dict[str, str] = {}
