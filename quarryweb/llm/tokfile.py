@@ -153,7 +153,7 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
             for batch in (b for part in ([first], batches) for b in part):
                 yield from zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1)), strict=True)
 
-        with store.open_output_stream(f"{folder}/{name}") as out:
+        with store.open_output_stream(f"{folder}/{name}", compression=None) as out:
             n, ids = write_shard(out, documents(), frame_bytes)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([context.partitionId()], pa.int32()), "file": [name], "n_docs": [n], "n_ids": [ids]})
 
