@@ -30,12 +30,12 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
         known = self.known
-        if new := set(words) - known.keys():
+        distinct = set(words)
+        if new := [w for w in distinct if w not in known]:
             if len(known) + len(new) > self.kept:
                 known.clear()
                 known[""] = b""
-                new = set(words) - known.keys()
-            new = list(new)
+                new = [w for w in distinct if w]
             for at in range(0, len(new), 2000):
                 part = new[at : at + 2000]
                 for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
