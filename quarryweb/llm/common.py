@@ -49,6 +49,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts get at most so many rows, so that a Python worker holds a few MB of them at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that df does not have."""
     have = {c.lower() for c in df.columns}

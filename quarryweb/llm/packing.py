@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryweb.llm.common import table, whole_text, written
+from quarryweb.llm.common import bounded_batches, table, whole_text, written
 from quarryweb.llm.tokens import token_ids
 
 CAPACITY = 2048
@@ -234,6 +234,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts are the end id alone. Ids may be null or repeat.
     """
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     cut = pieces(rows, token_ids(F.col("_text"), end_id), capacity).drop("_text")
     cut = cut.select(id_col, "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))

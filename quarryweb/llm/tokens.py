@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -9,45 +12,98 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Latin-1 letters, then ASCII signs other than the apostrophe: the vocabulary's splitter always parts these two.
+_PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+#: The splitter that makes this so, as the vocabulary file has it.
+_SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordEncoder:
     """Encodes a text word by word and keeps the ids of recent words.
 
     The vocabulary drops white space and never merges across it, so a text's
     ids are those of its parts between spaces and line feeds, joined. Each new
-    part goes through the tokenizers library once; at most `kept` parts stay
-    in memory, after which the store starts anew.
+    part goes through the tokenizers library once. Parts of plain letters,
+    perhaps with signs after them, are encoded many at a time without the
+    normalizer, which only lower-cases them. About `kept` parts stay in
+    memory: once half as many are new, those that were not used since go.
     """
 
     def __init__(self, path: str, kept: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.kept, self.known = Tokenizer.from_file(path), kept, {"": b""}
+        self.tokenizer, self.kept = Tokenizer.from_file(path), kept
+        self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        kinds = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])]
+        splits = [x.get("pattern", {}).get("Regex") for x in (made["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.plain = None
+        if kinds == ["NFC", "Replace", "Lowercase"] and splits == [_SPLITTER, None]:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            ends = self._ids(self.plain, "!")
+            if len(ends) != 1:
+                self.plain = None
+            self.mark = ends[0]
+
+    @staticmethod
+    def _ids(tokenizer, text: str) -> list[int]:
+        return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self._ids(self.tokenizer, word), "<u4").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        known, old, parts = self.known, self.old, []
+        for word in new:
+            if self.plain and word.isascii() and word.isalpha():
+                parts.append((word, word.lower(), ""))
+            elif self.plain and (m := _PLAIN.fullmatch(word)):
+                parts.append((word, m[1].lower(), m[2]))
+            else:
+                known[word] = self._one(word)
+        cores = {core for _, core, _ in parts}.difference(known)
+        unknown = cores.difference(old)
+        for core in cores - unknown:
+            known[core] = old[core]
+        if unknown:
+            ids = np.array(self._ids(self.plain, " ! ".join(unknown)), "<u4")
+            ends = (np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4).tolist()
+            data, at = ids.tobytes(), 0
+            if len(ends) != len(unknown):
+                raise AssertionError("the sign between words is among their ids")
+            for core, end in zip(unknown, ends, strict=True):
+                known[core] = data[at:end]
+                at = end + 4
+        for word, core, tail in parts:
+            if tail:
+                if tail not in known:
+                    known[tail] = self._one(tail)
+                known[word] = known[core] + known[tail]
+            else:
+                known[word] = known[core]
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        distinct = set(words)
-        if new := [w for w in distinct if w not in known]:
-            if len(known) + len(new) > self.kept:
-                known.clear()
-                known[""] = b""
-                new = [w for w in distinct if w]
-            for at in range(0, len(new), 2000):
-                part = new[at : at + 2000]
-                for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    known[word] = np.array(e.ids, "<u4").tobytes()
+        if len(self.known) > self.kept // 2:
+            self.old, self.known = self.known, {"": b""}
+        words, known, old = text.replace("\n", " ").split(" "), self.known, self.old
+        if new := set(words).difference(known):
+            unknown = new.difference(old)
+            for word in new - unknown:
+                known[word] = old[word]
+            if unknown:
+                self._learn(unknown)
         return b"".join(map(known.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     """One for each Python worker."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     return WordEncoder(path)
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryweb.llm.common import shared_dir, table
+from quarryweb.llm.common import bounded_batches, shared_dir, table
 from quarryweb.llm.tokens import VOCABULARY, token_ids
 
 #: Fixed values of the zstandard seekable format.
@@ -138,6 +138,7 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
     written.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(key.alias("doc_id"), text.alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 

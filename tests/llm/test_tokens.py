@@ -21,11 +21,14 @@ def whole():
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-ODD = ["", " ", "á ́b é", "x y z\x1cq\x85r", "İSTANBUL ΣΑΣ ſ", "<|endoftext|> <|startoftext|>a<|endoftext|>", "it's 's '\ns don't", "１２3 a1b2", "日本語 テスト", "\t tab\vx\fy\r\nz", "!!! *** &&&", "퟿\U0001f600 ok", "a<|endoftext|> b"]
+ODD = ["", " ", "á ́b é", "x y z\x1cq\x85r", "İSTANBUL ΣΑΣ ſ", "<|endoftext|> <|startoftext|>a<|endoftext|>", "it's 's '\ns don't", "１２3 a1b2", "日本語 テスト", "\t tab\vx\fy\r\nz", "!!! *** &&&", "퟿\U0001f600 ok", "a<|endoftext|> b", "a… … b…… ©x"]
 
 
 def test_words_joined_equal_whole_texts(whole):
     e, rnd = WordEncoder(VOCABULARY, kept=300), random.Random(3)
+    every = "".join(map(chr, range(0x21, 0x180)))
+    for word in [c + t for c in every for t in ("", "x", ",")] + [f"{a}{b}" for a in "\xc0\xff\xdf" for b in every]:
+        assert np.frombuffer(e.encode(word), "<u4").tolist() == whole(word), repr(word)
     chars = "ab Cé'’s1 2\n\t!*́ <|>ñß"
     for text in ODD + ["".join(rnd.choices(chars, k=rnd.randint(0, 60))) for _ in range(1500)]:
         assert np.frombuffer(e.encode(text), "<u4").tolist() == whole(text), repr(text)
