@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryweb.llm.common import bounded_batches, shared_dir, table
-from quarryweb.llm.tokens import VOCABULARY, token_ids
+from quarryweb.llm.tokens import VOCABULARY, encoder
 
 #: Fixed values of the zstandard seekable format.
 SKIPPABLE, SEEK_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -150,16 +150,19 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
         if first is None:
             return
 
+        encode, end = encoder(vocabulary).encode, np.array([end_id], "<u4").tobytes()
+
         def documents():
             for batch in (b for part in ([first], batches) for b in part):
-                yield from zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1)), strict=True)
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    yield doc_id, encode(text.as_py()) + end
 
         with store.open_output_stream(f"{folder}/{name}", compression=None) as out:
             n, ids = write_shard(out, documents(), frame_bytes)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([context.partitionId()], pa.int32()), "file": [name], "n_docs": [n], "n_ids": [ids]})
 
     spark.createDataFrame([], "x int").write.mode("overwrite").parquet(f"{path}/created")  # makes the folder, by Spark's own file system
-    made = rows.select("doc_id", token_ids(F.col("text"), end_id, vocabulary).alias("ids")).mapInArrow(write, "shard int, file string, n_docs long, n_ids long")
+    made = rows.mapInArrow(write, "shard int, file string, n_docs long, n_ids long")
     made.write.parquet(f"{path}/manifest")
     return spark.read.schema("shard int, file string, n_docs long, n_ids long").parquet(f"{path}/manifest")
 
