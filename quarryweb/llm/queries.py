@@ -1,9 +1,11 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
+from quarryweb.llm.decontaminate import OP6_SQL, op6_decontamination
+from quarryweb.llm.fingerprint import op5_fingerprints
 from quarryweb.llm.packing import op2_best_fit_packing
 from quarryweb.llm.secrets import op1_secret_scan
 from quarryweb.llm.tokfile import op10_token_files
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op5_fingerprints, op6_decontamination, op10_token_files)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op6_decontamination": OP6_SQL}
