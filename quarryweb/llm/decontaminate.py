@@ -120,9 +120,11 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, remove: str = "d
     if remove == "documents":
         return docs.join(found.drop("_runs"), same, "left_anti")
     parts = F.regexp_extract_all(F.col(text_col), F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), F.lit(0))
-    lead = F.when(F.get(parts, F.lit(0)).rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 1).otherwise(0)
-    kept = F.filter(parts, lambda _, i: ~F.exists("_runs", lambda r: (i >= lead + 2 * r["begin"]) & (i < lead + 2 * r["end"])))
-    cleaned = F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
+    # The parts and the place of the first word are worked out once for a text, not for each of its parts.
+    lead = F.when(F.col(text_col).rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 1).otherwise(0)
+    once = F.array(F.struct(parts.alias("parts"), lead.alias("lead")))
+    kept = F.transform(once, lambda x: F.array_join(F.filter(x["parts"], lambda _, i: ~F.exists("_runs", lambda r: (i >= x["lead"] + 2 * r["begin"]) & (i < x["lead"] + 2 * r["end"]))), ""))
+    cleaned = F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(F.element_at(kept, 1))
     return docs.join(found, same, "left").withColumn(text_col, cleaned).select(*docs.columns)
 
 

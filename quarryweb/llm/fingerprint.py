@@ -31,7 +31,7 @@ def shingle_hashes(text: Column, words: int = SHINGLE) -> Column:
 
 
 def sketch(text: Column, k: int = K, words: int = SHINGLE) -> Column:
-    """The bottom-k sketch of a text; null has none, and a text without words has an empty one."""
+    """The bottom-k sketch of a text; that of null or of a text without words is empty."""
     return F.slice(F.array_sort(F.array_distinct(shingle_hashes(text, words))), 1, k)
 
 
