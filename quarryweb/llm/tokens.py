@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from functools import lru_cache
@@ -19,8 +18,9 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 #: Latin-1 letters, then ASCII signs other than the apostrophe: the vocabulary's splitter always parts these two.
 _PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
-#: The splitter that makes this so, as the vocabulary file has it.
-_SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The normalizer and the splitter that make this so, as the library shows them.
+_NORMALIZER = r'''Sequence(normalizers=[NFC(), Replace(pattern=Regex("\s+"), content=" "), Lowercase()])'''
+_SPLITTER = r'''Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])'''
 
 
 class WordEncoder:
@@ -34,22 +34,16 @@ class WordEncoder:
     memory: once half as many are new, those that were not used since go.
     """
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, kept: int = 300_000):
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
-        made = json.loads(self.tokenizer.to_str())
-        kinds = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])]
-        splits = [x.get("pattern", {}).get("Regex") for x in (made["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        self.plain = None
-        if kinds == ["NFC", "Replace", "Lowercase"] and splits == [_SPLITTER, None]:
-            self.plain = Tokenizer.from_file(path)
-            self.plain.normalizer = None
-            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            ends = self._ids(self.plain, "!")
-            if len(ends) != 1:
-                self.plain = None
-            self.mark = ends[0]
+        self.plain = self.mark = None
+        if (repr(self.tokenizer.normalizer), repr(self.tokenizer.pre_tokenizer)) == (_NORMALIZER, _SPLITTER):
+            plain = Tokenizer(self.tokenizer.model)  # shares the vocabulary
+            plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            if len(ends := self._ids(plain, "!")) == 1:
+                self.plain, self.mark = plain, ends[0]
 
     @staticmethod
     def _ids(tokenizer, text: str) -> list[int]:
