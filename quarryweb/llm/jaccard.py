@@ -24,6 +24,8 @@ from quarryweb.llm.common import bounded_batches, table, written
 WORDS = 5
 #: Shingles are ranked by the number of documents in their bucket of so many; ties by hash. Any such order is exact.
 BUCKETS = 1 << 20
+#: The longest list of a shingle that is expanded into pairs.
+SHORT = 16
 #: Nodes of one side of a comparison unit.
 BLOCK = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -33,11 +35,14 @@ class WordHashes(dict):
     """64-bit hashes of words, kept while there is room."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 400_000:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        self[word] = h = xxhash.xxh64_intdigest(word) - (1 << 63)
         return h
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words)).view(np.uint64)
+
 
 def words_of(text: str | None) -> list[bytes]:
     """Words by ASCII white space, A-Z lower-cased."""
@@ -48,13 +53,18 @@ def shingle_set(words: list[bytes], known: WordHashes, size: int = WORDS) -> np.
     """Sorted distinct 64-bit hashes of all runs of `size` words; of the whole sequence if there are fewer."""
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.array(list(map(known.__getitem__, words)), np.uint64)
+    h = known.of(words)
     n, k = len(h), min(size, len(h))
     out = np.full(n - k + 1, np.uint64(k))
     for i in range(k):
         out = (out ^ h[i : n - k + 1 + i]) * _MIX
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
+
+
+def bucket(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(40)) % np.uint64(BUCKETS)
 
 
 def node_of(grams: np.ndarray) -> int:
@@ -63,7 +73,8 @@ def node_of(grams: np.ndarray) -> int:
 
 def ranked(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """grams, rarest first."""
-    return grams[np.lexsort((grams, counts[(grams >> np.uint64(40)) % np.uint64(len(counts))]))]
+    rank = np.minimum(counts[bucket(grams)], 0xFFFF).astype(np.uint64)
+    return grams[np.argsort(rank << np.uint64(48) | grams >> np.uint64(16))]
 
 
 class Similarity:
@@ -133,14 +144,13 @@ def _first_pass(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = WordHashes(), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            n, nodes = [], []
+            n, nodes, sets = [], [], [np.zeros(0, np.uint64)]
             for text in batch.column(1):
                 grams = shingle_set(words_of(text.as_py()), known)
                 n.append(len(grams))
                 nodes.append(node_of(grams) if len(grams) else None)
-                counts += np.bincount((grams >> np.uint64(40)) % np.uint64(BUCKETS), minlength=BUCKETS) if len(grams) > 20_000 else 0
-                if len(grams) <= 20_000:
-                    np.add.at(counts, (grams >> np.uint64(40)) % np.uint64(BUCKETS), 1)
+                sets.append(grams)
+            counts += np.bincount(bucket(np.concatenate(sets)), minlength=BUCKETS)
             size = len(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], ["doc_id", "n", "node", "block", "counts"])
         parts = counts.reshape(16, -1)
@@ -192,30 +202,79 @@ def _postings(docs: DataFrame, counts, sim: Similarity) -> DataFrame:
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """(gram, leader, node) of lists with two nodes or more, by one sorted walk that holds one row of a list."""
+    """Shingles with two nodes or more, by one sorted walk that holds at most SHORT rows of a list.
+
+    A short list gives all its pairs (gram null, a, b); a long one gives
+    (gram, its first node, node) for each of its other nodes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_gram = last_node = leader = None
+        held_g, held_v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        long: tuple[int, int] | None = None  # a list that goes on: its shingle and first node
+
+        def flush(g: np.ndarray, v: np.ndarray, ends: bool):
+            """Whole lists of (g, v); what may go on is kept back."""
+            nonlocal held_g, held_v, long
+            out: list[tuple] = []
+            if long is not None and len(g):
+                same = int(np.searchsorted(g, long[0], side="right"))
+                out.append((np.full(same, long[0]), np.full(same, long[1]), v[:same], True))
+                g, v = g[same:], v[same:]
+                long = long if not len(g) else None
+            if len(g):
+                keep = np.concatenate([[True], (g[1:] != g[:-1]) | (v[1:] != v[:-1])])
+                g, v = g[keep], v[keep]
+                start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+                end = np.append(start[1:], len(g))
+                if not ends:
+                    s = start[-1]
+                    if len(g) - s > SHORT:
+                        long = (int(g[s]), int(v[s]))
+                        out.append((np.full(len(g) - s - 1, g[s]), np.full(len(g) - s - 1, v[s]), v[s + 1 :], True))
+                        held_g, held_v = g[:0], v[:0]
+                    else:
+                        held_g, held_v = g[s:], v[s:]
+                    start, end = start[:-1], end[:-1]
+                else:
+                    held_g, held_v = g[:0], v[:0]
+                size = end - start
+                for m in np.unique(size[(size > 1) & (size <= SHORT)]).tolist():
+                    lists = v[start[size == m][:, None] + np.arange(m)]
+                    i, j = np.triu_indices(m, 1)
+                    x, y = lists[:, i].ravel(), lists[:, j].ravel()
+                    out.append((None, np.maximum(x, y), np.minimum(x, y), False))
+                for s, e in zip(start[size > SHORT].tolist(), end[size > SHORT].tolist(), strict=True):
+                    out.append((np.full(e - s - 1, g[s]), np.full(e - s - 1, v[s]), v[s + 1 : e], True))
+            for gram, a, b, is_long in out:
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(gram) if is_long else pa.nulls(len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["gram", "a", "b"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            g, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new = np.ones(len(g), bool)
-            new[1:] = g[1:] != g[:-1]
-            new[0] = g[0] != last_gram
-            same = np.zeros(len(g), bool)
-            same[1:] = ~new[1:] & (v[1:] == v[:-1])
-            same[0] = not new[0] and v[0] == last_node
-            lead = np.where(new, v, 0)
-            at = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
-            lead = np.where(at >= 0, v[np.maximum(at, 0)], leader if leader is not None else 0)
-            keep = ~new & ~same
-            last_gram, last_node, leader = g[-1], v[-1], lead[-1]
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(g[keep]), pa.array(lead[keep]), pa.array(v[keep])], ["gram", "leader", "node"])
+            if batch.num_rows:
+                g, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                yield from flush(np.concatenate([held_g, g]), np.concatenate([held_v, v]), False)
+        yield from flush(held_g, held_v, True)
 
     spread = postings.repartition("gram").sortWithinPartitions("gram", "node")
-    return spread.mapInArrow(run, "gram long, leader long, node long")
+    return spread.mapInArrow(run, "gram long, a long, b long")
+
+
+def _alike(pairs: DataFrame, longs: DataFrame, sizes: DataFrame, sim: Similarity) -> DataFrame:
+    """Pairs (a, b) of short lists that can still be linked: by their lengths, and by how many prefix shingles they share.
+
+    Shingles outside both prefixes are at most the rest of the longer rest;
+    those in long lists are at most as many as either has there.
+    """
+    shared = pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
+    hot = longs.select(F.col("b").alias("node"), "gram").unionByName(longs.select(F.col("a").alias("node"), "gram").distinct()).groupBy("node").agg(F.count("*").alias("h"))
+    info = sizes.join(hot, "node", "left").select("node", "n", F.coalesce("h", F.lit(0)).alias("h"))
+    for side in "ab":
+        shared = shared.join(info.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("h").alias(f"h{side}")), side)
+    p = sim.percent
+    need = F.ceil(p * (F.col("na") + F.col("nb")) / (100 + p))
+    rest = F.ceil(p * F.greatest("na", "nb") / 100) - 1
+    lengths = 100 * F.least("na", "nb") >= p * F.greatest("na", "nb")
+    return shared.where(lengths & (F.col("c") + F.least("ha", "hb") + rest >= need)).select("a", "b")
 
 
 def _compare(units: DataFrame, texts: DataFrame, counts, sim: Similarity) -> DataFrame:
@@ -307,27 +366,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = first.where("n is not null").select("doc_id", "n", "node")
     counts = spark.sparkContext.broadcast(_sum_counts(first.where("block is not null").select("block", "counts")))
 
-    shared = written(_shared(_postings(docs, counts, sim)), "jaccard-shared")
+    found = written(_shared(_postings(docs, counts, sim)), "jaccard-lists")
+    longs = found.where("gram is not null")
+    sizes = members.where("node is not null").select("node", "n").distinct()
+    near = written(_alike(found.where("gram is null"), longs, sizes, sim), "jaccard-near")
+    stars = near.unionByName(longs.select("a", "b").distinct()).distinct()
     # The text of one document of each node that is compared.
-    leaders = shared.select(F.col("leader").alias("node"))
-    compared = shared.select("node").unionByName(leaders).distinct()
-    chosen = members.join(compared, "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("_row")).select("node", F.col("_row.doc_id").alias("_id"))
+    compared = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first_id = F.min_by(F.struct("doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id"))
+    chosen = members.join(compared, "node", "left_semi").groupBy("node").agg(first_id.alias("_row")).select("node", F.col("_row.doc_id").alias("_id"))
     texts = written(docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"])).select("node", "text").where("text is not null"), "jaccard-texts")
 
-    stars = shared.select("leader", "node").distinct()
-    chunk = F.pmod(F.col("node"), F.lit(64))
-    unit = F.xxhash64("leader", chunk).alias("unit")
-    sides = stars.select(unit, F.lit(1).alias("side"), "node", F.col("node").alias("comp"), "leader")
-    heads = sides.select("unit", F.lit(0).alias("side"), F.col("leader").alias("node"), F.col("leader").alias("comp")).distinct()
-    links = written(_compare(sides.drop("leader").unionByName(heads), texts, counts, sim), "jaccard-links")
+    # Each first node against its others, a block of them at a time.
+    big = stars.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
+    sides = stars.join(big, F.col("a") == F.col("_a")).withColumn("unit", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("_blocks"))))
+    heads = sides.select("unit", F.lit(0).alias("side"), F.col("a").alias("node"), F.col("a").alias("comp")).distinct()
+    links = written(_compare(heads.unionByName(sides.select("unit", F.lit(1).alias("side"), F.col("b").alias("node"), F.col("b").alias("comp"))), texts, counts, sim), "jaccard-links")
     comps = components(links, "jaccard-stars")
 
-    # Lists that still hold more than one component: their nodes meet again in blocks, but never two of the largest component.
+    # Long lists that still hold more than one component: their nodes meet again in blocks, but never two of the largest component.
     comp_of = lambda t, c: t.join(comps.select(F.col("node").alias("_n"), F.col("label").alias(f"{c}_comp")), F.col(c) == F.col("_n"), "left").drop("_n").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
-    told = written(comp_of(comp_of(shared, "node"), "leader"), "jaccard-told")
-    mixed = told.where("node_comp != leader_comp").select("gram").distinct()
+    told = written(comp_of(comp_of(longs, "a"), "b"), "jaccard-told")
+    mixed = told.where("a_comp != b_comp").select("gram").distinct()
     left = told.join(mixed, "gram", "left_semi")
-    inside = left.select("leader", "node", F.col("node_comp").alias("comp")).unionByName(left.select("leader", F.col("leader").alias("node"), F.col("leader_comp").alias("comp"))).distinct()
+    inside = left.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("b_comp").alias("comp")).unionByName(left.select(F.col("a").alias("leader"), F.col("a").alias("node"), F.col("a_comp").alias("comp"))).distinct()
     inside = written(inside, "jaccard-inside")
     sizes = inside.groupBy("leader", "comp").count()
     shape = sizes.groupBy("leader").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n_all"))

@@ -59,7 +59,7 @@ class RunHashes:
 
 
 def word_ids(words: list[bytes], known: WordHashes) -> np.ndarray:
-    return np.array(list(map(known.__getitem__, words)), np.uint64)
+    return known.of(words)
 
 
 def anchors(ids: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

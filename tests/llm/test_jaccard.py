@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarryweb.llm import jaccard
@@ -43,8 +44,10 @@ def test_whole_table(spark, sf_dir):
     assert got(op4_ngram_jaccard_join(spark, sf_dir)) == brute(rows)
 
 
-def test_edited_copies_chains_and_odd_rows(spark, monkeypatch):
+@pytest.mark.parametrize("short", [4, 16, 1000])
+def test_edited_copies_chains_and_odd_rows(spark, monkeypatch, short):
     monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "SHORT", short)
     rnd = random.Random(4)
     base = [rnd.choice("abcdefghij") * rnd.randint(1, 3) + str(rnd.randint(0, 300)) for _ in range(120)]
     rows, i = [], 100
