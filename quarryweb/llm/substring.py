@@ -109,6 +109,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     kind = df.select(id_col).schema[0].dataType.simpleString()
     occurs = written(docs.mapInArrow(seed, f"_id {kind}, _hash long, anchor long, stretch long, first int, n int"), "substring-seeds")
     often = occurs.groupBy("anchor").agg(F.count("*").alias("c"), F.min("stretch").alias("x"), F.max("stretch").alias("y")).where("c > 1").select(F.col("anchor").alias("_a"), (F.col("x") != F.col("y")).alias("varied"))
+    often = written(often, "substring-often")  # so that both sides of the join are plain exchanges, which can be split where an anchor is hot
     shared = written(occurs.join(often, F.col("anchor") == F.col("_a")).drop("_a"), "substring-shared")
 
     whole = shared.groupBy("anchor", "stretch").agg(F.count("*").alias("c"), F.first("varied").alias("varied"), F.min(F.struct("first", "n", "_hash", F.col("_id").isNull().alias("no"), "_id")).alias("one"))
