@@ -4,10 +4,11 @@ from quarryweb.llm.decontaminate import OP6_SQL, op6_decontamination
 from quarryweb.llm.fingerprint import op5_fingerprints
 from quarryweb.llm.jaccard import op4_ngram_jaccard_join
 from quarryweb.llm.packing import op2_best_fit_packing
+from quarryweb.llm.quality import op9_quality_classifier
 from quarryweb.llm.secrets import op1_secret_scan
 from quarryweb.llm.substring import op8_substring_dedup
 from quarryweb.llm.tokfile import op10_token_files
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op4_ngram_jaccard_join, op5_fingerprints, op6_decontamination, op8_substring_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op4_ngram_jaccard_join, op5_fingerprints, op6_decontamination, op8_substring_dedup, op9_quality_classifier, op10_token_files)}
 
 ORACLE_SQL = {"op6_decontamination": OP6_SQL}
