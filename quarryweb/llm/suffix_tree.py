@@ -17,6 +17,8 @@ are sent to every task. The root is not bounded: its frequent words (at most
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -79,30 +81,34 @@ class Tree:
     def root(self, counts: np.ndarray) -> np.ndarray:
         return np.log((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
-    def contexts(self, codes: np.ndarray) -> list[np.ndarray]:
-        """For each word of a text (codes, -1 for others), the place of its context of each length, or -1."""
+    def before(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the contexts of one and of two words before each word of texts that begin at starts; -1 where there is none."""
         w = self.width
-        one = np.concatenate([[w - 1], codes[:-1]])
-        one = np.where(one < w, one, -1)
+        one = np.concatenate([[-1], np.where(codes < w - 1, codes, -1)[:-1]])
+        one[starts] = w - 1
         two = np.concatenate([[-1], one[:-1]])
-        found = []
-        for depth, level in enumerate(self.levels):
-            key = one if not depth else np.where((two >= 0) & (one >= 0), two * w + one, -1)
+        two[starts] = -1
+        return one, np.where((two >= 0) & (one >= 0), two * w + one, -1)
+
+    def contexts(self, codes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+        """For each word, the place of its context of each length, or -1."""
+        found: list[np.ndarray] = []
+        for level, key in zip(self.levels, self.before(codes, starts), strict=False):
             at = _find(level.key, key)
-            found.append(np.where(found[-1] >= 0, at, -1) if depth else at)
+            found.append(np.where(found[-1] >= 0, at, -1) if found else at)
         return found
 
-    def local(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(what the tree adds to the root's log, whether the root's log counts) for each word of a text."""
+    def local(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(what the tree adds to the root's log, whether the root's log counts) for each word."""
         add, open_ = np.zeros(len(codes)), np.ones(len(codes), bool)
-        for at, level in reversed(list(zip(self.contexts(codes), self.levels, strict=True))):
-            here = (at >= 0) & open_
-            listed = np.where(here & (codes >= 0) & (codes < self.width), _find(level.listed, at * self.width + codes), -1)
-            hit = here & (listed >= 0)
-            add[hit] += level.p[listed[hit]]
-            open_ &= ~hit
-            back = here & ~hit
-            add[back] += level.alpha[at[back]]
+        for at, level in reversed(list(zip(self.contexts(codes, starts), self.levels, strict=True))):
+            here = np.flatnonzero((at >= 0) & open_)
+            place, word = at[here], codes[here]
+            listed = np.where((word >= 0) & (word < self.width), _find(level.listed, place * self.width + word), -1)
+            hit = listed >= 0
+            add[here[hit]] += level.p[listed[hit]]
+            open_[here[hit]] = False
+            add[here[~hit]] += level.alpha[place[~hit]]
         return add, open_
 
     def log_p(self, words: np.ndarray, depth: int, key: np.ndarray) -> np.ndarray:
@@ -149,13 +155,16 @@ class Codes(dict):
     def __init__(self, tree: Tree):
         super().__init__()
         self.order = np.argsort(tree.hashes)
-        self.sorted = tree.hashes[self.order]
+        self.sorted = array("q", tree.hashes[self.order].tobytes())
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
+            often = {w: c for w, c in self.items() if c >= 0}
             self.clear()
+            if len(often) < 300_000:
+                self.update(often)
         h = word_hash(word)
-        at = int(np.searchsorted(self.sorted, h)) if len(self.sorted) else 0
+        at = bisect_left(self.sorted, h)
         code = int(self.order[at]) if at < len(self.sorted) and self.sorted[at] == h else -1
         self[word] = code
         return code
@@ -163,6 +172,15 @@ class Codes(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+    def of_texts(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The words of all texts, their codes, and where each text begins."""
+        words: list[bytes] = []
+        starts = []
+        for text in texts:
+            starts.append(len(words))
+            words += words_of(text.as_py())
+        return words, self.of(words), np.array(starts, np.int64)
+
 
 def _word_counts(docs: DataFrame) -> DataFrame:
     """(word, count): hashes of all words of the corpus and how often they occur."""
@@ -199,18 +217,14 @@ def _next_counts(docs: DataFrame, tree, depth: int, wanted) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(key // w), pa.array(key % w), pa.array(n)], ["context", "word", "count"])
 
         for batch in batches:
-            for text in batch.column(0):
-                c = codes.of(words_of(text.as_py()))
-                one = np.concatenate([[w - 1], c[:-1]])
-                one = np.where(one < w, one, -1)
-                if depth == 1:
-                    context = one
-                else:
-                    two = np.concatenate([[-1], one[:-1]])
-                    context = np.where((two >= 0) & (one >= 0), two * w + one, -1)
-                    context = np.where(_find(wanted.value, context) >= 0, context, -1)
-                good = (context >= 0) & (c >= 0) & (c < w - 1)
-                parts.append(context[good] * w + c[good])
+            if not batch.num_rows:
+                continue
+            _, c, starts = codes.of_texts(batch.column(0))
+            context = t.before(c, starts)[depth - 1]
+            if depth == 2:
+                context = np.where(_find(wanted.value, context) >= 0, context, -1)
+            good = (context >= 0) & (c >= 0) & (c < w - 1)
+            parts.append(context[good] * w + c[good])
             if sum(map(len, parts)) > 4_000_000:
                 yield out()
         if parts:
@@ -263,17 +277,28 @@ def score_texts(df: DataFrame, tree: Tree, words: DataFrame, text_col: str = "te
     @F.arrow_udf("struct<n:long,local:long,base:double,score:double,rare:array<long>>")
     def look(texts: pa.Array) -> pa.Array:
         t: Tree = shared.value
-        codes, root = Codes(t), t.root(t.counts)
-        out = []
-        for text in texts:
-            w = words_of(text.as_py())
-            c = codes.of(w)
-            here = c >= 0
-            base = root[c[here]]
-            add, open_ = t.local(c)
-            rare = [word_hash(w[i]) for i in np.flatnonzero(~here).tolist()]
-            out.append({"n": len(w), "local": int(here.sum()), "base": float(base.sum()), "score": float(add.sum() + base[open_[here]].sum()), "rare": rare})
-        return pa.array(out, pa.struct([("n", pa.int64()), ("local", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))]))
+        codes, root = known(t), t.root(t.counts)
+        if not len(texts):
+            return pa.array([], kind)
+        words, c, starts = codes.of_texts(texts)
+        here = c >= 0
+        base = np.where(here, root[np.maximum(c, 0)], 0.0) if len(root) else np.zeros(len(c))
+        add, open_ = t.local(c, starts)
+        rare = np.array([word_hash(words[i]) for i in np.flatnonzero(~here).tolist()], np.int64)
+        ends = np.append(starts[1:], len(c))
+        before = np.concatenate([[0], np.cumsum(~here)])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(before[starts], before[-1]), pa.int32()), pa.array(rare))
+        sums = [np.add.reduceat(x, starts) for x in (here.astype(np.int64), base, add + base * open_)]
+        return pa.StructArray.from_arrays([pa.array(ends - starts), *map(pa.array, sums), lists], fields=list(kind))
+
+    kind = pa.struct([("n", pa.int64()), ("local", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
+    held: list[Codes] = []
+
+    def known(t: Tree) -> Codes:
+        """One for a worker's whole task, not for each batch."""
+        if not held:
+            held.append(Codes(t))
+        return held[0]
 
     new = ["n_tokens", "n_known", "base_score", "score"]
     df = df.drop(*new)

@@ -56,8 +56,12 @@ def test_distributions_sum_to_one_and_texts_are_scored_by_them(spark):
     codes = Codes(tree)
     text = docs.first().text
     c = codes.of(words_of(text))
-    add, open_ = tree.local(c)
-    at = tree.contexts(c)
+    c = np.concatenate([c, c[:5], c])
+    starts = np.array([0, (len(c) - 5) // 2, (len(c) - 5) // 2 + 5])
+    add, open_ = tree.local(c, starts)
+    at = tree.contexts(c, starts)
+    size = starts[1]
+    assert (at[0][:size] == at[0][starts[2] :]).all() and np.allclose(add[:size], add[starts[2] :])
     for i in range(len(c)):
         depth = 2 if at[1][i] >= 0 else 1 if at[0][i] >= 0 else 0
         if c[i] >= 0:
