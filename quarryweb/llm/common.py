@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -42,9 +44,27 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_FOLDERS: set[str] = set()
+
+
+def own_folder(spark: SparkSession) -> str:
+    """The application's folder in the shared one; it is removed when the driver's Python ends with its session still there."""
+    path = f"{shared_dir(spark)}/quarryweb/{spark.sparkContext.applicationId}"
+    if path not in _FOLDERS:
+        _FOLDERS.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone, and then so may its folder
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, and a lost executor costs nothing that was computed before."""
-    path = f"{shared_dir(df.sparkSession)}/quarryweb/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -415,8 +415,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = members.join(labels, "node", "left")
     lone = F.coalesce("label", "node")
     best = marked.where("node is not null").groupBy(lone.alias("_c")).agg(F.min("doc_id").alias("_least"))
+    best = written(best, "jaccard-least")  # so that both sides of the join are plain exchanges, which can be split where a component is hot
     named = marked.withColumn("_l", lone).join(best, F.col("_l") == F.col("_c"), "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_least"))).alias("component_id"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -434,3 +435,16 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[k : k + 4], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(k) WHERE len(w) > 0),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+i AS (SELECT x.rid AS a, y.rid AS b, count(*) AS i FROM s x JOIN s y ON x.s = y.s AND x.rid < y.rid GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b WHERE 100 * i >= 75 * (na.n + nb.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(rid, other) AS (SELECT rid, rid FROM d UNION SELECT c.rid, e.b FROM c JOIN e ON c.other = e.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM c JOIN d ON d.rid = c.rid JOIN d o ON o.rid = c.other LEFT JOIN n ON n.rid = c.rid GROUP BY d.rid, d.doc_id
+"""

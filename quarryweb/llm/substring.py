@@ -180,3 +180,15 @@ def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Words removed from every document, and a digest of those that are kept."""
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT rid, k, array_to_string(w[k : k + 34], ' ') AS s FROM d, unnest(range(1, len(w) - 33)) AS t(k)),
+r AS (SELECT s FROM v GROUP BY s HAVING count(*) > 1),
+h AS (SELECT DISTINCT rid, p FROM v JOIN r USING (s), unnest(range(k, k + 35)) AS u(p)),
+g AS (SELECT rid, count(*) AS n FROM h GROUP BY rid),
+p AS (SELECT d.rid, t.p, w[t.p] AS x FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+q AS (SELECT p.rid, string_agg(x, ' ' ORDER BY p.p) AS kept FROM p LEFT JOIN h ON h.rid = p.rid AND h.p = p.p WHERE h.p IS NULL GROUP BY p.rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (rid) LEFT JOIN q USING (rid)
+"""

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryweb.llm.common import bounded_batches, shared_dir, table
+from quarryweb.llm.common import bounded_batches, own_folder, table
 from quarryweb.llm.tokens import VOCABULARY, encoder
 
 #: Fixed values of the zstandard seekable format.
@@ -203,6 +203,6 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the ids of all documents in the file format, reads the files back, and digests what they hold."""
-    path = f"{shared_dir(spark)}/quarryweb/tokens-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), path)
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
