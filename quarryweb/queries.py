@@ -13,7 +13,7 @@ from quarryweb.operators.fields import ARTICLE, PRODUCT, SOCIALS, VIDEOS
 from quarryweb.operators.language import language
 from quarryweb.plans import Request, extract
 from quarryweb.plans.extract import to_json
-from quarryweb.sources import Client, fetch_pages, robots_gate
+from quarryweb.sources import Client, fetch_pages, robots_gate, spread
 
 ALL = ("all",)
 
@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return spread(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def _fields(extracted: DataFrame, kind: str, names, *keys: str) -> DataFrame:
@@ -36,7 +36,8 @@ def _s(column: str) -> Column:
 
 
 def _write(df: DataFrame, key: str, url: Column, html: Column) -> DataFrame:
-    return df.select(key, url.alias("url"), html.alias("html"))
+    """Pages from rows; the rows are dealt out before they grow."""
+    return spread(df).select(key, url.alias("url"), html.alias("html"))
 
 
 # Pages as they are.

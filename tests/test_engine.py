@@ -12,7 +12,7 @@ from quarryweb import AsyncWebExtractor, Request, WebExtractor, batch_extract, e
 from quarryweb.functions.urls import parse
 from quarryweb.operators.language import detect
 from quarryweb.queries import ORACLE_SQL, QUERIES
-from quarryweb.sources import Client, allowed, fetch_pages
+from quarryweb.sources import Client, allowed, fetch_pages, spread
 from quarryweb.sources.robots import RulesStore, fetch_rules, fresh
 from quarryweb.streaming import extract_stream, page_stream
 
@@ -184,7 +184,9 @@ def test_entry(spark):
 
 
 def test_scan_reads_only_what_is_asked(spark, sf_dir):
-    plan = QUERIES["link_summary"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", "html")
+    plan = extract(pages, Request(links=("all",)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
     plan = extract(spark.read.parquet(f"{sf_dir}/pages.parquet").where(F.col("page_id") < 5), Request(text=True))._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(page_id,5)" in plan
+    assert spread(pages, 1) is pages and spread(pages, 64).rdd.getNumPartitions() == 64
