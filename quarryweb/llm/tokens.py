@@ -86,13 +86,18 @@ class WordEncoder:
         if len(self.known) > self.kept // 2:
             self.old, self.known = self.known, {"": b""}
         words, known, old = text.replace("\n", " ").split(" "), self.known, self.old
-        if new := set(words).difference(known):
+        parts = list(map(known.get, words))
+        if None in parts:
+            gaps = [i for i, ids in enumerate(parts) if ids is None]
+            new = {words[i] for i in gaps}
             unknown = new.difference(old)
             for word in new - unknown:
                 known[word] = old[word]
             if unknown:
                 self._learn(unknown)
-        return b"".join(map(known.__getitem__, words))
+            for i in gaps:
+                parts[i] = known[words[i]]
+        return b"".join(parts)
 
 
 @lru_cache(maxsize=2)
