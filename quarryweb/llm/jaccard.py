@@ -35,7 +35,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept while there is room."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word) - (1 << 63)
         return h
