@@ -23,6 +23,13 @@ _NORMALIZER = r'''Sequence(normalizers=[NFC(), Replace(pattern=Regex("\s+"), con
 _SPLITTER = r'''Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])'''
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 class WordEncoder:
     """Encodes a text word by word and keeps the ids of recent words.
 
@@ -85,6 +92,9 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         if len(self.known) > self.kept // 2:
             self.old, self.known = self.known, {"": b""}
+        # The vocabulary lower-cases; for Latin-1 that is the same for a text as a whole. Its special tokens tell cases apart.
+        if self.plain and "<|" not in text and _is_latin(text):
+            text = text.lower()
         words, known, old = text.replace("\n", " ").split(" "), self.known, self.old
         parts = list(map(known.get, words))
         if None in parts:

@@ -21,7 +21,7 @@ def whole():
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-ODD = ["", " ", "á ́b é", "x y z\x1cq\x85r", "İSTANBUL ΣΑΣ ſ", "<|endoftext|> <|startoftext|>a<|endoftext|>", "it's 's '\ns don't", "１２3 a1b2", "日本語 テスト", "\t tab\vx\fy\r\nz", "!!! *** &&&", "퟿\U0001f600 ok", "a<|endoftext|> b", "a… … b…… ©x"]
+ODD = ["", " ", "á ́b é", "x y z\x1cq\x85r", "İSTANBUL ΣΑΣ ſ", "<|endoftext|> <|startoftext|>a<|endoftext|>", "it's 's '\ns don't", "１２3 a1b2", "日本語 テスト", "\t tab\vx\fy\r\nz", "!!! *** &&&", "퟿\U0001f600 ok", "a<|endoftext|> b", "<|ENDOFTEXT|> ABC", "ÀÉÞ ÷× µª ÿŸ ΑΣ", "ÀÉÞ÷×µªº ÐØ", "İ ŒUVRE", "a… … b…… ©x"]
 
 
 def test_words_joined_equal_whole_texts(whole):
