@@ -1,18 +1,22 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The root knows every word of the corpus. Below it are contexts of one and two
-words. A context is kept if it is frequent enough and if its next-word
-distribution diverges from that of its suffix by more than its parameters
-cost (half the log of its count each, as in minimum description length).
-Distributions are smoothed by absolute discounts; what they leave goes to the
-words they do not list, in the suffix's proportions. A word is scored in the
-longest context that the tree has for the words before it.
-
-Counts cover the whole corpus. Contexts and listed next words must have at
-least a fixed share of it, so there are at most 1/CONTEXT_SHARE contexts and
-1/NEXT_SHARE listed words of each length at any input size, and those tables
-are sent to every task. The root is not bounded: its frequent words (at most
-1/WORD_SHARE) are sent, all others are joined by shuffle.
+The root knows every word of the corpus. Below it are contexts of one word and
+more. A context lists each next word that follows it at least LEAST times. It
+is kept if its next-word distribution diverges from that of its suffix by more
+than its parameters cost (half the log of its count each, as in minimum
+description length), or if it is the suffix of one that is kept. Lengths grow,
+three at a time, until none of three has a context that passes. Distributions are smoothed by absolute
+discounts; what they leave goes to the words they do not list, in the suffix's
+proportions. A word is scored in the longest context that the tree has for the
+words before it.
+
+Counts cover the whole corpus, and LEAST does not depend on its size. Levels
+are written tables. A word that a context lists is listed by all its suffixes
+too, so a score is the root's plus a sum over the runs of words that occur in
+the text, of one value a run: what it adds as context and as listed word. The
+frequent part (by shares of the corpus, so it is bounded) is sent to every
+task; all other runs and the root's other words are joined by shuffle. Filters
+of a fixed size say which runs need it; they never drop one that does.
 """
 
 from __future__ import annotations
@@ -26,16 +30,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryweb.llm.common import bounded_batches, id_fold, table, written
 
+#: What has these shares of the corpus is sent to every task; they do not bound the tree.
 WORD_SHARE, CONTEXT_SHARE, NEXT_SHARE = 1e-6, 1e-5, 2e-6
-#: Contexts and listed next words also have at least this count.
+#: Contexts and listed next words have at least this count.
 LEAST = 3
 DISCOUNT = 0.5
+#: Lengths of contexts counted in one pass; they grow until no context of such a step passes its test.
+STEP = 3
 END = b"\n"
+FILTER_BITS = 1 << 26
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -49,9 +57,29 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
+#: Stands before the first word of each text, in contexts only.
+START = word_hash(b"\n\n")
+
+
+def longer(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words with one more word; the empty run is 0."""
+    x = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def _runs(hashes: np.ndarray, starts: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places where a run of it ends, keys of the run that ends at each place); START is put before each text."""
+    place = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.append(starts, len(hashes))))
+    key = np.zeros(len(hashes), np.int64)
+    for length in range(1, most + 1):
+        key = longer(np.concatenate([[0], key[:-1]]) if length > 1 else key, hashes)
+        yield length, place >= length - 1, key
+
+
 @dataclass
 class Level:
-    """Contexts of one length. key: sorted context codes; listed: sorted context * width + next word; p: natural logs."""
+    """Frequent contexts of one length. key: sorted context codes; listed: sorted context * span + next word; p: natural logs."""
 
     key: np.ndarray
     alpha: np.ndarray
@@ -69,7 +97,12 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """hashes, counts: the frequent words, most frequent first; the first `width` - 1 may be contexts, and width - 1 is the start."""
+    """hashes, counts: the frequent words, most frequent first; the first `width` - 1 may be in levels' contexts, and width - 1 is the start.
+
+    levels: the frequent contexts of one and two words. often: values of other
+    frequent runs (sorted keys, values). filter: bits of the runs in `runs`,
+    a table on the driver with all others. depth: the longest context.
+    """
 
     hashes: np.ndarray
     counts: np.ndarray
@@ -77,6 +110,17 @@ class Tree:
     distinct: int
     width: int
     levels: list[Level]
+    depth: int = 0
+    often: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0))
+    filter: np.ndarray | None = None
+    runs: DataFrame | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"runs": None}
+
+    @property
+    def span(self) -> int:
+        return len(self.hashes)
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         return np.log((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
@@ -99,12 +143,12 @@ class Tree:
         return found
 
     def local(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(what the tree adds to the root's log, whether the root's log counts) for each word."""
+        """(what the levels add to the root's log, whether the root's log counts) for each word."""
         add, open_ = np.zeros(len(codes)), np.ones(len(codes), bool)
         for at, level in reversed(list(zip(self.contexts(codes, starts), self.levels, strict=True))):
             here = np.flatnonzero((at >= 0) & open_)
             place, word = at[here], codes[here]
-            listed = np.where((word >= 0) & (word < self.width), _find(level.listed, place * self.width + word), -1)
+            listed = np.where(word >= 0, _find(level.listed, place * self.span + word), -1)
             hit = listed >= 0
             add[here[hit]] += level.p[listed[hit]]
             open_[here[hit]] = False
@@ -116,37 +160,45 @@ class Tree:
         if not depth:
             return self.root(self.counts[words])
         level = self.levels[depth - 1]
-        at = np.where(words < self.width, _find(level.listed, key * self.width + words), -1)
+        at = _find(level.listed, key * self.span + words)
         if depth == 2:
             shorter = _find(self.levels[0].key, level.key[key] % self.width)
         else:
             shorter = key
         return np.where(at >= 0, level.p[np.maximum(at, 0)] if len(level.p) else 0.0, level.alpha[key] + self.log_p(words, depth - 1, shorter))
 
-    def grow(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, sizes: dict[int, int]) -> None:
-        """Adds a level from counts of (context code, next word); sizes: how often each context occurs."""
-        order = np.lexsort((word, context))
-        context, word, count = context[order], word[order], count[order].astype(float)
-        depth = len(self.levels) + 1
+    def grow(self, context: np.ndarray, alpha: np.ndarray, word: np.ndarray, p: np.ndarray) -> None:
+        """Adds a level from (context code, its alpha, next word's code or -1, its log) of each row."""
         keys, first = np.unique(context, return_index=True)
-        level = Level(keys, np.zeros(len(keys)), np.zeros(0, np.int64), np.zeros(0))
-        self.levels.append(level)
-        n = np.array([sizes[k] for k in keys.tolist()], float)
-        group = np.searchsorted(keys, context)
-        # What the suffix says of the listed words.
-        shorter = _find(self.levels[0].key, keys % self.width) if depth == 2 else np.zeros(len(keys), np.int64)
-        before = np.exp(self.log_p(word, depth - 1, shorter[group]))
-        p = (count - DISCOUNT) / n[group]
-        rest = np.maximum(1 - np.bincount(group, p, len(keys)), 1e-12)
-        rest_before = np.maximum(1 - np.bincount(group, before, len(keys)), 1e-12)
-        gain = n * (np.bincount(group, p * np.log(p / before), len(keys)) + rest * np.log(rest / rest_before))
-        cost = 0.5 * np.bincount(group, minlength=len(keys)) * np.log(np.maximum(n, 2))
-        keep = gain > cost
-        level.key = keys[keep]
-        level.alpha = np.log(rest / rest_before)[keep]
-        kept = keep[group]
-        new = np.cumsum(keep) - 1
-        level.listed, level.p = new[group[kept]] * self.width + word[kept], np.log(p[kept])
+        row = np.flatnonzero(word >= 0)
+        listed = np.searchsorted(keys, context[row]) * self.span + word[row]
+        order = np.argsort(listed)
+        self.levels.append(Level(keys, alpha[first], listed[order], p[row][order]))
+
+    def others(self, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(what runs outside the levels add at each place, places and keys of runs to look up) for texts with START before each."""
+        add, places, keys = np.zeros(len(hashes)), [], []
+        for _, whole, key in _runs(hashes, starts, self.depth + 1):
+            at = np.where(whole, _find(self.often[0], key), -1)
+            add[at >= 0] += self.often[1][at[at >= 0]]
+            hit = np.flatnonzero(whole & (at < 0) & _may_have(self.filter, key))
+            places.append(hit)
+            keys.append(key[hit])
+        return add, np.concatenate(places), np.concatenate(keys)
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """Bits of all `key`s, FILTER_BITS of them at any number of keys."""
+    bit = F.explode(F.array(F.col("key").bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned("key", 32).bitwiseAND(FILTER_BITS - 1)))
+    bits = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow().to_pandas()
+    out = np.zeros(FILTER_BITS >> 6, np.int64)
+    out[bits["at"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+    return out
+
+
+def _may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    one, two = keys & (FILTER_BITS - 1), (keys >> 32) & (FILTER_BITS - 1)
+    return ((bits[one >> 6] >> (one & 63)) & (bits[two >> 6] >> (two & 63)) & 1).astype(bool)
 
 
 class Codes(dict):
@@ -154,6 +206,7 @@ class Codes(dict):
 
     def __init__(self, tree: Tree):
         super().__init__()
+        self.hashes = tree.hashes
         self.order = np.argsort(tree.hashes)
         self.sorted = array("q", tree.hashes[self.order].tobytes())
 
@@ -181,6 +234,13 @@ class Codes(dict):
             words += words_of(text.as_py())
         return words, self.of(words), np.array(starts, np.int64)
 
+    def hashes_of(self, words: list[bytes], codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words with START before each text, and where each text then begins."""
+        h = self.hashes[codes] if len(self.hashes) else np.zeros(len(codes), np.int64)
+        rare = np.flatnonzero(codes < 0)
+        h[rare] = [word_hash(words[i]) for i in rare.tolist()]
+        return np.insert(h, starts, START), starts + np.arange(len(starts))
+
 
 def _word_counts(docs: DataFrame) -> DataFrame:
     """(word, count): hashes of all words of the corpus and how often they occur."""
@@ -203,34 +263,99 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def _next_counts(docs: DataFrame, tree, depth: int, wanted) -> DataFrame:
-    """(context, word, count) for contexts of depth words (their code, or that of the two in `wanted`) and frequent next words."""
+def _next_counts(docs: DataFrame, tree, depths: range, known) -> DataFrame:
+    """(depth, context, suffix, word, count) of contexts of these lengths and next words with LEAST and more.
+
+    known: filter of all runs of depths[0] words that have LEAST.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t: Tree = tree.value
-        codes, w = Codes(t), t.width
-        parts: list[np.ndarray] = []
+        codes = Codes(tree.value)
+        parts: list[list[np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(parts), return_counts=True)
+            depth, context, suffix, word, count = map(np.concatenate, zip(*parts, strict=True))
             parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key // w), pa.array(key % w), pa.array(n)], ["context", "word", "count"])
+            order = np.lexsort((word, context))
+            depth, context, suffix, word, count = (x[order] for x in (depth, context, suffix, word, count))
+            first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (depth[first], context[first], suffix[first], word[first], np.add.reduceat(count, first))], names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            _, c, starts = codes.of_texts(batch.column(0))
-            context = t.before(c, starts)[depth - 1]
-            if depth == 2:
-                context = np.where(_find(wanted.value, context) >= 0, context, -1)
-            good = (context >= 0) & (c >= 0) & (c < w - 1)
-            parts.append(context[good] * w + c[good])
-            if sum(map(len, parts)) > 4_000_000:
+            words, c, starts = codes.of_texts(batch.column(0))
+            hashes, starts = codes.hashes_of(words, c, starts)
+            last = np.zeros(len(hashes), bool)
+            last[np.append(starts[1:], len(hashes)) - 1] = True
+            before = np.zeros(len(hashes), np.int64)
+            for depth, whole, context in _runs(hashes, starts, depths[-1]):
+                if depth == depths[0]:
+                    alive = may = whole & _may_have(known.value, context)
+                elif depth in depths:
+                    alive = np.append(False, alive[:-1]) & may
+                if depth in depths:
+                    # A run is frequent only if all runs of depths[0] words in it are.
+                    at = np.flatnonzero(alive & ~last & np.append(may[1:], False))
+                    parts.append([np.full(len(at), depth, np.int64), context[at], before[at], hashes[at + 1], np.ones(len(at), np.int64)])
+                before = context
+            if sum(len(p[0]) for p in parts) > 2_000_000:
                 yield out()
-        if parts:
+        if any(len(p[0]) for p in parts):
             yield out()
 
-    return docs.mapInArrow(run, "context long, word long, count long").groupBy("context", "word").agg(F.sum("count").alias("count"))
+    names = ["depth", "context", "suffix", "word", "count"]
+    counts = docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return counts.groupBy("depth", "context", "word").agg(F.first("suffix").alias("suffix"), F.sum("count").alias("count")).where(F.col("count") >= LEAST)
+
+
+def _with_key(df: DataFrame, context: str | None) -> DataFrame:
+    """df with the key of the run of context and word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word = batch.column("word").to_numpy(zero_copy_only=False)
+            before = batch.column(context).to_numpy(zero_copy_only=False) if context else np.zeros(len(word), np.int64)
+            yield batch.append_column("key", pa.array(longer(before, word)))
+
+    return df.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", key long")
+
+
+def _tested(counts: DataFrame, sizes: DataFrame, before: DataFrame) -> DataFrame:
+    """Rows of one length with n (the context's count), p, before, alpha and keep; sizes: (key, count) of runs; before: (suffix, word, before)."""
+    rows = counts.join(sizes.select(F.col("key").alias("context"), F.col("count").alias("n")), "context").join(before, [c for c in before.columns if c != "before"])
+    rows = rows.withColumn("p", (F.col("count") - DISCOUNT) / F.col("n"))
+    of = Window.partitionBy("context")
+    rest = F.greatest(1 - F.sum("p").over(of), F.lit(1e-12))
+    rest_before = F.greatest(1 - F.sum("before").over(of), F.lit(1e-12))
+    gain = F.col("n") * (F.sum(F.col("p") * F.log(F.col("p") / F.col("before"))).over(of) + rest * F.log(rest / rest_before))
+    cost = 0.5 * F.count("*").over(of) * F.log(F.greatest(F.col("n"), F.lit(2)))
+    return rows.select("depth", "context", "suffix", "word", "count", "n", "p", "before", F.log(rest / rest_before).alias("alpha"), (gain > cost).alias("keep"))
+
+
+def _levels(texts: DataFrame, words: DataFrame, tree: Tree, documents: int) -> list[DataFrame]:
+    """Written levels of contexts of 1, 2, ... words, with `kept` added; the last has contexts that pass."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(tree)
+    start = spark.createDataFrame([(START, documents)], "word long, count long")
+    sizes = _with_key(words.where(F.col("count") >= LEAST).union(start), None).select("key", "count")
+    root = (F.col("count") + 0.5) / F.lit(tree.total + 0.5 * (tree.distinct + 1))
+    before = words.select("word", root.alias("before"))
+    levels: list[DataFrame] = []
+    depths, deepest = range(1, 2), 0
+    while True:
+        known = spark.sparkContext.broadcast(_filter(sizes))
+        counts = written(_next_counts(texts, shared, depths, known), "suffix-counts")
+        for depth in depths:
+            level = written(_with_key(_tested(counts.where(F.col("depth") == depth), sizes, before), "context"), "suffix-level")
+            levels.append(level)
+            if level.where("keep").head(1):
+                deepest = depth
+            sizes = level.select("key", "count")
+            before = level.select(F.col("context").alias("suffix"), "word", F.col("p").alias("before"))
+        if deepest < depths[0]:
+            return levels[:deepest]
+        depths = range(depths[-1] + 1, depths[-1] + 1 + STEP)
 
 
 def train(docs: DataFrame, text_col: str = "text") -> tuple[Tree, DataFrame]:
@@ -240,26 +365,55 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Tree, DataFrame]:
     texts = docs.select(F.col(text_col).alias("text"))
     words = written(_word_counts(texts), "suffix-words")
     total, distinct = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    often = words.where(F.col("count") >= max(1, WORD_SHARE * total)).toPandas().sort_values(["count", "word"], ascending=[False, True])
+    often = words.where(F.col("count") >= max(1, WORD_SHARE * total)).toArrow().to_pandas().sort_values(["count", "word"], ascending=[False, True])
     hashes, counts = often["word"].to_numpy(np.int64), often["count"].to_numpy(np.int64)
-    least = max(LEAST, CONTEXT_SHARE * total)
+    least, listed = max(LEAST, CONTEXT_SHARE * total), max(LEAST, NEXT_SHARE * total)
     width = int((counts >= least).sum()) + 1
     tree = Tree(hashes, counts, int(total), int(distinct), width, [])
-    end = word_hash(END)
-    documents = int(counts[hashes == end].sum())
-    shared = spark.sparkContext.broadcast(tree)
-    sizes: dict[int, int] = dict(enumerate(counts[: width - 1].tolist())) | {width - 1: documents}
+    documents = int(counts[hashes == word_hash(END)].sum())
+    levels = _levels(texts, words, tree, documents)
+    tree.depth = len(levels)
+    # Suffixes of kept contexts are kept.
+    kept: list[DataFrame] = []
+    for level in reversed(levels):
+        rows = level.where("keep")
+        if kept:
+            rows = level.join(kept[0].select(F.col("suffix").alias("_s")).distinct(), F.col("context") == F.col("_s"), "left").where("keep or _s is not null").drop("_s")
+        kept.insert(0, written(rows, "suffix-kept"))
+    # The levels sent: contexts and rows by their shares.
+    names = {1: longer(np.zeros(width, np.int64), np.append(hashes[: width - 1], START))}
+    codes = {1: np.arange(width)}
+    by_hash = np.argsort(hashes)
     for depth in (1, 2):
-        wanted = None
-        if depth == 2:
-            # Pairs that are frequent enough themselves and end in a context that was kept.
-            pairs = first[(first["count"] >= least) & (_find(tree.levels[0].key, first["word"].to_numpy()) >= 0)]
-            key = pairs["context"].to_numpy() * width + pairs["word"].to_numpy()
-            sizes = dict(zip(key.tolist(), pairs["count"].tolist(), strict=True))
-            wanted = spark.sparkContext.broadcast(np.sort(key))
-        listed = max(LEAST, NEXT_SHARE * total)
-        first = _next_counts(texts, shared, depth, wanted).where(F.col("count") >= listed).toPandas()
-        tree.grow(first["context"].to_numpy(np.int64), first["word"].to_numpy(np.int64), first["count"].to_numpy(np.int64), sizes)
+        if len(kept) < depth:
+            tree.grow(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
+            continue
+        order = np.argsort(names[depth])
+        # A context with none of its words sent has one row still.
+        sent = kept[depth - 1].where(F.col("n") >= least)
+        one = sent.groupBy("context").agg(F.first("alpha").alias("alpha")).toArrow().to_pandas()
+        rows = sent.where(F.col("count") >= listed).select("context", "word", "p").toArrow().to_pandas()
+        context = np.concatenate([one["context"].to_numpy(np.int64), rows["context"].to_numpy(np.int64)])
+        code = codes[depth][order[np.searchsorted(names[depth][order], context)]] if len(context) else context
+        alpha = np.concatenate([one["alpha"].to_numpy(float), np.zeros(len(rows))])
+        word = np.concatenate([np.full(len(one), -1), by_hash[np.searchsorted(hashes[by_hash], rows["word"].to_numpy(np.int64))]])
+        tree.grow(code, alpha, word, np.concatenate([np.zeros(len(one)), np.log(rows["p"].to_numpy(float))]))
+        if depth == 1:
+            pairs = levels[0].where(F.col("count") >= least).select("context", "word", "key").toArrow().to_pandas()
+            at = [order[np.searchsorted(names[1][order], pairs["context"].to_numpy(np.int64))], by_hash[np.searchsorted(hashes[by_hash], pairs["word"].to_numpy(np.int64))]]
+            names[2], codes[2] = pairs["key"].to_numpy(np.int64), at[0] * width + at[1]
+    # All other runs: what a context leaves to its suffix, and what a listed word has over its suffix's.
+    runs = spark.createDataFrame([], "key long, value double, count long")
+    for depth, level in enumerate(kept, 1):
+        far = F.lit(depth > 2) | (F.col("n") < least)
+        alphas = level.where(far).groupBy(F.col("context").alias("key")).agg(F.first("alpha").alias("value"), F.first("n").alias("count"))
+        more = F.log("p") - F.log("before") - F.col("alpha")
+        runs = runs.union(alphas).union(level.where(far | (F.col("count") < listed)).select("key", more.alias("value"), "count"))
+    runs = written(runs.groupBy("key").agg(F.sum("value").alias("value"), F.max("count").alias("count")), "suffix-runs")
+    sent = runs.where(F.col("count") >= listed).toArrow().to_pandas().sort_values("key")
+    tree.often = sent["key"].to_numpy(np.int64), sent["value"].to_numpy(float)
+    tree.runs = runs.where(F.col("count") < listed)
+    tree.filter = _filter(tree.runs)
     return tree, words
 
 
@@ -267,14 +421,14 @@ def score_texts(df: DataFrame, tree: Tree, words: DataFrame, text_col: str = "te
     """df with n_tokens, n_known, base_score and score (log10 of the text's probability under the root alone, and under the tree).
 
     Null and empty texts are the end alone. All rows (equal ones too) and
-    other columns stay; columns of the new names are replaced. Words that are
-    not sent with the tree are counted by a join on their 64-bit hashes.
+    other columns stay; columns of the new names are replaced. Words and
+    runs of words that are not sent with the tree are joined on their 64-bit hashes.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(tree)
 
-    @F.arrow_udf("struct<n:long,local:long,base:double,score:double,rare:array<long>>")
+    @F.arrow_udf("struct<n:long,local:long,base:double,score:double,rare:array<long>,runs:array<long>>")
     def look(texts: pa.Array) -> pa.Array:
         t: Tree = shared.value
         codes, root = known(t), t.root(t.counts)
@@ -284,14 +438,20 @@ def score_texts(df: DataFrame, tree: Tree, words: DataFrame, text_col: str = "te
         here = c >= 0
         base = np.where(here, root[np.maximum(c, 0)], 0.0) if len(root) else np.zeros(len(c))
         add, open_ = t.local(c, starts)
+        hashes, begins = codes.hashes_of(words, c, starts)
+        more, places, keys = t.others(hashes, begins)
+        order = np.argsort(places, kind="stable")
+        at = np.searchsorted(places[order], np.append(begins, len(hashes)))
+        runs = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys[order]))
         rare = np.array([word_hash(words[i]) for i in np.flatnonzero(~here).tolist()], np.int64)
         ends = np.append(starts[1:], len(c))
         before = np.concatenate([[0], np.cumsum(~here)])
         lists = pa.ListArray.from_arrays(pa.array(np.append(before[starts], before[-1]), pa.int32()), pa.array(rare))
         sums = [np.add.reduceat(x, starts) for x in (here.astype(np.int64), base, add + base * open_)]
-        return pa.StructArray.from_arrays([pa.array(ends - starts), *map(pa.array, sums), lists], fields=list(kind))
+        sums[-1] = sums[-1] + np.add.reduceat(more, begins)
+        return pa.StructArray.from_arrays([pa.array(ends - starts), *map(pa.array, sums), lists, runs], fields=list(kind))
 
-    kind = pa.struct([("n", pa.int64()), ("local", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
+    kind = pa.struct([("n", pa.int64()), ("local", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("runs", pa.list_(pa.int64()))])
     held: list[Codes] = []
 
     def known(t: Tree) -> Codes:
@@ -308,6 +468,9 @@ def score_texts(df: DataFrame, tree: Tree, words: DataFrame, text_col: str = "te
     log = F.log((count + 0.5) / F.lit(tree.total + 0.5 * (tree.distinct + 1)))
     rare = rare.groupBy(F.col("_row").alias("_of")).agg(F.sum(log).alias("_log"), F.sum((count > 0).cast("long")).alias("_known"))
     both = looked.join(rare, F.col("_row") == F.col("_of"), "left")
+    more = looked.select("_row", F.explode("_t.runs").alias("_run")).join(tree.runs.select("key", "value"), F.col("_run") == F.col("key"))
+    more = more.groupBy(F.col("_row").alias("_in")).agg(F.sum("value").alias("_more"))
+    both = both.join(more, F.col("_row") == F.col("_in"), "left")
     log = F.coalesce("_log", F.lit(0.0))
     kept = [c for c in df.columns if c != text_col]
     return both.select(
@@ -315,7 +478,7 @@ def score_texts(df: DataFrame, tree: Tree, words: DataFrame, text_col: str = "te
         F.col("_t.n").alias("n_tokens"),
         (F.col("_t.local") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         ((F.col("_t.base") + log) / F.lit(float(np.log(10)))).alias("base_score"),
-        ((F.col("_t.score") + log) / F.lit(float(np.log(10)))).alias("score"),
+        ((F.col("_t.score") + F.coalesce("_more", F.lit(0.0)) + log) / F.lit(float(np.log(10)))).alias("score"),
     )
 
 

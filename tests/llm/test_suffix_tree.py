@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarryweb.llm import suffix_tree
 from quarryweb.llm.suffix_tree import END, Codes, op3_lm_scoring, score_texts, train, words_of
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -80,3 +81,60 @@ def test_odd_rows(spark):
     far = score_texts(df, empty, none).collect()
     assert all(r.n_known == 0 and r.base_score == pytest.approx(0) for r in far)
     assert score_texts(df.limit(0), tree, table).count() == 0 and END in words_of(None)
+
+
+def reference(texts):
+    """Log10 scores of texts under the tree that they train, context by context, without limits."""
+    seqs = [[None, *words(t)] for t in texts]
+    c = Counter(w for s in seqs for w in s[1:])
+    n, v = sum(c.values()), len(c)
+    nexts, dist, keep = {}, {}, set()
+    for depth in range(1, 11):
+        nexts[depth] = {}
+        for s in seqs:
+            for i in range(depth, len(s)):
+                nexts[depth].setdefault(tuple(s[i - depth : i]), Counter())[s[i]] += 1
+        for ctx, follow in nexts[depth].items():
+            size = sum(follow.values())
+            p = {w: (k - 0.5) / size for w, k in follow.items() if k >= 3}
+            if not p:
+                continue
+            before = {w: dist[ctx[1:]][0][w] if depth > 1 else (c[w] + 0.5) / (n + 0.5 * (v + 1)) for w in p}
+            rest, rest_before = 1 - sum(p.values()), 1 - sum(before.values())
+            dist[ctx] = p, math.log(rest / rest_before)
+            if size * (sum(p[w] * math.log(p[w] / before[w]) for w in p) + rest * math.log(rest / rest_before)) > 0.5 * len(p) * math.log(size):
+                keep |= {ctx[i:] for i in range(depth)}
+    out = []
+    for s in seqs:
+        log = 0.0
+        for i in range(1, len(s)):
+            ctx = next((k for d in range(depth, 0, -1) if d <= i and (k := tuple(s[i - d : i])) in keep), ())
+            while ctx and s[i] not in dist[ctx][0]:
+                log += dist[ctx][1]
+                ctx = ctx[1:]
+            log += math.log(dist[ctx][0][s[i]] if ctx else (c[s[i]] + 0.5) / (n + 0.5 * (v + 1)))
+        out.append(log / math.log(10))
+    return out, max(map(len, keep))
+
+
+@pytest.mark.parametrize("share", [None, 0.02, 1.0])
+def test_whole_tree_whatever_is_sent(spark, monkeypatch, share):
+    # What follows the shared words of family d is told by the word d places before it.
+    texts = [f"{a}{d} {' '.join(f's{d}{j}' for j in range(d - 1))} {b}{d} r{i * 7 % 5}" for d in range(1, 7) for i in range(12) for a, b in (("x", "y"), ("z", "q"))]
+    if share:
+        monkeypatch.setattr(suffix_tree, "CONTEXT_SHARE", share)
+        monkeypatch.setattr(suffix_tree, "NEXT_SHARE", share)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tree, table = train(df)
+    got = {r.doc_id: r.score for r in score_texts(df, tree, table).collect()}
+    want, deepest = reference(texts)
+    assert deepest >= 6 and tree.depth == deepest
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want)
+
+
+def test_repeated_pairs_count_in_a_large_corpus(spark):
+    filler = spark.range(1200).select(F.expr("array_join(transform(sequence(1, 1000), x -> concat('w', (id * 1000 + x) % 400000)), ' ')").alias("text"))
+    rare = spark.createDataFrame([("lorem ipsum",)] * 5, "text string")
+    tree, table = train(filler.union(rare))
+    row = score_texts(rare.limit(1), tree, table).first()
+    assert row.score > row.base_score + 5
