@@ -135,10 +135,11 @@ def _forward_backward(scores: list[float], step: np.ndarray) -> tuple[list[float
     return good, pairs, log_z
 
 
-def train(documents: list[tuple[list[bytes], int]], rounds: int = 60, decay: float = 1e-3) -> LineModel:
+def train(documents: list[tuple[list[bytes], int]], rounds: int = 60, decay: float = 1e-3, stands_for: tuple[float, float] = (1.0, 1.0)) -> LineModel:
     """Fits the chain by gradient steps with running scales (Adam), then the curve on the documents' mean marginals.
 
-    Classes are weighted to count alike. Without documents of both labels
+    Classes are weighted to count alike in the chain; for the curve a document
+    of label y counts as the `stands_for[y]` that it was chosen from. Without documents of both labels
     every score is the share of label 1 (one half without any).
     """
     labels = np.array([y for _, y in documents], float)
@@ -172,10 +173,12 @@ def train(documents: list[tuple[list[bytes], int]], rounds: int = 60, decay: flo
     model = LineModel(emit, step, (1.0, 0.0))
     x = np.array([model.mean(lines) for lines, _ in documents]) - 0.5
     a, b = 4.0, 0.0
+    each = np.where(labels > 0, stands_for[1], stands_for[0])
+    each *= len(each) / each.sum()
     for _ in range(200):  # Newton's steps of a slightly damped logistic regression
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        h = p * (1 - p)
-        g = np.array([(labels - p) @ x - 0.02 * a, (labels - p).sum() - 0.001 * b])
+        h = each * p * (1 - p)
+        g = np.array([(each * (labels - p)) @ x - 0.02 * a, (each * (labels - p)).sum() - 0.001 * b])
         m = np.array([[(h * x * x).sum() + 0.02, (h * x).sum()], [(h * x).sum(), h.sum() + 0.001]])
         d = np.linalg.solve(m, g)
         a, b = a + float(np.clip(d[0], -2, 2)), b + float(np.clip(d[1], -2, 2))
@@ -192,6 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
     order = F.xxhash64("_id")
+    sizes = dict(known.where("_id is not null").groupBy("_label").count().collect())
+    stands_for = (max(1.0, sizes.get(0, 0) / documents), max(1.0, sizes.get(1, 0) / documents))
     ids = [known.where(F.col("_label") == y).orderBy(order, "_id").limit(documents) for y in (0, 1)]
     # The bound makes the chosen ids small enough to send to every task that reads documents.
     chosen = F.broadcast(ids[0].unionByName(ids[1]))
@@ -208,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     made = rows.select("_id", F.col("_label").cast("int"), text_col).mapInArrow(lines, "id long, label int, lines array<binary>").collect()
     made.sort(key=lambda r: (r.id, r.lines))
-    return train([([bytes(x) for x in r.lines], r.label) for r in made])
+    return train([([bytes(x) for x in r.lines], r.label) for r in made], stands_for=stands_for)
 
 
 def quality_score(text: Column, model: LineModel) -> Column:

@@ -45,3 +45,10 @@ def test_odd_rows_and_degenerate_labels(spark):
     assert score_quality(df.limit(0), one).count() == 0
     assert document_lines(None) == [b""] and chain_features([b"", b"x"]).shape == (2, 42)
     assert train([]).score(None) == 0.5
+
+
+def test_bounded_sample_keeps_the_share_of_labels(spark):
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("some words in a line").alias("text"))
+    labels = df.select("doc_id", (F.col("doc_id") % 10 > 0).cast("int").alias("quality"))
+    for documents in (20, 1000):
+        assert abs(fit(df, labels, documents=documents).score("some words in a line") - 0.9) < 0.01
