@@ -27,9 +27,11 @@ from quarryweb.llm.common import bounded_batches, table
 #: Labelled pages that the model is trained on, and passes over them.
 TRAINING_PAGES, ROUNDS = 500, 250
 #: Elements that are part of the block around them.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr br".split())
+_FORMULA = "maction math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml"
+_DRAWING = "svg g text tspan textpath desc defs symbol switch circle ellipse line path polygon polyline rect use"
+INLINE = frozenset(f"{_FORMULA} {_DRAWING} a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 #: Elements without text of the page.
-SILENT = frozenset("script style noscript template head title meta link iframe object embed canvas audio video source track select option textarea svg math noembed noframes datalist input".split())
+SILENT = frozenset("script style noscript template head title meta link iframe object embed canvas audio video source track select option textarea noembed noframes datalist input".split())
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 

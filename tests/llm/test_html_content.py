@@ -64,3 +64,9 @@ def test_odd_pages(spark):
     texts = [r.text for r in got.collect()]
     assert texts[:3] == ["", "", ""] and texts[3] == texts[4] and texts[3].count("\n") == 2999 and texts[5] == "" and texts[7] == "a <b> &c d e"
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+def test_formulas_and_drawn_text_stay():
+    page = "<html><body><article><p>Words before <math><mrow><mi>xq</mi><mo>+</mo><mn>17</mn></mrow></math> and <svg><style>.k{}</style><g><text>Drawn label</text></g></svg> after it.</p></article></body></html>"
+    _, runs = blocks(parse(page))
+    assert " ".join(text for _, text in runs) == "Words before xq+17 and Drawn label after it."
