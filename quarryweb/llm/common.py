@@ -35,9 +35,15 @@ def id_fold(doc_id: str, folds: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); one in /tmp only where it is unset, as in tests."""
+    """The folder that the cluster shares (spark.checkpoint.dir); one in /tmp only where it is unset and the master is local, as in tests.
+
+    Without a shared folder on a cluster this raises: executors could not read what others wrote.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="quarryweb-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -62,18 +68,40 @@ def _remove(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, and a lost executor costs nothing that was computed before."""
-    path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Shuffle files of a written table go when it is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts get at most so many rows, so that a Python worker holds a few MB of them at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage is cut, and a lost executor costs nothing that was computed before."""
+    spark = df.sparkSession
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _remove(df.sparkSession, path)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Arrow batches of whole texts get at most so many rows and, but for a single longer text, bytes.
+
+    The settings are lowered for the session, as the plans that need them run when the caller asks for their rows.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

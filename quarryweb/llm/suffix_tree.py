@@ -1,490 +1,621 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The root knows every word of the corpus. Below it are contexts of one word and
-more. A context lists each next word that follows it at least LEAST times. It
+The root knows every word of the corpus. Below it are contexts of one to DEPTH
+words. A context lists each next word that follows it at least LEAST times. It
 is kept if its next-word distribution diverges from that of its suffix by more
 than its parameters cost (half the log of its count each, as in minimum
-description length), or if it is the suffix of one that is kept. Lengths grow,
-three at a time, until none of three has a context that passes. Distributions are smoothed by absolute
-discounts; what they leave goes to the words they do not list, in the suffix's
-proportions. A word is scored in the longest context that the tree has for the
-words before it.
-
-Counts cover the whole corpus, and LEAST does not depend on its size. Levels
-are written tables. A word that a context lists is listed by all its suffixes
-too, so a score is the root's plus a sum over the runs of words that occur in
-the text, of one value a run: what it adds as context and as listed word. The
-frequent part (by shares of the corpus, so it is bounded) is sent to every
-task; all other runs and the root's other words are joined by shuffle. Filters
-of a fixed size say which runs need it; they never drop one that does.
+description length), or if it is the suffix of one that is kept; each context
+is tested on its own. Distributions are smoothed by absolute discounts; what
+they leave goes to the words they do not list, in the suffix's proportions. A
+word is scored in the longest context that the tree has for the words before
+it.
+
+Counts cover the whole corpus, and LEAST does not depend on its size, so the
+tree grows with the input. Runs of words are counted in two steps: each task
+sorts its runs and sends every different one once, with its count, in blobs
+for slices of the range of their hashes; a slice then adds up the counts. So
+no run is a hot key, however often it occurs. A run can only be frequent if
+the shorter runs in it are, which a filter of fixed size tells (it drops no
+run that is; when the corpus outgrows it, it just tells less).
+
+A word that a context lists is listed by all its suffixes too, so a score is
+the root's plus a sum over the runs of words in the text of one value a run:
+what it adds as a context and as a listed word. Runs with a share of SHARE of
+the corpus (so at most 1 / SHARE of each length) are sent to every task; all
+others are looked up slice by slice. Runs are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from array import array
-from bisect import bisect_left
-from collections import Counter
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryweb.llm.common import bounded_batches, id_fold, table, written
+from quarryweb.llm.common import bounded_batches, discard, free_name, id_fold, table, written
 
-#: What has these shares of the corpus is sent to every task; they do not bound the tree.
-WORD_SHARE, CONTEXT_SHARE, NEXT_SHARE = 1e-6, 1e-5, 2e-6
-#: Contexts and listed next words have at least this count.
+#: The most words of a context.
+DEPTH = 4
+#: Contexts' listed next words have at least this count.
 LEAST = 3
 DISCOUNT = 0.5
-#: Lengths of contexts counted in one pass; they grow until no context of such a step passes its test.
-STEP = 3
-END = b"\n"
-FILTER_BITS = 1 << 26
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Words by ASCII white space, A-Z lower-cased, and the end."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    words.append(END)
-    return words
-
-
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - (1 << 63)
-
-
-#: Stands before the first word of each text, in contexts only.
-START = word_hash(b"\n\n")
+#: Runs with this share of the corpus are sent to every task; it does not bound the tree.
+SHARE = 1e-6
+#: Bytes of text for each slice of run hashes in counting; slices of values are for more, as they hold fewer runs.
+SLICE_BYTES, VALUE_SLICES = 16 << 20, 4
+#: Runs that a task gathers before it sends them, and entries of one blob.
+GATHERED, ENTRIES = 3_000_000, 1 << 18
+#: Bits of the filters, in blocks of which each run's two bits share one.
+FILTER_BITS, BLOCKS = 1 << 27, 1 << 16
+
+_BASE = 0xD1342543DE82EF97
+_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
+_UNMIX = pow(_MIX[1], -1, 1 << 64)
+#: Each byte's value in a word's hash: A-Z as a-z. White space parts words.
+_VALUE = np.arange(1, 257, dtype=np.uint64)
+_VALUE[65:91] += np.uint64(32)
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+
+
+class _Powers:
+    """Powers of the base of word hashes, and of its inverse, grown as wanted."""
+
+    up = np.ones(1, np.uint64)
+    down = np.ones(1, np.uint64)
+
+    @classmethod
+    def reach(cls, n: int) -> None:
+        if len(cls.up) <= n:
+            size = max(n + 1, 1 << 16)
+            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+                setattr(cls, name, np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, np.uint64(base)))]))
 
 
 def longer(key: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Hashes of runs of words with one more word; the empty run is 0."""
-    x = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(32))).view(np.int64)
+    x = key * np.uint64(_MIX[0]) + word
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(_MIX[1])
+    return x ^ (x >> np.uint64(32))
 
 
-def _runs(hashes: np.ndarray, starts: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, places where a run of it ends, keys of the run that ends at each place); START is put before each text."""
-    place = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.append(starts, len(hashes))))
-    key = np.zeros(len(hashes), np.int64)
-    for length in range(1, most + 1):
-        key = longer(np.concatenate([[0], key[:-1]]) if length > 1 else key, hashes)
-        yield length, place >= length - 1, key
+def last_word(key: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The word by which a run is longer than its context."""
+    x = (key ^ (key >> np.uint64(32))) * np.uint64(_UNMIX)
+    x = x ^ (x >> np.uint64(29)) ^ (x >> np.uint64(58))
+    return x - context * np.uint64(_MIX[0])
 
 
-@dataclass
-class Level:
-    """Frequent contexts of one length. key: sorted context codes; listed: sorted context * span + next word; p: natural logs."""
+def _word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words [begin, end) of one piece of bytes."""
+    _Powers.reach(len(data))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * _Powers.up[: len(data)])])
+    x = (sums[end] - sums[begin]) * _Powers.down[begin] + (end - begin).astype(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(_MIX[0])
+    return x ^ (x >> np.uint64(29))
 
-    key: np.ndarray
-    alpha: np.ndarray
-    listed: np.ndarray
-    p: np.ndarray
 
+def word_hash(word: bytes) -> np.uint64:
+    return _word_hashes(np.frombuffer(word, np.uint8), np.zeros(1, np.int64), np.full(1, len(word)))[0]
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of wanted in sorted keys, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
 
+#: Stand before the first word of each text, in contexts only, and after its last. No word holds a line feed.
+START, END = word_hash(b"\n\n"), word_hash(b"\n")
 
-@dataclass
-class Tree:
-    """hashes, counts: the frequent words, most frequent first; the first `width` - 1 may be in levels' contexts, and width - 1 is the start.
 
-    levels: the frequent contexts of one and two words. often: values of other
-    frequent runs (sorted keys, values). filter: bits of the runs in `runs`,
-    a table on the driver with all others. depth: the longest context.
-    """
+def words_in(texts: pa.Array, piece: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, number of texts, hashes, starts) of groups of texts of about `piece` bytes; a longer text is a group.
 
-    hashes: np.ndarray
-    counts: np.ndarray
-    total: int
-    distinct: int
-    width: int
-    levels: list[Level]
-    depth: int = 0
-    often: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0))
-    filter: np.ndarray | None = None
-    runs: DataFrame | None = None
+    hashes: START, the words and END of each text; starts: the places of START. Null texts are empty.
+    """
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    if not len(texts):
+        return
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + piece, side="right")) - 1)
+        to = min(to, len(texts))
+        group, cuts = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+        blank = _SPACE[group]
+        first, last = ~blank, ~blank
+        first[1:] &= blank[:-1]
+        last[:-1] &= blank[1:]
+        inner = cuts[1:-1]
+        inner = inner[(inner > 0) & (inner < len(group))]
+        first[inner], last[inner - 1] = ~blank[inner], ~blank[inner - 1]
+        begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        words = np.zeros(len(begin), np.uint64)
+        done = 0
+        while done < len(begin):  # a long text's bytes, a piece at a time
+            upto = max(done + 1, int(np.searchsorted(end, begin[done] + 2 * piece, side="right")))
+            low = begin[done]
+            words[done:upto] = _word_hashes(group[low : end[upto - 1]], begin[done:upto] - low, end[done:upto] - low)
+            done = upto
+        n = to - at
+        of = np.searchsorted(cuts[1:], begin, side="right")
+        each = np.bincount(of, minlength=n)
+        starts = np.concatenate([[0], np.cumsum(each + 2)])
+        hashes = np.full(len(words) + 2 * n, END)
+        hashes[starts[:-1]] = START
+        hashes[np.arange(len(words)) + 2 * of + 1] = words
+        yield at, n, hashes, starts[:-1]
+        at = to
+
+
+def _places(size: int, starts: np.ndarray) -> np.ndarray:
+    return np.arange(size) - np.repeat(starts, np.diff(np.append(starts, size)))
+
+
+def _before(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, x.dtype), x[:-1]])
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of 64 bits as planes of bytes: sorted and small numbers then compress."""
+    return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+
+
+def unpack(data: bytes, kinds: str) -> list[np.ndarray]:
+    n = len(data) // (8 * len(kinds))
+    whole = np.frombuffer(data, np.uint8).reshape(len(kinds), 8, n)
+    return [np.ascontiguousarray(whole[i].T).reshape(-1).view({"u": np.uint64, "i": np.int64, "f": np.float64}[k]) for i, k in enumerate(kinds)]
+
+
+_ROW = "part long, kind int, data binary"
+
+
+def _row(part: int, kind: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], ["part", "kind", "data"])
+
+
+def _slices(key: np.ndarray, slices: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
+
+
+def _blobs(kind: int, key: np.ndarray, columns: list[np.ndarray], slices: int) -> Iterator[pa.RecordBatch]:
+    """Rows of sorted keys with their columns, for each slice, in blobs of at most ENTRIES."""
+    of = _slices(key, slices)
+    cut = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]]) if len(of) else [0]
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        for i in range(a, b, ENTRIES):
+            at = slice(i, min(b, i + ENTRIES))
+            yield _row(int(of[a]), kind, pack(key[at], *[c[at] for c in columns]))
+
+
+def _grouped(key: np.ndarray, count: np.ndarray | None, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Sorted different keys, their counts (or the sums of `count`), and others of one of each."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    sums = np.diff(np.append(first, len(key))) if count is None else np.add.reduceat(count[order], first) if len(first) else count
+    return key[first], sums, [x[order[first]] for x in others]
+
+
+def _segment(keys: np.ndarray, part: int, slices: int) -> tuple[int, np.ndarray]:
+    """(first word, words) of the filter's blocks that keys of this slice fall in."""
+    low, high = ((((p << 32) + slices - 1) // slices) * BLOCKS >> 32 for p in (part, part + 1))
+    high = min(high, BLOCKS - 1)
+    each = FILTER_BITS // BLOCKS
+    bits = np.zeros((high - low + 1) * each, bool)
+    for at in _bits(keys):
+        bits[at - low * each] = True
+    return low * each // 64, np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    each = FILTER_BITS // BLOCKS
+    one = (keys >> np.uint64(65 - FILTER_BITS.bit_length())).astype(np.int64)
+    block = (keys >> np.uint64(65 - BLOCKS.bit_length())).astype(np.int64)
+    return one, block * each + (keys & np.uint64(each - 1)).astype(np.int64)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"runs": None}
 
-    @property
-    def span(self) -> int:
-        return len(self.hashes)
+def _may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    one, two = _bits(keys)
+    return ((bits[one >> 6] >> (one & 63).astype(np.uint64)) & (bits[two >> 6] >> (two & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        return np.log((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
-    def before(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the contexts of one and of two words before each word of texts that begin at starts; -1 where there is none."""
-        w = self.width
-        one = np.concatenate([[-1], np.where(codes < w - 1, codes, -1)[:-1]])
-        one[starts] = w - 1
-        two = np.concatenate([[-1], one[:-1]])
-        two[starts] = -1
-        return one, np.where((two >= 0) & (one >= 0), two * w + one, -1)
-
-    def contexts(self, codes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        """For each word, the place of its context of each length, or -1."""
-        found: list[np.ndarray] = []
-        for level, key in zip(self.levels, self.before(codes, starts), strict=False):
-            at = _find(level.key, key)
-            found.append(np.where(found[-1] >= 0, at, -1) if found else at)
-        return found
-
-    def local(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(what the levels add to the root's log, whether the root's log counts) for each word."""
-        add, open_ = np.zeros(len(codes)), np.ones(len(codes), bool)
-        for at, level in reversed(list(zip(self.contexts(codes, starts), self.levels, strict=True))):
-            here = np.flatnonzero((at >= 0) & open_)
-            place, word = at[here], codes[here]
-            listed = np.where(word >= 0, _find(level.listed, place * self.span + word), -1)
-            hit = listed >= 0
-            add[here[hit]] += level.p[listed[hit]]
-            open_[here[hit]] = False
-            add[here[~hit]] += level.alpha[place[~hit]]
-        return add, open_
-
-    def log_p(self, words: np.ndarray, depth: int, key: np.ndarray) -> np.ndarray:
-        """Log probability of words in the context with place `key` of length depth (0: the root)."""
-        if not depth:
-            return self.root(self.counts[words])
-        level = self.levels[depth - 1]
-        at = _find(level.listed, key * self.span + words)
-        if depth == 2:
-            shorter = _find(self.levels[0].key, level.key[key] % self.width)
-        else:
-            shorter = key
-        return np.where(at >= 0, level.p[np.maximum(at, 0)] if len(level.p) else 0.0, level.alpha[key] + self.log_p(words, depth - 1, shorter))
-
-    def grow(self, context: np.ndarray, alpha: np.ndarray, word: np.ndarray, p: np.ndarray) -> None:
-        """Adds a level from (context code, its alpha, next word's code or -1, its log) of each row."""
-        keys, first = np.unique(context, return_index=True)
-        row = np.flatnonzero(word >= 0)
-        listed = np.searchsorted(keys, context[row]) * self.span + word[row]
-        order = np.argsort(listed)
-        self.levels.append(Level(keys, alpha[first], listed[order], p[row][order]))
-
-    def others(self, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(what runs outside the levels add at each place, places and keys of runs to look up) for texts with START before each."""
-        add, places, keys = np.zeros(len(hashes)), [], []
-        for _, whole, key in _runs(hashes, starts, self.depth + 1):
-            at = np.where(whole, _find(self.often[0], key), -1)
-            add[at >= 0] += self.often[1][at[at >= 0]]
-            hit = np.flatnonzero(whole & (at < 0) & _may_have(self.filter, key))
-            places.append(hit)
-            keys.append(key[hit])
-        return add, np.concatenate(places), np.concatenate(keys)
-
-
-def _filter(keys: DataFrame) -> np.ndarray:
-    """Bits of all `key`s, FILTER_BITS of them at any number of keys."""
-    bit = F.explode(F.array(F.col("key").bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned("key", 32).bitwiseAND(FILTER_BITS - 1)))
-    bits = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow().to_pandas()
-    out = np.zeros(FILTER_BITS >> 6, np.int64)
-    out[bits["at"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+def _filter(segments: list) -> np.ndarray:
+    """The filter from its segments (first word, bytes)."""
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    for at, data in segments:
+        words = np.frombuffer(data, np.uint64)
+        out[at : at + len(words)] |= words
     return out
 
 
-def _may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    one, two = keys & (FILTER_BITS - 1), (keys >> 32) & (FILTER_BITS - 1)
-    return ((bits[one >> 6] >> (one & 63)) & (bits[two >> 6] >> (two & 63)) & 1).astype(bool)
-
-
-class Codes(dict):
-    """Codes of words by frequency, -1 for those that are not sent; kept while there is room."""
-
-    def __init__(self, tree: Tree):
-        super().__init__()
-        self.hashes = tree.hashes
-        self.order = np.argsort(tree.hashes)
-        self.sorted = array("q", tree.hashes[self.order].tobytes())
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            often = {w: c for w, c in self.items() if c >= 0}
-            self.clear()
-            if len(often) < 300_000:
-                self.update(often)
-        h = word_hash(word)
-        at = bisect_left(self.sorted, h)
-        code = int(self.order[at]) if at < len(self.sorted) and self.sorted[at] == h else -1
-        self[word] = code
-        return code
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-    def of_texts(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The words of all texts, their codes, and where each text begins."""
-        words: list[bytes] = []
-        starts = []
-        for text in texts:
-            starts.append(len(words))
-            words += words_of(text.as_py())
-        return words, self.of(words), np.array(starts, np.int64)
-
-    def hashes_of(self, words: list[bytes], codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words with START before each text, and where each text then begins."""
-        h = self.hashes[codes] if len(self.hashes) else np.zeros(len(codes), np.int64)
-        rare = np.flatnonzero(codes < 0)
-        h[rare] = [word_hash(words[i]) for i in rare.tolist()]
-        return np.insert(h, starts, START), starts + np.arange(len(starts))
-
-
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """(word, count): hashes of all words of the corpus and how often they occur."""
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
 
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["word", "count"])
-            counts.clear()
-            return batch
+def _counted(texts: DataFrame, depths: range, slices: int, known) -> DataFrame:
+    """(depth, context, suffix, word, key, count) of runs of depth + 1 words: all of depth 0 and those of others with LEAST and more.
 
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(words_of(text.as_py()))
-            if len(counts) > 400_000:
-                yield out()
-        yield out()
+    Rows with a depth below zero are segments of the filter of the runs of the
+    last depth. known: the filter of the runs of depths[0] words, for depths
+    above 1.
+    """
 
-    return docs.mapInArrow(run, "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[list[np.ndarray]]] = {d: [] for d in depths}
+        size = 0
 
+        def out() -> Iterator[pa.RecordBatch]:
+            for depth, parts in held.items():
+                if parts:
+                    key, *rest = map(np.concatenate, zip(*parts, strict=True))
+                    parts.clear()
+                    key, count, rest = _grouped(key, None, rest)
+                    yield from _blobs(depth, key, [count, *rest], slices)
 
-def _next_counts(docs: DataFrame, tree, depths: range, known) -> DataFrame:
-    """(depth, context, suffix, word, count) of contexts of these lengths and next words with LEAST and more.
+        for batch in batches:
+            for _, _, h, starts in words_in(batch.column(0)):
+                place = _places(len(h), starts)
+                key = np.zeros(len(h), np.uint64)
+                shorter = key
+                for depth in range(depths[-1] + 1):
+                    context, suffix = _before(key) if depth else key, _before(shorter)
+                    key, shorter = longer(context, h), key
+                    here = place >= max(1, depth)
+                    if known is not None:
+                        # A run is frequent only if all runs of depths[0] words in it are.
+                        if depth == depths[0] - 1:
+                            may = here & _may_have(known.value, key)
+                            alive = may
+                        elif depth in depths:
+                            alive = may & np.append(False, alive[:-1])
+                            here &= alive
+                    if depth in depths:
+                        at = np.flatnonzero(here)
+                        columns = [key[at], context[at], suffix[at]]
+                        held[depth].append(columns[: min(3, depth + 1)])
+                        size += len(at)
+            if size > GATHERED:
+                size = 0
+                yield from out()
+        yield from out()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, size, most = None, [], 0, GATHERED
+
+        def add() -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+            key, count, *rest = map(np.concatenate, zip(*parts, strict=True))
+            return _grouped(key, count, rest)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            part, depth = at
+            key, count, rest = add()
+            parts.clear()
+            if depth:
+                often = count >= LEAST
+                key, count, rest = key[often], count[often], [x[often] for x in rest]
+            none = np.zeros(len(key), np.uint64)
+            context, suffix = [*rest, none, none][:2]
+            word = last_word(key, context)
+            for i in range(0, len(key), 100_000):
+                s = slice(i, i + 100_000)
+                n = len(key[s])
+                signed = [pa.array(x[s].view(np.int64)) for x in (context, suffix, word, key)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, depth, np.int32)), *signed, pa.array(count[s]), pa.nulls(n, pa.binary())], names)
+            if depth == depths[-1] and depth:
+                low, bits = _segment(key, part, slices)
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([low], pa.int64()), *[pa.nulls(1, pa.int64())] * 4, pa.array([bits.tobytes()], pa.binary())], names)
+
+        for part, depth, data in _by_part(batches):
+            if (part, depth) != at:
+                if parts:
+                    yield from close()
+                at, size, most = (part, depth), 0, GATHERED
+            parts.append(unpack(data, "ui" + "u" * min(2, depth)))
+            size += len(parts[-1][0])
+            if size > most:
+                key, count, rest = add()
+                parts[:] = [[key, count, *rest]]
+                size, most = 0, max(GATHERED, len(key))
+        if parts:
+            yield from close()
+
+    names = ["depth", "context", "suffix", "word", "key", "count", "bits"]
+    spread = texts.mapInArrow(runs, _ROW).repartition("part").sortWithinPartitions("part", "kind")
+    return spread.mapInArrow(merge, "depth int, context long, suffix long, word long, key long, count long, bits binary")
 
-    known: filter of all runs of depths[0] words that have LEAST.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(tree.value)
-        parts: list[list[np.ndarray]] = []
+@dataclass
+class Tree:
+    """What scoring needs. often: (sorted keys, values, word counts) of the runs that are sent; filter: of the others, which `values` has by slices."""
 
-        def out() -> pa.RecordBatch:
-            depth, context, suffix, word, count = map(np.concatenate, zip(*parts, strict=True))
-            parts.clear()
-            order = np.lexsort((word, context))
-            depth, context, suffix, word, count = (x[order] for x in (depth, context, suffix, word, count))
-            first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (depth[first], context[first], suffix[first], word[first], np.add.reduceat(count, first))], names)
+    total: int
+    distinct: int
+    often: tuple[np.ndarray, np.ndarray, np.ndarray]
+    filter: np.ndarray
+    slices: int
+    values: DataFrame | None = None
+    #: Number of kept contexts of each length.
+    contexts: tuple[int, ...] = ()
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            words, c, starts = codes.of_texts(batch.column(0))
-            hashes, starts = codes.hashes_of(words, c, starts)
-            last = np.zeros(len(hashes), bool)
-            last[np.append(starts[1:], len(hashes)) - 1] = True
-            before = np.zeros(len(hashes), np.int64)
-            for depth, whole, context in _runs(hashes, starts, depths[-1]):
-                if depth == depths[0]:
-                    alive = may = whole & _may_have(known.value, context)
-                elif depth in depths:
-                    alive = np.append(False, alive[:-1]) & may
-                if depth in depths:
-                    # A run is frequent only if all runs of depths[0] words in it are.
-                    at = np.flatnonzero(alive & ~last & np.append(may[1:], False))
-                    parts.append([np.full(len(at), depth, np.int64), context[at], before[at], hashes[at + 1], np.ones(len(at), np.int64)])
-                before = context
-            if sum(len(p[0]) for p in parts) > 2_000_000:
-                yield out()
-        if any(len(p[0]) for p in parts):
-            yield out()
-
-    names = ["depth", "context", "suffix", "word", "count"]
-    counts = docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
-    return counts.groupBy("depth", "context", "word").agg(F.first("suffix").alias("suffix"), F.sum("count").alias("count")).where(F.col("count") >= LEAST)
-
-
-def _with_key(df: DataFrame, context: str | None) -> DataFrame:
-    """df with the key of the run of context and word."""
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"values": None}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            word = batch.column("word").to_numpy(zero_copy_only=False)
-            before = batch.column(context).to_numpy(zero_copy_only=False) if context else np.zeros(len(word), np.int64)
-            yield batch.append_column("key", pa.array(longer(before, word)))
+    def root(self, counts: np.ndarray) -> np.ndarray:
+        return np.log((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
-    return df.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", key long")
 
+def _contexts(counts: DataFrame, total: int, distinct: int, documents: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Written (rows of frequent runs with n, their context's count, and before, the suffix's probability; kept contexts)."""
+    spark = counts.sparkSession
+    start = spark.createDataFrame([(int(longer(np.zeros(1, np.uint64), np.array([START])).view(np.int64)[0]), documents)], "key long, n long")
+    sizes = counts.where((F.col("depth") >= 0) & (F.col("depth") < depth) & (F.col("count") >= LEAST)).select("key", F.col("count").alias("n")).union(start)
+    rows = counts.where("depth > 0").drop("bits")
+    rows = written(rows.join(sizes.withColumnRenamed("key", "_of"), F.col("context") == F.col("_of")).drop("_of"), "suffix-rows")
+    p = (F.col("count") - DISCOUNT) / F.col("n")
+    root = counts.where((F.col("depth") == 0) & (F.col("count") >= LEAST))
+    root = root.select(F.lit(0).cast("long").alias("_s"), F.col("word").alias("_w"), ((F.col("count") + 0.5) / F.lit(total + 0.5 * (distinct + 1))).alias("before"))
+    shorter = root.unionByName(rows.where(F.col("depth") < depth).select(F.col("context").alias("_s"), F.col("word").alias("_w"), p.alias("before")))
+    told = written(rows.join(shorter, (F.col("suffix") == F.col("_s")) & (F.col("word") == F.col("_w"))).drop("_s", "_w", "word"), "suffix-told")
+    discard(rows)
+    sums = told.groupBy("context").agg(
+        F.first("depth").alias("depth"),
+        F.first("suffix").alias("suffix"),
+        F.first("n").alias("n"),
+        F.count("*").alias("listed"),
+        F.sum(p).alias("p"),
+        F.sum("before").alias("before"),
+        F.sum(p * F.log(p / F.col("before"))).alias("gain"),
+    )
+    rest, rest_before = (F.greatest(1 - F.col(c), F.lit(1e-12)) for c in ("p", "before"))
+    gain = F.col("n") * (F.col("gain") + rest * F.log(rest / rest_before))
+    cost = 0.5 * F.col("listed") * F.log(F.greatest(F.col("n"), F.lit(2)))
+    tested = written(sums.select("context", "depth", "suffix", "n", F.log(rest / rest_before).alias("alpha"), (gain > cost).alias("keep")), "suffix-tested")
+    # Suffixes of kept contexts are kept.
+    kept = [tested.where((F.col("depth") == depth) & F.col("keep"))]
+    for d in range(depth - 1, 0, -1):
+        longer_kept = kept[-1].select(F.col("suffix").alias("_s")).distinct()
+        level = tested.where(F.col("depth") == d).join(longer_kept, F.col("context") == F.col("_s"), "left").where("keep or _s is not null").drop("_s")
+        kept.append(written(level, "suffix-kept"))
+    every = kept[0]
+    for level in kept[1:]:
+        every = every.unionByName(level)
+    return told, written(every.select("context", "depth", "n", "alpha"), "suffix-contexts")
 
-def _tested(counts: DataFrame, sizes: DataFrame, before: DataFrame) -> DataFrame:
-    """Rows of one length with n (the context's count), p, before, alpha and keep; sizes: (key, count) of runs; before: (suffix, word, before)."""
-    rows = counts.join(sizes.select(F.col("key").alias("context"), F.col("count").alias("n")), "context").join(before, [c for c in before.columns if c != "before"])
-    rows = rows.withColumn("p", (F.col("count") - DISCOUNT) / F.col("n"))
-    of = Window.partitionBy("context")
-    rest = F.greatest(1 - F.sum("p").over(of), F.lit(1e-12))
-    rest_before = F.greatest(1 - F.sum("before").over(of), F.lit(1e-12))
-    gain = F.col("n") * (F.sum(F.col("p") * F.log(F.col("p") / F.col("before"))).over(of) + rest * F.log(rest / rest_before))
-    cost = 0.5 * F.count("*").over(of) * F.log(F.greatest(F.col("n"), F.lit(2)))
-    return rows.select("depth", "context", "suffix", "word", "count", "n", "p", "before", F.log(rest / rest_before).alias("alpha"), (gain > cost).alias("keep"))
 
+def _values(entries: DataFrame, slices: int, often: float) -> DataFrame:
+    """Written rows by slice of (key, value, count, word count): 0, the blobs of runs; 1, those sent to every task; 2, (as part) the segments of the filter of the first."""
 
-def _levels(texts: DataFrame, words: DataFrame, tree: Tree, documents: int) -> list[DataFrame]:
-    """Written levels of contexts of 1, 2, ... words, with `kept` added; the last has contexts that pass."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(tree)
-    start = spark.createDataFrame([(START, documents)], "word long, count long")
-    sizes = _with_key(words.where(F.col("count") >= LEAST).union(start), None).select("key", "count")
-    root = (F.col("count") + 0.5) / F.lit(tree.total + 0.5 * (tree.distinct + 1))
-    before = words.select("word", root.alias("before"))
-    levels: list[DataFrame] = []
-    depths, deepest = range(1, 2), 0
-    while True:
-        known = spark.sparkContext.broadcast(_filter(sizes))
-        counts = written(_next_counts(texts, shared, depths, known), "suffix-counts")
-        for depth in depths:
-            level = written(_with_key(_tested(counts.where(F.col("depth") == depth), sizes, before), "context"), "suffix-level")
-            levels.append(level)
-            if level.where("keep").head(1):
-                deepest = depth
-            sizes = level.select("key", "count")
-            before = level.select(F.col("context").alias("suffix"), "word", F.col("p").alias("before"))
-        if deepest < depths[0]:
-            return levels[:deepest]
-        depths = range(depths[-1] + 1, depths[-1] + 1 + STEP)
-
-
-def train(docs: DataFrame, text_col: str = "text") -> tuple[Tree, DataFrame]:
-    """The tree, and the counts of all words, from all texts of docs (null: empty)."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            order = np.argsort(columns[0])
+            yield from _blobs(0, columns[0][order], [x[order] for x in columns[1:]], slices)
+
+        for batch in batches:
+            if batch.num_rows:
+                columns = [c.to_numpy() for c in batch.columns]
+                held.append([columns[0].view(np.uint64), *columns[1:]])
+                size += batch.num_rows
+            if size > GATHERED:
+                size = 0
+                yield from out()
+        if held:
+            yield from out()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            parts.clear()
+            order = np.argsort(columns[0])
+            key, value, count, word = (x[order] for x in columns)
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            key, value, count, word = key[first], np.add.reduceat(value, first), np.maximum.reduceat(count, first), np.maximum.reduceat(word, first)
+            sent = count >= often
+            yield _row(at, 1, pack(key[sent], value[sent], word[sent]))
+            key, value, word = key[~sent], value[~sent], word[~sent]
+            for i in range(0, len(key), ENTRIES):
+                s = slice(i, i + ENTRIES)
+                yield _row(at, 0, pack(key[s], value[s], word[s]))
+            low, bits = _segment(key, at, slices)
+            yield _row(low, 2, bits.tobytes())
+
+        for part, _, data in _by_part(batches):
+            if part != at and parts:
+                yield from close()
+            at = part
+            parts.append(unpack(data, "ufii"))
+        if parts:
+            yield from close()
+
+    return written(entries.mapInArrow(cut, _ROW).repartition("part").sortWithinPartitions("part").mapInArrow(merge, _ROW), "suffix-values")
+
+
+def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> Tree:
+    """The tree of all texts of docs (null: empty); docs is read once for the sizes, and once for each of about depth - 1 lengths."""
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col(text_col).alias("text"))
-    words = written(_word_counts(texts), "suffix-words")
-    total, distinct = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    often = words.where(F.col("count") >= max(1, WORD_SHARE * total)).toArrow().to_pandas().sort_values(["count", "word"], ascending=[False, True])
-    hashes, counts = often["word"].to_numpy(np.int64), often["count"].to_numpy(np.int64)
-    least, listed = max(LEAST, CONTEXT_SHARE * total), max(LEAST, NEXT_SHARE * total)
-    width = int((counts >= least).sum()) + 1
-    tree = Tree(hashes, counts, int(total), int(distinct), width, [])
-    documents = int(counts[hashes == word_hash(END)].sum())
-    levels = _levels(texts, words, tree, documents)
-    tree.depth = len(levels)
-    # Suffixes of kept contexts are kept.
-    kept: list[DataFrame] = []
-    for level in reversed(levels):
-        rows = level.where("keep")
-        if kept:
-            rows = level.join(kept[0].select(F.col("suffix").alias("_s")).distinct(), F.col("context") == F.col("_s"), "left").where("keep or _s is not null").drop("_s")
-        kept.insert(0, written(rows, "suffix-kept"))
-    # The levels sent: contexts and rows by their shares.
-    names = {1: longer(np.zeros(width, np.int64), np.append(hashes[: width - 1], START))}
-    codes = {1: np.arange(width)}
-    by_hash = np.argsort(hashes)
-    for depth in (1, 2):
-        if len(kept) < depth:
-            tree.grow(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
-            continue
-        order = np.argsort(names[depth])
-        # A context with none of its words sent has one row still.
-        sent = kept[depth - 1].where(F.col("n") >= least)
-        one = sent.groupBy("context").agg(F.first("alpha").alias("alpha")).toArrow().to_pandas()
-        rows = sent.where(F.col("count") >= listed).select("context", "word", "p").toArrow().to_pandas()
-        context = np.concatenate([one["context"].to_numpy(np.int64), rows["context"].to_numpy(np.int64)])
-        code = codes[depth][order[np.searchsorted(names[depth][order], context)]] if len(context) else context
-        alpha = np.concatenate([one["alpha"].to_numpy(float), np.zeros(len(rows))])
-        word = np.concatenate([np.full(len(one), -1), by_hash[np.searchsorted(hashes[by_hash], rows["word"].to_numpy(np.int64))]])
-        tree.grow(code, alpha, word, np.concatenate([np.zeros(len(one)), np.log(rows["p"].to_numpy(float))]))
-        if depth == 1:
-            pairs = levels[0].where(F.col("count") >= least).select("context", "word", "key").toArrow().to_pandas()
-            at = [order[np.searchsorted(names[1][order], pairs["context"].to_numpy(np.int64))], by_hash[np.searchsorted(hashes[by_hash], pairs["word"].to_numpy(np.int64))]]
-            names[2], codes[2] = pairs["key"].to_numpy(np.int64), at[0] * width + at[1]
-    # All other runs: what a context leaves to its suffix, and what a listed word has over its suffix's.
-    runs = spark.createDataFrame([], "key long, value double, count long")
-    for depth, level in enumerate(kept, 1):
-        far = F.lit(depth > 2) | (F.col("n") < least)
-        alphas = level.where(far).groupBy(F.col("context").alias("key")).agg(F.first("alpha").alias("value"), F.first("n").alias("count"))
-        more = F.log("p") - F.log("before") - F.col("alpha")
-        runs = runs.union(alphas).union(level.where(far | (F.col("count") < listed)).select("key", more.alias("value"), "count"))
-    runs = written(runs.groupBy("key").agg(F.sum("value").alias("value"), F.max("count").alias("count")), "suffix-runs")
-    sent = runs.where(F.col("count") >= listed).toArrow().to_pandas().sort_values("key")
-    tree.often = sent["key"].to_numpy(np.int64), sent["value"].to_numpy(float)
-    tree.runs = runs.where(F.col("count") < listed)
-    tree.filter = _filter(tree.runs)
-    return tree, words
-
-
-def score_texts(df: DataFrame, tree: Tree, words: DataFrame, text_col: str = "text") -> DataFrame:
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    slices = max(1, math.ceil(size / SLICE_BYTES))
+    steps = [range(0, 2), *([range(2, 3)] if depth > 1 else []), *([range(3, depth + 1)] if depth > 2 else [])]
+    known, counts = None, None
+    for depths in steps:
+        table_ = written(_counted(texts, depths, slices, known), "suffix-counts")
+        counts = table_ if counts is None else counts.unionByName(table_)
+        if depths is not steps[-1]:
+            known = spark.sparkContext.broadcast(_filter([(r[0], r[1]) for r in table_.where("depth < 0").select("context", "bits").collect()]))
+    counts = counts.where("depth >= 0")
+    words = counts.where("depth = 0")
+    end = int(END.view(np.int64))
+    total, distinct, documents = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("word") == end, F.col("count"))), F.lit(0))).first()
+    told, contexts = _contexts(counts, total, distinct, documents, depth)
+
+    none = F.lit(0).cast("long")
+    listed = told.join(contexts.select(F.col("context").alias("_of"), "alpha"), F.col("context") == F.col("_of"))
+    entries = listed.select("key", (F.log((F.col("count") - DISCOUNT) / F.col("n")) - F.log("before") - F.col("alpha")).alias("value"), "count", none.alias("word"))
+    entries = entries.unionAll(contexts.select("context", "alpha", "n", none)).unionAll(words.select("key", F.lit(0.0), "count", "count"))
+    by_value = max(1, slices // VALUE_SLICES)
+    values = _values(entries, by_value, max(1, SHARE * total))
+    shape = dict(contexts.groupBy("depth").count().collect())
+    discard(counts, told, contexts)
+    parts = [unpack(bytes(r[0]), "ufi") for r in values.where("kind = 1").select("data").collect()]
+    key, value, word = map(np.concatenate, zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64))
+    order = np.argsort(key)
+    bits = _filter([(r[0], r[1]) for r in values.where("kind = 2").select("part", "data").collect()])
+    return Tree(int(total), int(distinct), (key[order], value[order], word[order]), bits, by_value, values.where("kind = 0"), tuple(shape.get(d, 0) for d in range(1, depth + 1)))
+
+
+def _looked(texts: DataFrame, shared, depth: int) -> DataFrame:
+    """Of (hash, text): blobs of kind 1, the runs to look up, with their texts, and of kind 2, what each text has without them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree: Tree = shared.value
+        keys, values, counts = tree.often
+        roots = np.where(counts > 0, tree.root(counts), 0.0)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        sent, size, turn = 0, 0, TaskContext.get().partitionId()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal held, sent, turn
+            key, of, names = ([x[i] for x in held] for i in range(3))
+            first = np.concatenate([[0], np.cumsum([len(x) for x in names])])
+            key, of, names = np.concatenate(key), np.concatenate([x + f for x, f in zip(of, first[:-1], strict=True)]), np.concatenate(names)
+            held = []
+            order = np.argsort(key)
+            key, of = key[order], of[order]
+            part = _slices(key, tree.slices)
+            cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else [0]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                for i in range(a, b, ENTRIES):
+                    s = slice(i, min(b, i + ENTRIES))
+                    told, at = np.unique(of[s], return_inverse=True)
+                    yield _row(int(part[a]), 1, b"".join([len(told).to_bytes(8, "little"), pack(names[told]), pack(key[s]), pack(at.astype(np.int64))]))
+
+        for batch in batches:
+            hashes = batch.column(0).to_numpy().view(np.uint64)
+            for first, n, h, starts in words_in(batch.column(1)):
+                place, of = _places(len(h), starts), np.repeat(np.arange(n), np.diff(np.append(starts, len(h))))
+                known, base, extra = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+                run_key, alive, wanted = np.zeros(len(h), np.uint64), np.ones(len(h), bool), []
+                for d in range(depth + 1):
+                    run_key = longer(_before(run_key) if d else run_key, h)
+                    here = np.flatnonzero(alive & (place >= d))
+                    key = run_key[here]
+                    order = np.argsort(key)
+                    key, doc = key[order], of[here[order]]
+                    at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+                    hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+                    extra += np.bincount(doc[hit], values[at[hit]], n)
+                    ask = ~hit
+                    if d:
+                        ask &= _may_have(tree.filter, key)
+                        # A run is in the tree only if the run without its first word is.
+                        alive = np.zeros(len(h), bool)
+                        alive[here[order[hit | ask]]] = True
+                    else:
+                        base += np.bincount(doc[hit], roots[at[hit]], n)
+                        known += np.bincount(doc[hit], counts[at[hit]] > 0, n).astype(np.int64)
+                    wanted.append((key[ask], doc[ask]))
+                names = hashes[first : first + n]
+                held.append((np.concatenate([w[0] for w in wanted]), np.concatenate([w[1] for w in wanted]), names))
+                sent += len(held[-1][0])
+                words = np.diff(np.append(starts, len(h))) - 1
+                yield _row(turn % tree.slices, 2, pack(names, words, known, base, extra))
+                turn += 1
+            if sent > GATHERED // 3:
+                sent = 0
+                yield from out()
+        if held:
+            yield from out()
+
+    return texts.mapInArrow(run, _ROW)
+
+
+def _answered(rows: DataFrame, shared) -> DataFrame:
+    """(hash, copies, n, known, base, extra): parts of the sums of the texts of a hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree: Tree = shared.value
+        at, held, values = None, [], None
+
+        def batch_of(name, copies, n, known, base, extra) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), *[pa.array(x, pa.int64()) for x in (copies, n, known)], pa.array(base, pa.float64()), pa.array(extra, pa.float64())], names)
+
+        for part, kind, data in _by_part(batches):
+            if part != at:
+                at, held, values = part, [], None
+            if kind == 0:
+                held.append(unpack(data, "ufi"))
+            elif kind == 2:
+                name, n, known, base, extra = unpack(data, "uiiff")
+                yield batch_of(name, np.ones(len(name), np.int64), n, known, base, extra)
+            else:
+                if values is None:
+                    values = [np.concatenate(x) for x in zip(*held, strict=True)] if held else [np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)]
+                    order = np.argsort(values[0])
+                    values, held = [x[order] for x in values], []
+                size = int.from_bytes(data[:8], "little")
+                (name,) = unpack(data[8 : 8 + 8 * size], "u")
+                key, doc = unpack(data[8 + 8 * size :], "ui")
+                keys, value, count = values
+                place = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+                hit = keys[place] == key if len(keys) else np.zeros(len(key), bool)
+                place, doc = place[hit], doc[hit]
+                is_word = count[place] > 0
+                known = np.bincount(doc[is_word], minlength=size)
+                base = np.bincount(doc[is_word], tree.root(count[place[is_word]]), size)
+                some = np.zeros(size, bool)
+                some[doc] = True
+                zero = np.zeros(int(some.sum()), np.int64)
+                yield batch_of(name[some], zero, zero, known[some], base[some], np.bincount(doc, value[place], size)[some])
+
+    names = ["hash", "copies", "n", "known", "base", "extra"]
+    return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, "hash long, copies long, n long, known long, base double, extra double")
+
+
+def score_texts(df: DataFrame, tree: Tree, text_col: str = "text") -> DataFrame:
     """df with n_tokens, n_known, base_score and score (log10 of the text's probability under the root alone, and under the tree).
 
     Null and empty texts are the end alone. All rows (equal ones too) and
-    other columns stay; columns of the new names are replaced. Words and
-    runs of words that are not sent with the tree are joined on their 64-bit hashes.
+    other columns stay; columns of the new names are replaced. Texts are told
+    apart by 64-bit hashes; the scores of equal texts are worked out apart and
+    are one number. df is read twice.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(tree)
-
-    @F.arrow_udf("struct<n:long,local:long,base:double,score:double,rare:array<long>,runs:array<long>>")
-    def look(texts: pa.Array) -> pa.Array:
-        t: Tree = shared.value
-        codes, root = known(t), t.root(t.counts)
-        if not len(texts):
-            return pa.array([], kind)
-        words, c, starts = codes.of_texts(texts)
-        here = c >= 0
-        base = np.where(here, root[np.maximum(c, 0)], 0.0) if len(root) else np.zeros(len(c))
-        add, open_ = t.local(c, starts)
-        hashes, begins = codes.hashes_of(words, c, starts)
-        more, places, keys = t.others(hashes, begins)
-        order = np.argsort(places, kind="stable")
-        at = np.searchsorted(places[order], np.append(begins, len(hashes)))
-        runs = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys[order]))
-        rare = np.array([word_hash(words[i]) for i in np.flatnonzero(~here).tolist()], np.int64)
-        ends = np.append(starts[1:], len(c))
-        before = np.concatenate([[0], np.cumsum(~here)])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(before[starts], before[-1]), pa.int32()), pa.array(rare))
-        sums = [np.add.reduceat(x, starts) for x in (here.astype(np.int64), base, add + base * open_)]
-        sums[-1] = sums[-1] + np.add.reduceat(more, begins)
-        return pa.StructArray.from_arrays([pa.array(ends - starts), *map(pa.array, sums), lists, runs], fields=list(kind))
-
-    kind = pa.struct([("n", pa.int64()), ("local", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("runs", pa.list_(pa.int64()))])
-    held: list[Codes] = []
-
-    def known(t: Tree) -> Codes:
-        """One for a worker's whole task, not for each batch."""
-        if not held:
-            held.append(Codes(t))
-        return held[0]
-
-    new = ["n_tokens", "n_known", "base_score", "score"]
-    df = df.drop(*new)
-    looked = written(df.withColumn("_t", look(F.col(text_col))).withColumn("_row", F.monotonically_increasing_id()).drop(text_col), "suffix-texts")
-    rare = looked.select("_row", F.explode("_t.rare").alias("_word")).join(words.withColumnsRenamed({"word": "_w", "count": "_c"}), F.col("_word") == F.col("_w"), "left")
-    count = F.coalesce("_c", F.lit(0))
-    log = F.log((count + 0.5) / F.lit(tree.total + 0.5 * (tree.distinct + 1)))
-    rare = rare.groupBy(F.col("_row").alias("_of")).agg(F.sum(log).alias("_log"), F.sum((count > 0).cast("long")).alias("_known"))
-    both = looked.join(rare, F.col("_row") == F.col("_of"), "left")
-    more = looked.select("_row", F.explode("_t.runs").alias("_run")).join(tree.runs.select("key", "value"), F.col("_run") == F.col("key"))
-    more = more.groupBy(F.col("_row").alias("_in")).agg(F.sum("value").alias("_more"))
-    both = both.join(more, F.col("_row") == F.col("_in"), "left")
-    log = F.coalesce("_log", F.lit(0.0))
-    kept = [c for c in df.columns if c != text_col]
-    return both.select(
-        *kept,
-        F.col("_t.n").alias("n_tokens"),
-        (F.col("_t.local") + F.coalesce("_known", F.lit(0))).alias("n_known"),
-        ((F.col("_t.base") + log) / F.lit(float(np.log(10)))).alias("base_score"),
-        ((F.col("_t.score") + F.coalesce("_more", F.lit(0.0)) + log) / F.lit(float(np.log(10)))).alias("score"),
+    df = df.drop("n_tokens", "n_known", "base_score", "score")
+    text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    looked = _looked(df.select(text.alias("hash"), F.col(text_col).alias("text")), shared, len(tree.contexts))
+    sums = _answered(looked.unionAll(tree.values), shared).groupBy("hash").agg(*[F.sum(c).alias(c) for c in ("copies", "n", "known", "base", "extra")])
+    of = free_name(df, "_text_hash")
+    unknown = float(tree.root(np.zeros(1))[0])
+    log10 = F.lit(math.log(10)) * F.col("copies")
+    base = F.col("base") + (F.col("n") - F.col("known")) * F.lit(unknown)
+    scores = sums.select(
+        F.col("hash").alias(f"{of}2"),
+        F.expr("n div copies").alias("n_tokens"),
+        F.expr("known div copies").alias("n_known"),
+        (base / log10).alias("base_score"),
+        ((base + F.col("extra")) / log10).alias("score"),
     )
+    scores = written(scores, "suffix-scores")
+    return df.withColumn(of, text).join(scores, F.col(of) == F.col(f"{of}2"), "left").drop(of, f"{of}2")
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """Scores of every document, from a tree of four folds of five."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", id_fold("doc_id", 5) == 1)
-    tree, words = train(docs.where("not held_out"))
-    scored = score_texts(docs, tree, words)
+    tree = train(docs.where("not held_out"))
+    scored = score_texts(docs, tree)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -4,11 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarryweb.llm import suffix_tree
-from quarryweb.llm.suffix_tree import END, Codes, op3_lm_scoring, score_texts, train, words_of
+from quarryweb.llm.suffix_tree import END, START, last_word, longer, op3_lm_scoring, score_texts, train, word_hash, words_in
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SF = "/root/testdata/sf0.01"
@@ -36,60 +37,43 @@ def test_base_and_gain_on_whole_table(spark):
     assert score[True] > base[True]
 
 
-def test_distributions_sum_to_one_and_texts_are_scored_by_them(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text")
-    tree, table = train(docs)
-    assert len(tree.levels[0].key) > 3
-    every = np.arange(len(tree.counts))
-    rest = math.exp(float(tree.root(np.zeros(1))[0]))
-    sent = float(np.exp(tree.root(tree.counts)).sum())
-    all_counts = np.array([r[0] for r in table.select("count").collect()])
-    root_sum = float(np.exp(tree.root(all_counts)).sum()) + rest
-    assert root_sum == pytest.approx(1)
-    for depth in (1, 2):
-        for key in range(min(40, len(tree.levels[depth - 1].key))):
-            k = np.full(len(every), key)
-            p = float(np.exp(tree.log_p(every, depth, k)).sum())
-            back = tree.levels[depth - 1].alpha[key]
-            if depth == 2:
-                back += tree.levels[0].alpha[np.searchsorted(tree.levels[0].key, tree.levels[1].key[key] % tree.width)]
-            assert p + math.exp(back) * (1 - sent) == pytest.approx(1, abs=1e-9)
-    codes = Codes(tree)
-    text = docs.first().text
-    c = codes.of(words_of(text))
-    c = np.concatenate([c, c[:5], c])
-    starts = np.array([0, (len(c) - 5) // 2, (len(c) - 5) // 2 + 5])
-    add, open_ = tree.local(c, starts)
-    at = tree.contexts(c, starts)
-    size = starts[1]
-    assert (at[0][:size] == at[0][starts[2] :]).all() and np.allclose(add[:size], add[starts[2] :])
-    for i in range(len(c)):
-        depth = 2 if at[1][i] >= 0 else 1 if at[0][i] >= 0 else 0
-        if c[i] >= 0:
-            want = tree.log_p(c[i : i + 1], depth, np.array([at[depth - 1][i] if depth else 0]))[0]
-            assert add[i] + (tree.root(tree.counts[c[i]]) if open_[i] else 0) == pytest.approx(want)
-
-
 def test_odd_rows(spark):
-    df = spark.createDataFrame([(1, None), (None, ""), (2, "A a a b"), (2, "A a a b"), (3, "x " * 50_000)], "doc_id long, text string").withColumn("score", F.lit(1)).withColumn("word", F.lit("q"))
-    tree, table = train(df)
-    got = score_texts(df, tree, table)
-    assert got.columns == ["doc_id", "word", "n_tokens", "n_known", "base_score", "score"]
+    df = spark.createDataFrame([(1, None), (None, ""), (2, "A a a b"), (2, "A a a b"), (3, "x " * 50_000)], "doc_id long, text string").withColumn("score", F.lit(1)).withColumn("word", F.lit("q")).withColumn("_text_hash", F.lit(7))
+    tree = train(df)
+    got = score_texts(df, tree)
+    assert got.columns == ["doc_id", "text", "word", "_text_hash", "n_tokens", "n_known", "base_score", "score"]
     rows = got.collect()
     assert sorted(r.n_tokens for r in rows) == [1, 1, 5, 5, 50_001] and all(r.n_known == r.n_tokens and r.score < 0 for r in rows)
-    empty, none = train(df.limit(0))
-    far = score_texts(df, empty, none).collect()
-    assert all(r.n_known == 0 and r.base_score == pytest.approx(0) for r in far)
-    assert score_texts(df.limit(0), tree, table).count() == 0 and END in words_of(None)
-
-
-def reference(texts):
-    """Log10 scores of texts under the tree that they train, context by context, without limits."""
+    empty = train(df.limit(0))
+    far = score_texts(df, empty).collect()
+    assert len(far) == 5 and all(r.n_known == 0 and r.base_score == pytest.approx(0) for r in far)
+    assert score_texts(df.limit(0), tree).count() == 0
+
+
+def test_words_of_any_bytes():
+    texts = ["", None, "  a\tB\x0bc\x0cd\r\n", "É é É", "x" * 3000, "\u00a0 \u2003 a\x1cb", "one", " ", "t w" * 500]
+    for piece in (16, 64, 1 << 20):
+        got, starts = [], []
+        for first, n, h, begin in words_in(pa.array(texts), piece):
+            assert first == len(starts) and n == len(begin)
+            starts += [len(got) + b for b in begin.tolist()]
+            got += h.tolist()
+        want = []
+        for t in texts:
+            want += [int(START), *(int(word_hash(w)) for w in (t or "").encode().lower().split()), int(END)]
+        assert got == want and [got[s] for s in starts] == [int(START)] * len(texts)
+    assert word_hash(b"Ab") == word_hash(b"aB") != word_hash(b"ba")
+    context, word = np.random.default_rng(1).integers(0, 1 << 63, (2, 1000)).astype(np.uint64)
+    assert (last_word(longer(context, word), context) == word).all()
+
+
+def reference(texts, most):
+    """Log10 scores of texts under the tree that they train, context by context, and the length of its longest."""
     seqs = [[None, *words(t)] for t in texts]
     c = Counter(w for s in seqs for w in s[1:])
     n, v = sum(c.values()), len(c)
     nexts, dist, keep = {}, {}, set()
-    for depth in range(1, 11):
+    for depth in range(1, most + 1):
         nexts[depth] = {}
         for s in seqs:
             for i in range(depth, len(s)):
@@ -102,6 +86,7 @@ def reference(texts):
             before = {w: dist[ctx[1:]][0][w] if depth > 1 else (c[w] + 0.5) / (n + 0.5 * (v + 1)) for w in p}
             rest, rest_before = 1 - sum(p.values()), 1 - sum(before.values())
             dist[ctx] = p, math.log(rest / rest_before)
+            assert 0 < rest < 1 and sum(p.values()) + math.exp(dist[ctx][1]) * rest_before == pytest.approx(1)
             if size * (sum(p[w] * math.log(p[w] / before[w]) for w in p) + rest * math.log(rest / rest_before)) > 0.5 * len(p) * math.log(size):
                 keep |= {ctx[i:] for i in range(depth)}
     out = []
@@ -114,7 +99,17 @@ def reference(texts):
                 ctx = ctx[1:]
             log += math.log(dist[ctx][0][s[i]] if ctx else (c[s[i]] + 0.5) / (n + 0.5 * (v + 1)))
         out.append(log / math.log(10))
-    return out, max(map(len, keep))
+    return out, max(map(len, keep), default=0)
+
+
+def same_as_reference(spark, texts, depth=10, asked=None):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tree = train(df, depth=depth)
+    got = {r.doc_id: r.score for r in score_texts(df, tree).collect()}
+    want, deepest = reference(texts, depth)
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want)
+    assert max([d for d, n in enumerate(tree.contexts, 1) if n], default=0) == deepest
+    return deepest
 
 
 @pytest.mark.parametrize("share", [None, 0.02, 1.0])
@@ -122,19 +117,28 @@ def test_whole_tree_whatever_is_sent(spark, monkeypatch, share):
     # What follows the shared words of family d is told by the word d places before it.
     texts = [f"{a}{d} {' '.join(f's{d}{j}' for j in range(d - 1))} {b}{d} r{i * 7 % 5}" for d in range(1, 7) for i in range(12) for a, b in (("x", "y"), ("z", "q"))]
     if share:
-        monkeypatch.setattr(suffix_tree, "CONTEXT_SHARE", share)
-        monkeypatch.setattr(suffix_tree, "NEXT_SHARE", share)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    tree, table = train(df)
-    got = {r.doc_id: r.score for r in score_texts(df, tree, table).collect()}
-    want, deepest = reference(texts)
-    assert deepest >= 6 and tree.depth == deepest
-    assert [got[i] for i in range(len(texts))] == pytest.approx(want)
+        monkeypatch.setattr(suffix_tree, "SHARE", share)
+    assert same_as_reference(spark, texts) >= 6
+    assert same_as_reference(spark, texts, depth=4) == 4
+    assert same_as_reference(spark, texts, depth=1) == 1
+
+
+def test_many_slices_and_small_gatherings(spark, monkeypatch):
+    for name, value in (("SLICE_BYTES", 3000), ("GATHERED", 500), ("VALUE_SLICES", 2), ("SHARE", 0.003)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    assert same_as_reference(spark, texts, depth=4) == 4
+
+
+def test_hot_texts_and_runs(spark):
+    # A third of all rows is one text; a run of one word fills others.
+    texts = ["same words again and again"] * 60 + ["x " * 300, "x x y " * 100, *(f"x x r{i}" for i in range(60))]
+    same_as_reference(spark, texts, depth=4)
 
 
 def test_repeated_pairs_count_in_a_large_corpus(spark):
     filler = spark.range(1200).select(F.expr("array_join(transform(sequence(1, 1000), x -> concat('w', (id * 1000 + x) % 400000)), ' ')").alias("text"))
     rare = spark.createDataFrame([("lorem ipsum",)] * 5, "text string")
-    tree, table = train(filler.union(rare))
-    row = score_texts(rare.limit(1), tree, table).first()
+    tree = train(filler.union(rare))
+    row = score_texts(rare.limit(1), tree).first()
     assert row.score > row.base_score + 5
