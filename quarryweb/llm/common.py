@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,7 +94,7 @@ def discard(*tables: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
     """Arrow batches of whole texts get at most so many rows and, but for a single longer text, bytes.
 
     The settings are lowered for the session, as the plans that need them run when the caller asks for their rows.
@@ -104,6 +106,13 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20)
             spark.conf.set(key, str(most))
 
 
+def give_back() -> None:
+    """Returns a Python worker's freed memory to the system: idle workers stay beside their executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that df does not have."""
     have = {c.lower() for c in df.columns}

@@ -37,19 +37,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryweb.llm.common import bounded_batches, discard, free_name, id_fold, table, written
+from quarryweb.llm.common import bounded_batches, discard, free_name, give_back, id_fold, table, written
 
 #: The most words of a context.
 DEPTH = 4
 #: Contexts' listed next words have at least this count.
-LEAST = 3
+LEAST = 4
 DISCOUNT = 0.5
 #: Runs with this share of the corpus are sent to every task; it does not bound the tree.
-SHARE = 1e-6
+SHARE = 5e-7
 #: Bytes of text for each slice of run hashes in counting; slices of values are for more, as they hold fewer runs.
-SLICE_BYTES, VALUE_SLICES = 16 << 20, 4
+SLICE_BYTES, VALUE_SLICES = 8 << 20, 3
 #: Runs that a task gathers before it sends them, and entries of one blob.
-GATHERED, ENTRIES = 3_000_000, 1 << 18
+GATHERED, ENTRIES = 1_500_000, 1 << 13
 #: Bits of the filters, in blocks of which each run's two bits share one.
 FILTER_BITS, BLOCKS = 1 << 27, 1 << 16
 
@@ -283,6 +283,7 @@ def _counted(texts: DataFrame, depths: range, slices: int, known) -> DataFrame:
                 size = 0
                 yield from out()
         yield from out()
+        give_back()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, size, most = None, [], 0, GATHERED
@@ -323,12 +324,17 @@ def _counted(texts: DataFrame, depths: range, slices: int, known) -> DataFrame:
                 size, most = 0, max(GATHERED, len(key))
         if parts:
             yield from close()
+        give_back()
 
     names = ["depth", "context", "suffix", "word", "key", "count", "bits"]
     spread = texts.mapInArrow(runs, _ROW).repartition("part").sortWithinPartitions("part", "kind")
     return spread.mapInArrow(merge, "depth int, context long, suffix long, word long, key long, count long, bits binary")
 
 
+def _root(counts: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    return np.log((counts + 0.5) / (total + 0.5 * (distinct + 1)))
+
+
 @dataclass
 class Tree:
     """What scoring needs. often: (sorted keys, values, word counts) of the runs that are sent; filter: of the others, which `values` has by slices."""
@@ -346,7 +352,7 @@ class Tree:
         return self.__dict__ | {"values": None}
 
     def root(self, counts: np.ndarray) -> np.ndarray:
-        return np.log((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
+        return _root(counts, self.total, self.distinct)
 
 
 def _contexts(counts: DataFrame, total: int, distinct: int, documents: int, depth: int) -> tuple[DataFrame, DataFrame]:
@@ -409,6 +415,7 @@ def _values(entries: DataFrame, slices: int, often: float) -> DataFrame:
                 yield from out()
         if held:
             yield from out()
+        give_back()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts = None, []
@@ -436,6 +443,7 @@ def _values(entries: DataFrame, slices: int, often: float) -> DataFrame:
             parts.append(unpack(data, "ufii"))
         if parts:
             yield from close()
+        give_back()
 
     return written(entries.mapInArrow(cut, _ROW).repartition("part").sortWithinPartitions("part").mapInArrow(merge, _ROW), "suffix-values")
 
@@ -537,15 +545,15 @@ def _looked(texts: DataFrame, shared, depth: int) -> DataFrame:
                 yield from out()
         if held:
             yield from out()
+        give_back()
 
     return texts.mapInArrow(run, _ROW)
 
 
-def _answered(rows: DataFrame, shared) -> DataFrame:
+def _answered(rows: DataFrame, total: int, distinct: int) -> DataFrame:
     """(hash, copies, n, known, base, extra): parts of the sums of the texts of a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = shared.value
         at, held, values = None, [], None
 
         def batch_of(name, copies, n, known, base, extra) -> pa.RecordBatch:
@@ -573,11 +581,12 @@ def _answered(rows: DataFrame, shared) -> DataFrame:
                 place, doc = place[hit], doc[hit]
                 is_word = count[place] > 0
                 known = np.bincount(doc[is_word], minlength=size)
-                base = np.bincount(doc[is_word], tree.root(count[place[is_word]]), size)
+                base = np.bincount(doc[is_word], _root(count[place[is_word]], total, distinct), size)
                 some = np.zeros(size, bool)
                 some[doc] = True
                 zero = np.zeros(int(some.sum()), np.int64)
                 yield batch_of(name[some], zero, zero, known[some], base[some], np.bincount(doc, value[place], size)[some])
+        give_back()
 
     names = ["hash", "copies", "n", "known", "base", "extra"]
     return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, "hash long, copies long, n long, known long, base double, extra double")
@@ -597,7 +606,7 @@ def score_texts(df: DataFrame, tree: Tree, text_col: str = "text") -> DataFrame:
     df = df.drop("n_tokens", "n_known", "base_score", "score")
     text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     looked = _looked(df.select(text.alias("hash"), F.col(text_col).alias("text")), shared, len(tree.contexts))
-    sums = _answered(looked.unionAll(tree.values), shared).groupBy("hash").agg(*[F.sum(c).alias(c) for c in ("copies", "n", "known", "base", "extra")])
+    sums = _answered(looked.unionAll(tree.values), tree.total, tree.distinct).groupBy("hash").agg(*[F.sum(c).alias(c) for c in ("copies", "n", "known", "base", "extra")])
     of = free_name(df, "_text_hash")
     unknown = float(tree.root(np.zeros(1))[0])
     log10 = F.lit(math.log(10)) * F.col("copies")

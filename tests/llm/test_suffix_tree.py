@@ -80,7 +80,7 @@ def reference(texts, most):
                 nexts[depth].setdefault(tuple(s[i - depth : i]), Counter())[s[i]] += 1
         for ctx, follow in nexts[depth].items():
             size = sum(follow.values())
-            p = {w: (k - 0.5) / size for w, k in follow.items() if k >= 3}
+            p = {w: (k - 0.5) / size for w, k in follow.items() if k >= suffix_tree.LEAST}
             if not p:
                 continue
             before = {w: dist[ctx[1:]][0][w] if depth > 1 else (c[w] + 0.5) / (n + 0.5 * (v + 1)) for w in p}
