@@ -194,6 +194,17 @@ class Dfa:
     def states(self) -> int:
         return len(self.next) // self.classes
 
+    def leftmost(self, coded: bytes, end: int, low: int) -> int:
+        """Of an automaton that reads backward: the least place from low on where a match begins that ends at `end`, or -1."""
+        s, begin, nxt, hot = self.start, -1, self.next, self.hot
+        for i in range(end - 1, low - 1, -1):
+            s = nxt[s + coded[i]]
+            if s < 0:
+                break
+            if s >= hot:
+                begin = i
+        return begin
+
     def longest(self, coded: bytes, at: int) -> int:
         """The end of the longest match that begins at `at` in class-coded text, or -1."""
         s, end, nxt, hot = self.start, -1, self.next, self.hot
@@ -219,15 +230,26 @@ def _byte_classes(masks: set[int]) -> tuple[bytes, list[int]]:
     return bytes(code), first
 
 
-def compile_dfa(patterns: list[str], search: bool, classes: bytes | None = None, finer: list[str] | None = None) -> Dfa:
-    """search: matches may begin at any byte. classes: a byte coding to share; finer: patterns that are to share this one's."""
+def _backward(tree):
+    """The tree of the same texts, each read from its end."""
+    kind = tree[0]
+    if kind == "set":
+        return tree
+    if kind == "rep":
+        return (kind, _backward(tree[1]), *tree[2:])
+    return (kind, [_backward(x) for x in (tree[1][::-1] if kind == "cat" else tree[1])])
+
+
+def compile_dfa(patterns: list[str], search: bool, classes: bytes | None = None, finer: list[str] | None = None, backward: bool = False) -> Dfa:
+    """search: matches may begin at any byte. classes: a byte coding to share; finer: patterns that are to share this one's. backward: texts are read from their ends."""
     nfa, ends = _Nfa(), {}
     start = nfa.state()
     if search:
         nfa.eps[start].append(loop := nfa.state())
         nfa.arc[loop] = (ANY, start)
     for k, pattern in enumerate(patterns):
-        ends[nfa.add(_Parser(pattern).parse(), nfa._after(start))] = k
+        tree = _Parser(pattern).parse()
+        ends[nfa.add(_backward(tree) if backward else tree, nfa._after(start))] = k
     masks = {a[0] for a in nfa.arc if a}
     for pattern in finer or []:
         other = _Nfa()

@@ -22,7 +22,9 @@ class Rule:
     one that is too short is dropped after it was matched, so it still hides what it covers.
 
     first is how every value begins. The automaton of all rules looks for head and first only: that finds every
-    match, and the runs that follow need no states there. The automaton of the rule itself then measures the match.
+    match, and the runs that follow need no states there (with them it has over 25,000). From there the rule's own
+    automata read back to the leftmost start and on to the end. Of two heads of one rule, that which ends later also
+    begins later, as in all rules here.
     """
 
     kind: str
@@ -50,54 +52,47 @@ BASE_KINDS = ("assign", "access", "hex")
 
 
 class Scanner:
+    """One pass over the bytes by the automaton of all rules; what it finds is closed by the rule's own two, of which one reads back to the start.
+
+    Each byte is read once in the pass, and then about once more for each rule
+    whose head, or whose match, it is in: a rule's heads do not overlap those
+    before, and a place that is inside a rule's match is not looked at again.
+    """
+
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
         whole = [f"({r.head})({r.value})" for r in rules]
-        self.all: Dfa = compile_dfa([f"({r.head})({r.first})" for r in rules], search=True, finer=whole)
+        begins = [f"({r.head})({r.first})" for r in rules]
+        self.all: Dfa = compile_dfa(begins, search=True, finer=whole)
         code = self.all.byte_class
         self.one = [compile_dfa([w], search=False, classes=code) for w in whole]
+        self.back = [compile_dfa([b], search=False, classes=code, backward=True) for b in begins]
         self.head = [compile_dfa([r.head], search=False, classes=code) if r.head else None for r in rules]
 
     def scan(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, start, end) in code points, by start, then rule."""
         data = text.encode("utf-8", "surrogatepass")
         dfa = self.all
-        coded, nxt, hot, s, hits = data.translate(dfa.byte_class), dfa.next, dfa.hot, dfa.start, []
-        for i, c in enumerate(coded):
+        coded, nxt, hot, accepts, s = data.translate(dfa.byte_class), dfa.next, dfa.hot, dfa.accepts, dfa.start
+        after = [0] * len(self.rules)  # where each rule's last match ends
+        found: list[tuple[int, int, int]] = []
+        for i, c in enumerate(coded, 1):
             s = nxt[s + c]
             if s >= hot:
-                hits.append((i + 1, s))
-        if not hits:
-            return []
-        ends: dict[int, list[int]] = {}
-        for e, s in hits:
-            for rule in dfa.accepts[s]:
-                ends.setdefault(rule, []).append(e)
-        found = []
-        for k, at in ends.items():
-            found += [(s, k, e) for s, e in self._resolve(k, coded, at)]
+                for k in accepts[s]:
+                    while after[k] < i and (begin := self.back[k].leftmost(coded, i, after[k])) >= 0 and (end := self.one[k].longest(coded, begin)) > 0:
+                        after[k] = end
+                        value = self.head[k].longest(coded, begin) if self.head[k] else begin
+                        if end - value >= self.rules[k].min_value and end - begin >= self.rules[k].min_total:
+                            found.append((begin, k, end))
         found.sort()
-        ascii_only = len(data) == len(text)
-        point = (lambda b: b) if ascii_only else (lambda b: len(data[:b].decode("utf-8", "surrogatepass")))
-        return [(self.rules[k].kind, point(s), point(e)) for s, k, e in found]
-
-    def _resolve(self, k: int, coded: bytes, ends: list[int]) -> list[tuple[int, int]]:
-        """Starts and lengths of rule k around the ends that the pass has found."""
-        rule, dfa, out, at = self.rules[k], self.one[k], [], 0
-        for e in ends:
-            while at < e:
-                end = -1
-                for s in range(at, e):
-                    if dfa.next[dfa.start + coded[s]] >= 0 and (end := dfa.longest(coded, s)) > 0:
-                        break
-                if end < 0:  # what begins in between does not match, or began before at
-                    at = e
-                    break
-                at = end
-                value = self.head[k].longest(coded, s) if self.head[k] else s
-                if end - value >= rule.min_value and end - s >= rule.min_total:
-                    out.append((s, end))
-        return out
+        if len(data) == len(text):
+            return [(self.rules[k].kind, b, e) for b, k, e in found]
+        point, at, n = {}, 0, 0
+        for b in sorted({x for b, _, e in found for x in (b, e)}):
+            n += len(data[at:b].decode("utf-8", "surrogatepass"))
+            at, point[b] = b, n
+        return [(self.rules[k].kind, point[b], point[e]) for b, k, e in found]
 
 
 @lru_cache(maxsize=4)
@@ -162,3 +157,34 @@ def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform(of(*BASE_KINDS), s), ","), 256).alias("base_sha256"),
         F.array_join(F.transform(spans, s), ",").alias("spans"),
     )
+
+
+def _sql_spans(k: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind: the texts between matches tell where each match is."""
+    return f"""
+    SELECT rid, {k} AS k, '{kind}' AS kind, s, s + n AS e FROM (
+        SELECT rid, list_sum(list_transform(gaps[1 : i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[1 : i - 1], lambda x: length(x))), 0)::BIGINT AS s, length(hits[i]) AS n, length(vals[i]) AS v
+        FROM (SELECT rid, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}', 0) AS hits, regexp_extract_all(text, '{pattern}', {group}) AS vals FROM d WHERE regexp_matches(text, '{pattern}')) AS x, unnest(range(1, len(hits) + 1)) AS t(i))
+    WHERE v >= {least}"""
+
+
+#: Patterns of the rules as plain regexes: kind, pattern, and the group of which the length counts, with the least.
+_SQL_RULES = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("private_key", r"-----BEGIN\x20(?:[A-Z0-9]+\x20)*PRIVATE\x20KEY-----[\x0A\x0DA-Za-z0-9+/=]*", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    ("github", "gh[pousr]_([A-Za-z0-9]+)", 1, 36),
+    ("slack", "xox[abprs]-([A-Za-z0-9-]+)", 1, 10),
+    ("google", "AIza([A-Za-z0-9_-]+)", 1, 35),
+    ("stripe", "[sr]k_live_([A-Za-z0-9]+)", 1, 16),
+    ("url_login", "[A-Za-z]://[A-Za-z0-9_.%+-]+:([A-Za-z0-9_.%+!$*~-]+@)", 1, 5),
+)
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(_sql_spans(k, *rule) for k, rule in enumerate(_SQL_RULES))}),
+g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c,
+      string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, k) AS spans FROM f GROUP BY rid)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)
+"""

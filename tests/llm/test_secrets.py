@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -38,6 +39,38 @@ def test_base_spans_equal_regexes_on_cases_and_random_text():
         assert base_of(scan(text)) == brute(text), text
 
 
+PLAIN = [
+    ("assign", ASSIGN, lambda m: len(m[2]) >= 6),
+    ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    ("private_key", re.compile(r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----[\n\rA-Za-z0-9+/=]*"), lambda m: True),
+    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), lambda m: len(m[0]) >= 40),
+    ("github", re.compile("gh[pousr]_([A-Za-z0-9]+)"), lambda m: len(m[1]) >= 36),
+    ("slack", re.compile("xox[abprs]-([A-Za-z0-9-]+)"), lambda m: len(m[1]) >= 10),
+    ("google", re.compile("AIza([A-Za-z0-9_-]+)"), lambda m: len(m[1]) >= 35),
+    ("stripe", re.compile("[sr]k_live_([A-Za-z0-9]+)"), lambda m: len(m[1]) >= 16),
+    ("url_login", re.compile(r"[A-Za-z]://[A-Za-z0-9_.%+-]+:([A-Za-z0-9_.%+!$*~-]+@)"), lambda m: len(m[1]) >= 5),
+]
+
+
+def test_all_spans_equal_regexes_on_random_text():
+    scan, rnd = scanner().scan, random.Random(9)
+    parts = ["eyJ", ".", "eyJhbGci", "-----", "BEGIN ", "RSA ", "PRIVATE ", "KEY", "\nMIIabc+/=", "ghp_", "gho_", "a1B2" * 5, "xoxb-", "xoxp-1-", "AIza", "sk_live_", "rk_live_", "https://", "a://", "user", ":", "hunter", "@", " ", "é", "é", "_", "-", "token", "=", "f0" * 13]
+    for _ in range(6000):
+        text = "".join(rnd.choices(parts, k=rnd.randint(1, 25)))
+        want = sorted((m.start(), i, m.end()) for i, (_, p, ok) in enumerate(PLAIN) for m in p.finditer(text) if ok(m))
+        assert scan(text) == [(PLAIN[i][0], s, e) for s, i, e in want], text
+
+
+def test_hostile_texts_take_linear_time():
+    scan = scanner().scan
+    texts = [("eyJ" * 350_000) + ".eyJa", "eyJa.eyJ" * 120_000, "0123456789abcdef" * 65_000, "é password=abcdefgh " * 50_000, "password" + " " * 1_000_000 + "=abcdefg", "-----BEGIN " + "PRIVATE " * 120_000, "a://b:" * 160_000, "xoxb-" * 200_000]
+    for text in texts:
+        began = time.process_time()
+        scan(text)
+        assert time.process_time() - began < 2, text[:20]
+
+
 def test_more_kinds():
     scan = scanner().scan
     assert [k for k, _, _ in scan("x ghp_" + "a1B2" * 9 + " y")] == ["github"]
