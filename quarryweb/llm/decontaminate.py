@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryweb.llm.common import ascii_lower, table
 
 WINDOW = 10
-#: The most windows whose hashes travel with the plan; a larger benchmark is joined by shuffle instead.
-SENT_WINDOWS = 50_000
+#: The most windows whose hash set travels with the plan (some 2 MB); beyond it a filter of BLOOM_BITS at most and a shuffle of what passes it.
+SENT_WINDOWS = 250_000
+BLOOM_BITS = 1 << 25
 #: Everything but digits, lower-case letters and non-ASCII characters parts words (after lower-casing).
 _APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -34,57 +38,78 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     return one.groupBy("size", "window").agg(F.collect_set(F.col("_item").cast("string")).alias("items"))
 
 
+def _in_set(hashed: DataFrame) -> Callable[[Column], Column]:
+    """Membership in the set of `hash`; the values go from the driver's JVM into the plan as they are."""
+    jvm = hashed.sparkSession.sparkContext._jvm
+    values = getattr(hashed._jdf, "as")(jvm.org.apache.spark.sql.Encoders.LONG()).collectAsList()
+    return lambda x: Column(x._jc.isInCollection(values))
+
+
+def _bloom(hashed: DataFrame, n: int) -> Callable[[Column], Column]:
+    """Tests two bits of a hash in a filter of 16 bits a hash, but BLOOM_BITS at most; nothing in `hashed` fails."""
+    size = max(64, min(BLOOM_BITS, 1 << math.ceil(math.log2(16 * n))))
+    bits = lambda h: (h.bitwiseAND(size - 1), F.shiftrightunsigned(h, 32).bitwiseAND(size - 1))
+    words = hashed.select(F.explode(F.array(*bits(F.col("hash")))).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    every = hashed.sparkSession.range(size // 64).join(words, F.col("id") == F.col("at"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    table_ = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits"))
+
+    def may(h: Column) -> Column:
+        one, two = bits(h)
+        bit = lambda b: F.get(table_.scalar(), F.shiftright(b, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(63).cast("int"))) != 0
+        return bit(one) & bit(two)
+
+    return may
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row for each row of docs: id_col, text_hash, n_words, n_hit, items (sorted as strings), hit_runs.
 
     hit_runs are the covered runs of words, [begin, end) from 0, apart from
-    each other and in order; n_hit is their total length. The hashes of the
-    benchmark's windows, if there are at most SENT_WINDOWS, travel as a set
-    with the plan and are looked up at every word of every document in one
-    scan; hits are then verified by joining their words with the benchmark's.
-    A larger benchmark is joined on the hashes by shuffle. Nulls, empty texts
-    and texts without words have no words and no hits; equal rows each get
-    their own row; an empty benchmark hits nothing; items with a null id are
-    left out; other columns are not looked at.
+    each other and in order; n_hit is their total length. The benchmark's
+    windows are counted first. Up to SENT_WINDOWS of them, the set of their
+    hashes travels with the plan and is looked up at every word of every
+    document in one scan; hits are then verified by joining their words with
+    the benchmark's. Beyond that, windows that pass a Bloom filter are joined
+    on their hashes by shuffle, and only documents with hits are read again.
+    Nulls, empty texts and texts without words have no words and no hits;
+    equal rows each get their own row; an empty benchmark hits nothing; items
+    with a null id are left out; other columns are not looked at.
     """
-    spark = docs.sparkSession
     bench = benchmark_windows(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text_col, window)
-    # At most `window` sizes, and at most SENT_WINDOWS + 1 hashes, come to the driver.
-    hashed = bench.select("size", F.xxhash64(F.transform(F.split("window", " "), lambda w: F.xxhash64(w))).alias("hash"))
-    sizes = sorted(r[0] for r in bench.select("size").distinct().collect())
-    sent = hashed.limit(SENT_WINDOWS + 1).collect()
-    few = len(sent) <= SENT_WINDOWS
+    hashed = bench.select(F.xxhash64(F.transform(F.split("window", " "), lambda w: F.xxhash64(w))).alias("hash")).distinct()
+    sizes = dict(bench.groupBy("size").count().collect())  # `window` rows at most
+    few = sum(sizes.values()) <= SENT_WINDOWS
 
     base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull()).alias("_hash"), item_words(F.col(text_col)).alias("_words"))
     base = base.withColumn("_n", F.size("_words"))
     keyed = base.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
-    found, of = [], (lambda x: F.array_join(F.slice("_words", x["at"] + 1, x["size"]), " "))
-    for size in sizes:
+    text = lambda x: F.array_join(F.slice("_words", x["at"] + 1, x["size"]), " ")
+    known = _in_set(hashed) if few and sizes else None
+    found = []
+    for size in sorted(sizes):
         at = F.transform(_window_hashes(F.col("_h"), F.col("_n"), size), lambda h, i: F.struct(F.lit(size).alias("size"), i.alias("at"), h.alias("hash")))  # noqa: B023
-        if few:
-            known = {r["hash"] for r in sent if r["size"] == size}
-            at = F.filter(at, lambda x: x["hash"].isin(*known))  # noqa: B023
-        found.append(at)
-    hits = F.concat(*found) if found else F.array().cast("array<struct<size:int,at:int,hash:bigint>>")
+        found.append(F.filter(at, lambda x: known(x["hash"])) if few else at)
+    windows = F.concat(*found) if found else F.array().cast("array<struct<size:int,at:int,hash:bigint>>")
+    named = lambda x: F.struct(x["size"].alias("size"), x["at"].alias("at"), text(x).alias("text"))
     # A row for each hit and one, at -1, for each document: it keeps those without hits and counts equal ones.
+    mark = F.struct(F.lit(0).alias("size"), F.lit(-1).alias("at"), F.lit(None).cast("string").alias("text"))
     if few:
-        marked = F.concat(F.array(F.struct(F.lit(0).alias("size"), F.lit(-1).alias("at"), F.lit(None).cast("string").alias("text"))), F.transform(hits, lambda x: F.struct(x["size"].alias("size"), x["at"].alias("at"), of(x).alias("text"))))
-        out = keyed.select("_id", "_hash", "_n", F.explode(marked).alias("_x"))
+        out = keyed.select("_id", "_hash", "_n", F.explode(F.concat(F.array(mark), F.transform(windows, named))).alias("_x"))
     else:
-        mark = F.array(F.struct(F.lit(0).alias("size"), F.lit(-1).alias("at"), F.lit(0).cast("long").alias("hash")))
-        listed = keyed.select("_id", "_hash", "_n", F.explode(F.concat(mark, hits)).alias("_x"))
-        wanted = hashed.distinct().unionByName(spark.createDataFrame([(0, 0)], "size int, hash long"))
-        near = listed.join(wanted, (F.col("_x.size") == wanted["size"]) & (F.col("_x.hash") == wanted["hash"]), "left_semi")
-        places = near.groupBy(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2")).agg(F.collect_list("_x").alias("_all"))
-        first = base.dropDuplicates(["_id", "_hash"])
-        again = first.join(places, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")))
-        out = again.select("_id", "_hash", "_n", F.explode(F.transform("_all", lambda x: F.struct(x["size"].alias("size"), x["at"].alias("at"), F.when(x["size"] > 0, of(x)).alias("text")))).alias("_x"))
+        listed = keyed.select("_id", "_hash", F.explode(windows).alias("_x"))
+        near = listed.where(_bloom(hashed, sum(sizes.values()))(F.col("_x.hash"))).join(hashed, F.col("_x.hash") == F.col("hash"), "left_semi")
+        places = near.groupBy(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2")).agg(F.collect_set("_x").alias("_all"))
+        again = base.join(places, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))).dropDuplicates(["_id", "_hash"])
+        out = again.select("_id", "_hash", "_n", F.explode(F.transform("_all", named)).alias("_x"))
     out = out.select("_id", "_hash", "_n", F.col("_x.size").alias("_size"), F.col("_x.at").alias("_at"), F.col("_x.text").alias("_text"))
 
     checked = bench.select(F.col("size").alias("_bsize"), F.col("window").alias("_window"), "items")
+    same = (F.col("_size") == F.col("_bsize")) & (F.col("_text") == F.col("_window"))
     if few:
-        checked = F.broadcast(checked)
-    out = out.join(checked, (F.col("_size") == F.col("_bsize")) & (F.col("_text") == F.col("_window")), "left")
+        out = out.join(F.broadcast(checked), same, "left")
+    else:
+        marks = base.select("_id", "_hash", "_n", F.lit(0).alias("_size"), F.lit(-1).alias("_at"), F.lit(None).cast("string").alias("_text"))
+        out = out.join(checked, same).unionByName(marks, allowMissingColumns=True)
     hit = F.col("items").isNotNull()
     run = F.struct(F.col("_at").alias("begin"), (F.col("_at") + F.col("_size")).alias("end"))
     grouped = out.groupBy("_id", "_hash", "_n").agg(

@@ -50,6 +50,16 @@ def test_contamination_equals_brute_force(spark, sent, monkeypatch):
     assert find_contamination(docs.limit(0), bench).count() == 0
 
 
+def test_large_benchmark_is_looked_up_without_a_shuffle_of_windows(spark):
+    """More than 200,000 windows; only hits and one row for each document are shuffled."""
+    items = spark.range(20).select(F.col("id").alias("item_id"), F.expr("array_join(transform(sequence(1, 10100), x -> concat('w', id * 20000 + x)), ' ')").alias("text"))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.expr("concat(repeat('clean words here ', 200), if(id % 10 = 0, 'w20005 w20006 w20007 w20008 w20009 w20010 w20011 w20012 w20013 w20014 w20015', 'end'))").alias("text"))
+    found = find_contamination(docs, items)
+    rows = {r.doc_id: (r.n_hit, list(r["items"])) for r in found.collect()}
+    assert rows == {i: (11, ["1"]) if i % 10 == 0 else (0, []) for i in range(300)}
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_op6_whole_table(spark, sf_dir):
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
