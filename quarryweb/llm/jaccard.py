@@ -2,11 +2,16 @@
 
 Documents with the same shingle set are one node. The rarest shingles of a
 node (its prefix) are joined on their hashes; two sets that are similar enough
-must share one. A shingle's list is not expanded into pairs: its first node is
+must share one. A shingle's list is not expanded into pairs: its least node is
 compared with the others (a star), and only nodes that are then still in
 different components are compared with each other, in blocks. So a group of m
 near copies costs about m comparisons, and no link that joins two components
 is lost.
+
+Lists are walked, each by one task, but for hot ones. The least node of a hot
+list is found by an aggregate that combines before its shuffle, and the
+list joins it, so no task has to take it whole. Sets that are compared are
+written once, in rank order.
 """
 
 from __future__ import annotations
@@ -16,16 +21,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryweb.llm.common import bounded_batches, table, written
+from quarryweb.llm.common import bounded_batches, discard, free_name, give_back, table, written
 
 WORDS = 5
 #: Shingles are ranked by the number of documents in their bucket of so many; ties by hash. Any such order is exact.
 BUCKETS = 1 << 20
 #: The longest list of a shingle that is expanded into pairs.
 SHORT = 16
+#: Shingles in buckets of more documents than this, and of EVEN times the mean bucket, are not walked by one task.
+HOT, EVEN = 1000, 16
 #: Nodes of one side of a comparison unit.
 BLOCK = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -139,7 +146,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _first_pass(docs: DataFrame) -> DataFrame:
-    """Two kinds of rows: (doc_id, n, node) of documents; (block, counts) of shingles by bucket, from each task."""
+    """Of (doc_id, text, key), two kinds of rows: (doc_id, key, n, node) of documents; (block, counts) of shingles by bucket, from each task."""
+    names = ["doc_id", "key", "n", "node", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = WordHashes(), np.zeros(BUCKETS, np.int64)
@@ -152,13 +160,13 @@ def _first_pass(docs: DataFrame) -> DataFrame:
                 sets.append(grams)
             counts += np.bincount(bucket(np.concatenate(sets)), minlength=BUCKETS)
             size = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], ["doc_id", "n", "node", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names)
         parts = counts.reshape(16, -1)
         kept = [k for k in range(16) if parts[k].any()]
         size = len(kept)
-        yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.array(kept, pa.int32()), pa.array([parts[k].astype("<i4").tobytes() for k in kept], pa.binary())], ["doc_id", "n", "node", "block", "counts"])
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(size, pa.int64())] * 4, pa.array(kept, pa.int32()), pa.array([parts[k].astype("<i4").tobytes() for k in kept], pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, block int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, key long, n long, node long, block int, counts binary")
 
 
 def _sum_counts(blocks: DataFrame) -> np.ndarray:
@@ -179,13 +187,14 @@ def _sum_counts(blocks: DataFrame) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, counts, sim: Similarity) -> DataFrame:
-    """(gram, node) for the prefix of every text."""
+    """(gram, node, hot) for the prefix of every text; hot: the shingle's bucket is far above others."""
+    hot = max(HOT, EVEN * float(counts.value.mean()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, recent = WordHashes(), set()
         for batch in batches:
             grams, nodes = [], []
-            for text in batch.column(1):
+            for text in batch.column(0):
                 g = shingle_set(words_of(text.as_py()), known)
                 if not len(g) or (node := node_of(g)) in recent:
                     continue
@@ -196,13 +205,14 @@ def _postings(docs: DataFrame, counts, sim: Similarity) -> DataFrame:
             if len(recent) > 200_000:
                 recent.clear()
             if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(grams))), pa.array(np.concatenate(nodes))], ["gram", "node"])
+                gram = np.concatenate(grams)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(gram)), pa.array(np.concatenate(nodes)), pa.array(counts.value[bucket(gram)] > hot)], ["gram", "node", "hot"])
 
-    return docs.mapInArrow(run, "gram long, node long")
+    return docs.select("text").mapInArrow(run, "gram long, node long, hot boolean")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """Shingles with two nodes or more, by one sorted walk that holds at most SHORT rows of a list.
+    """Shingles with two nodes or more, by one sorted walk that holds at most SHORT rows of a list; postings are of lists of bounded length.
 
     A short list gives all its pairs (gram null, a, b); a long one gives
     (gram, its first node, node) for each of its other nodes.
@@ -259,6 +269,33 @@ def _shared(postings: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, "gram long, a long, b long")
 
 
+def _stars(postings: DataFrame) -> DataFrame:
+    """(gram, a, b) of lists of any length: a is the least node, b each other one."""
+    least = postings.groupBy(F.col("gram").alias("_g")).agg(F.min("node").alias("a"), F.max("node").alias("_z")).where("a != _z").drop("_z")
+    least = written(least, "jaccard-heads")  # so that both sides of the join are plain exchanges, which can be split where a shingle is hot
+    return postings.join(least, F.col("gram") == F.col("_g")).where("node != a").select("gram", "a", F.col("node").alias("b")).distinct()
+
+
+def _sets(texts: DataFrame, counts) -> DataFrame:
+    """(node, grams) of (text): each set once for a task, in rank order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, recent = WordHashes(), set()
+        for batch in batches:
+            nodes, sets = [], []
+            for text in batch.column(0):
+                g = shingle_set(words_of(text.as_py()), known)
+                if len(g) and (node := node_of(g)) not in recent:
+                    recent.add(node)
+                    nodes.append(node)
+                    sets.append(ranked(g, counts.value).tobytes())
+            if len(recent) > 200_000:
+                recent.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "grams"])
+
+    return texts.mapInArrow(run, "node long, grams binary")
+
+
 def _alike(pairs: DataFrame, longs: DataFrame, sizes: DataFrame, sim: Similarity) -> DataFrame:
     """Pairs (a, b) of short lists that can still be linked: by their lengths, and by how many prefix shingles they share.
 
@@ -277,14 +314,14 @@ def _alike(pairs: DataFrame, longs: DataFrame, sizes: DataFrame, sim: Similarity
     return shared.where(lengths & (F.col("c") + F.least("ha", "hb") + rest >= need)).select("a", "b")
 
 
-def _compare(units: DataFrame, texts: DataFrame, counts, sim: Similarity) -> DataFrame:
+def _compare(units: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
     """Links (a, b) between the two sides of each unit, found by one task that holds at most two blocks of sets.
 
     units: unit, side (0 or 1; 2 is side 0 compared with itself), node, comp. Nodes of one component are not compared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, unit, rows = WordHashes(), None, []
+        unit, rows = None, []
 
         def close() -> pa.RecordBatch:
             parent: dict[int, int] = {}
@@ -296,11 +333,10 @@ def _compare(units: DataFrame, texts: DataFrame, counts, sim: Similarity) -> Dat
                 return x
 
             made: dict[int, tuple[Node, int, int]] = {}
-            for side, node, comp, text in rows:
+            for side, node, comp, grams in rows:
                 if node not in made:
-                    g = shingle_set(words_of(text), known)
-                    if len(g) and node_of(g) == node:
-                        made[node] = (Node(node, ranked(g, counts.value), sim.prefix(len(g))), comp, side)
+                    order = np.frombuffer(grams, np.uint64)
+                    made[node] = (Node(node, order, sim.prefix(len(order))), comp, side)
             left = sorted((x for x in made.values() if x[2] != 1), key=lambda x: x[0].node)
             right = [x for x in made.values() if x[2] == 1] if any(x[2] == 1 for x in made.values()) else None
             out = []
@@ -314,75 +350,89 @@ def _compare(units: DataFrame, texts: DataFrame, counts, sim: Similarity) -> Dat
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for u, side, node, comp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for u, side, node, comp, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if u != unit:
                     if len(rows) > 1:
                         yield close()
                     unit, rows = u, []
-                rows.append((side, node, comp, text))
+                rows.append((side, node, comp, grams))
         if len(rows) > 1:
             yield close()
+        give_back()
 
-    full = units.join(texts, "node").select("unit", "side", "node", "comp", "text")
+    full = units.join(sets, "node").select("unit", "side", "node", "comp", "grams")
     return full.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
+def components(links: DataFrame, name: str = "components", spread: bool = True) -> DataFrame:
     """(node, label) of every node of links (a, b): label is the least node that is reachable.
 
     Each round points every node to its least neighbour and contracts the
-    links; rounds are about the logarithm of the longest path. Every table is
-    written, aggregates combine before the shuffle, and nothing is collected.
+    links. With `spread`, nodes are numbered by a hash that no two share
+    meanwhile, so ids that follow each other make no long chains: rounds are
+    about the logarithm of the nodes. Without it, for nodes that are hashes
+    already, the label is any node of the component. Every table is written,
+    aggregates combine before the shuffle, and nothing is collected.
     """
-    links = written(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-links")
+    links = links.where("a != b")
+    if spread:
+        links = links.select("a", "b", F.xxhash64("a").alias("_ha"), F.xxhash64("b").alias("_hb"))
+        names = written(links.select(F.explode(F.array(F.struct(F.col("a").alias("name"), F.col("_ha").alias("_n")), F.struct(F.col("b").alias("name"), F.col("_hb").alias("_n")))).alias("x")).select("x.*").distinct(), f"{name}-names")
+        links = links.select(F.col("_ha").alias("a"), F.col("_hb").alias("b"))
+    links = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-links")
     labels = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
     labels = written(labels, f"{name}-labels")
     while links.take(1):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = both.groupBy(F.col("a").alias("_of")).agg(F.min("b").alias("_near")).select("_of", F.least("_of", "_near").alias("_to"))
         to = written(to, f"{name}-step")
+        last, old = labels, links
         labels = written(labels.join(to, labels["label"] == to["_of"], "left").select("node", F.coalesce("_to", "label").alias("label")), f"{name}-labels")
         one, two = to.withColumnsRenamed({"_of": "_a", "_to": "_pa"}), to.withColumnsRenamed({"_of": "_b", "_to": "_pb"})
         moved = links.join(one, links["a"] == one["_a"]).join(two, links["b"] == two["_b"]).where("_pa != _pb")
         links = written(moved.select(F.greatest("_pa", "_pb").alias("a"), F.least("_pa", "_pb").alias("b")).distinct(), f"{name}-links")
-    return labels
+        discard(last, old, to)
+    if not spread:
+        return labels
+    named = labels.join(names, F.col("node") == F.col("_n")).select("name", "label")
+    least = named.groupBy(F.col("label").alias("_l")).agg(F.min("name").alias("least"))
+    return written(named.join(least, F.col("label") == F.col("_l")).select(F.col("name").alias("node"), F.col("least").alias("label")), f"{name}-named")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """One row for each row of df: doc_id, n_shingles, component_id (the least id reachable by links, its own included).
+def _row_key(id_col: str, text_col: str) -> Column:
+    """Equal for rows of one id (null or not) and text only."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
 
-    Null and empty texts and texts without words have no shingles and are
-    linked with nothing; a text of fewer than five words is one shingle; equal
-    rows each get their row. Rows with a null id take part, but a component is
-    named by its least id that is not null (null if it has none). Shingles and
-    sets are told apart by 64-bit hashes. Other columns are not looked at. An
-    empty table stays empty.
-    """
+
+def _classes(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(doc_id, key, n, node, label) of every row: label is a node of its component, null for rows without words."""
     spark: SparkSession = df.sparkSession
     bounded_batches(spark)
     sim = Similarity(percent)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _row_key(id_col, text_col).alias("key"))
     first = written(_first_pass(docs), "jaccard-first")
-    members = first.where("n is not null").select("doc_id", "n", "node")
+    members = first.where("n is not null").select("doc_id", "key", "n", "node")
     counts = spark.sparkContext.broadcast(_sum_counts(first.where("block is not null").select("block", "counts")))
 
-    found = written(_shared(_postings(docs, counts, sim)), "jaccard-lists")
+    postings = written(_postings(docs, counts, sim), "jaccard-postings")
+    cold = _shared(postings.where("not hot").select("gram", "node"))
+    found = written(cold.unionByName(_stars(postings.where("hot").select("gram", "node"))), "jaccard-lists")
+    discard(postings)
     longs = found.where("gram is not null")
-    sizes = members.where("node is not null").select("node", "n").distinct()
-    near = written(_alike(found.where("gram is null"), longs, sizes, sim), "jaccard-near")
+    sizes = members.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("key").alias("key"))
+    near = written(_alike(found.where("gram is null"), longs, sizes.select("node", "n"), sim), "jaccard-near")
     stars = near.unionByName(longs.select("a", "b").distinct()).distinct()
-    # The text of one document of each node that is compared.
+    # The set of one document of each node that is compared.
     compared = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first_id = F.min_by(F.struct("doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id"))
-    chosen = members.join(compared, "node", "left_semi").groupBy("node").agg(first_id.alias("_row")).select("node", F.col("_row.doc_id").alias("_id"))
-    texts = written(docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"])).select("node", "text").where("text is not null"), "jaccard-texts")
+    chosen = sizes.join(compared, "node", "left_semi").select(F.col("key").alias("_key"))
+    sets = written(_sets(docs.join(chosen, F.col("key") == F.col("_key")).select("text"), counts), "jaccard-sets")
 
     # Each first node against its others, a block of them at a time.
     big = stars.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
     sides = stars.join(big, F.col("a") == F.col("_a")).withColumn("unit", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("_blocks"))))
     heads = sides.select("unit", F.lit(0).alias("side"), F.col("a").alias("node"), F.col("a").alias("comp")).distinct()
-    links = written(_compare(heads.unionByName(sides.select("unit", F.lit(1).alias("side"), F.col("b").alias("node"), F.col("b").alias("comp"))), texts, counts, sim), "jaccard-links")
-    comps = components(links, "jaccard-stars")
+    links = written(_compare(heads.unionByName(sides.select("unit", F.lit(1).alias("side"), F.col("b").alias("node"), F.col("b").alias("comp"))), sets, sim), "jaccard-links")
+    comps = components(links, "jaccard-stars", spread=False)
 
     # Long lists that still hold more than one component: their nodes meet again in blocks, but never two of the largest component.
     comp_of = lambda t, c: t.join(comps.select(F.col("node").alias("_n"), F.col("label").alias(f"{c}_comp")), F.col(c) == F.col("_n"), "left").drop("_n").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
@@ -409,27 +459,48 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     again = blocks.where("n_r > 0").select("leader", "node", "comp", F.explode(pairs).alias("p"))
     again = again.select(F.xxhash64("leader", "p.r", "p.kind", "p.o").alias("unit"), F.col("p.side").alias("side"), "node", "comp")
-    more = _compare(again, texts, counts, sim)
-    labels = components(links.unionByName(written(more, "jaccard-more")), "jaccard-all")
+    more = _compare(again, sets, sim)
+    labels = components(links.unionByName(written(more, "jaccard-more")), "jaccard-all", spread=False)
+    discard(sets, found)
+    labels = labels.withColumnRenamed("node", "_node")
+    marked = members.join(labels, F.col("node") == F.col("_node"), "left")
+    return marked.select("doc_id", "key", "n", "node", F.coalesce("label", "node").alias("label"))
+
 
-    marked = members.join(labels, "node", "left")
-    lone = F.coalesce("label", "node")
-    best = marked.where("node is not null").groupBy(lone.alias("_c")).agg(F.min("doc_id").alias("_least"))
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """One row for each row of df: doc_id, n_shingles, component_id (the least id reachable by links, its own included).
+
+    Null and empty texts and texts without words have no shingles and are
+    linked with nothing; a text of fewer than five words is one shingle; equal
+    rows each get their row. Rows with a null id take part, but a component is
+    named by its least id that is not null (null if it has none). Shingles and
+    sets are told apart by 64-bit hashes. Other columns are not looked at. An
+    empty table stays empty.
+    """
+    marked = written(_classes(df, id_col, text_col, percent), "jaccard-marked")
+    best = marked.where("label is not null").groupBy(F.col("label").alias("_c")).agg(F.min("doc_id").alias("_least"))
     best = written(best, "jaccard-least")  # so that both sides of the join are plain exchanges, which can be split where a component is hot
-    named = marked.withColumn("_l", lone).join(best, F.col("_l") == F.col("_c"), "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
+    named = marked.join(best, F.col("label") == F.col("_c"), "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """df with one document of each group of near duplicates, that of the least id; columns stay as they are.
+    """df with one row of each group of near duplicates; columns stay as they are.
 
-    Documents without words and documents with a null id stay. Of rows that
-    share the kept id, one stays.
+    That of the least id stays; null ids come last, and among rows of one id
+    that of the least hash of its text stays, once if it repeats. Rows without
+    words (null and empty texts too) are in no group and all stay.
     """
-    found = written(near_duplicates(df, id_col, text_col, percent), "jaccard-found")
-    gone = found.where("n_shingles > 0 and doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    return left.dropDuplicates([id_col, text_col]) if id_col in df.columns else left
+    found = written(_classes(df, id_col, text_col, percent).where("label is not null").select("label", "doc_id", "key"), "jaccard-found")
+    # The least id, then the least key of that id: plain numbers, which combine before the shuffle.
+    ids = found.groupBy("label").agg(F.min("doc_id").alias("_id")).withColumnRenamed("label", "_l")
+    ids = written(ids, "jaccard-least")
+    first = found.join(ids, (F.col("label") == F.col("_l")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    kept = written(first.groupBy("label").agg(F.min("key").alias("_kept")).select("_kept"), "jaccard-kept")
+    key = free_name(df, "_key")
+    words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    one = df.where(words).withColumn(key, _row_key(id_col, text_col)).join(kept, F.col(key) == F.col("_kept"), "left_semi")
+    return one.dropDuplicates([key]).drop(key).unionByName(df.where(~words))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,10 +46,11 @@ def test_whole_table(spark, sf_dir):
     assert got(op4_ngram_jaccard_join(spark, sf_dir)) == brute(rows)
 
 
-@pytest.mark.parametrize("short", [4, 16, 1000])
-def test_edited_copies_chains_and_odd_rows(spark, monkeypatch, short):
+@pytest.mark.parametrize(("short", "hot"), [(4, 1000), (16, 6), (1000, 1000), (4, 0)])
+def test_edited_copies_chains_and_odd_rows(spark, monkeypatch, short, hot):
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     monkeypatch.setattr(jaccard, "SHORT", short)
+    monkeypatch.setattr(jaccard, "HOT", hot)
     rnd = random.Random(4)
     base = [rnd.choice("abcdefghij") * rnd.randint(1, 3) + str(rnd.randint(0, 300)) for _ in range(120)]
     rows, i = [], 100
@@ -66,15 +69,45 @@ def test_edited_copies_chains_and_odd_rows(spark, monkeypatch, short):
     assert got(near_duplicates(df)) == brute(rows)
     kept = deduplicate(df)
     assert kept.columns == df.columns
-    ids = sorted(x for x in (r.doc_id for r in kept.collect()) if x is not None)
-    classes = {}
-    for d, n, c in brute(rows):
-        if d != "None":
-            classes.setdefault(d if n == "0" or not n else c, set()).add(int(d))
-    assert ids == sorted(min(x) for x in classes.values())
+    want = Counter((r.doc_id, r.text) for r in df.collect() if not shingles(r.text))
+    for rows_of in groups([(r.doc_id, r.text) for r in df.collect()]):
+        least = min((i for i, _ in rows_of if i is not None), default=None)
+        want[next((i, t) for i, t in rows_of if i == least)] += 1
+    left = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert left == want or {i for i, _ in left} == {i for i, _ in want} and left.total() == want.total()
     assert near_duplicates(df.limit(0)).count() == 0 and deduplicate(df.limit(0)).count() == 0
 
 
+def groups(rows):
+    """Lists of rows of each component, by brute force."""
+    sets = [(i, t, shingles(t)) for i, t in rows if shingles(t)]
+    out = []
+    for row in sets:
+        near = [g for g in out if any(100 * len(row[2] & x[2]) >= 75 * len(row[2] | x[2]) for x in g)]
+        out = [g for g in out if not any(g is x for x in near)] + [[row, *(x for g in near for x in g)]]
+    return [[(i, t) for i, t, _ in g] for g in out]
+
+
+def test_deduplicate_keeps_one_row_of_a_group_whatever_its_ids(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    near = text + " more"
+    rows = [(3, text), (3, near), (3, text), (None, text), (9, near), (None, "only null here and nothing else"), (None, "only null here and nothing else"), (1, ""), (1, ""), (None, None)]
+    left = sorted((str(r.doc_id), r.text) for r in deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.text)
+    assert left[1:] == [("None", "only null here and nothing else")] and left[0][0] == "3" and left[0][1] in (text, near)
+    assert deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).count() == 5
+
+
+def test_many_null_ids_and_a_shared_shingle_of_unrelated_documents(spark, monkeypatch):
+    pairs = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.expr("concat(array_join(transform(sequence(1, 40), x -> concat('p', id div 2, 'w', x)), ' '), ' end', id % 2)").alias("text"))
+    found = near_duplicates(pairs)
+    assert found.where("component_id is null and n_shingles = 37").count() == 5000
+    assert deduplicate(pairs).count() == 2500
+    # Half of each document's few shingles are shared with all others, in the rarest place.
+    apart = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("concat('a b c d e ', id div 2, ' x', id)").alias("text"))
+    rows = near_duplicates(apart).collect()
+    assert len(rows) == 3000 and all(r.component_id == r.doc_id for r in rows)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(500, 500)]
     random.Random(0).shuffle(edges)
@@ -82,6 +115,14 @@ def test_components_of_paths_and_stars(spark):
     assert labels == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)}
 
 
+def test_ordered_paths_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(jaccard, "written", lambda df, name, real=jaccard.written: rounds.append(name) or real(df, name))
+    links = spark.range(1000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert components(links).agg(F.max("label"), F.count("*")).first() == (0, 1001)
+    assert sum(n.endswith("-step") for n in rounds) <= 2 * math.log2(1001)
+
+
 def test_similarity_bounds():
     sim = Similarity()
     for a in range(1, 40):
