@@ -9,19 +9,25 @@ by their rank among the rows of their length.
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
+import random
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryweb.llm.common import bounded_batches, table, whole_text, written
+from quarryweb.llm.common import bounded_batches, free_name, table, whole_text, written
 from quarryweb.llm.tokens import token_ids
 
 CAPACITY = 2048
 #: Rows of one length that one task ranks, about.
 RANKED_TOGETHER = 4096
 
+#: Steps of an enumeration that count as a bin that is tried.
+STEPS = 32
+
 Pattern = tuple[tuple[int, ...], int]
 
 
@@ -69,123 +75,227 @@ def best_fit(hist: dict[int, int], capacity: int) -> list[Pattern]:
     return [p for room in groups.values() for p in room]
 
 
-def fillings(room: int, sizes: list[int], left: dict[int, int], width: int, effort: int = 2000) -> list[tuple[int, ...]]:
-    """Undominated ways to fill room from what is left, least waste first, then fewest pieces.
+@dataclass(frozen=True)
+class Effort:
+    """Bounds of the search; they cost bins, never pieces: the incumbent is always whole.
+
+    work: bins tried in all, where STEPS of enumeration count as one more, and
+    first, the share of it for dives over all pieces. width: fillings kept of
+    those found for a bin; steps: steps of their enumeration, which also ends
+    at `width` that fill the bin exactly. discrepancies: how far a dive may
+    leave the first choices. group, work_each: bins emptied together in a
+    repair, and work there.
+    """
+
+    work: int = 400_000
+    first: float = 0.125
+    width: int = 8
+    steps: int = 400
+    discrepancies: int = 3
+    group: int = 14
+    work_each: int = 1000
+
+
+class _Left:
+    """Pieces that are not packed: counts by size, and the sizes in order."""
+
+    def __init__(self, hist: dict[int, int]):
+        self.count = {x: n for x, n in hist.items() if n}
+        self.sizes = sorted(self.count)
+        self.total = sum(x * n for x, n in self.count.items())
+        self.steps = 0
+
+    def take(self, pattern: tuple[int, ...], m: int) -> None:
+        for x in pattern:
+            self.count[x] -= m
+        for x in set(pattern):
+            if not self.count[x]:
+                del self.sizes[bisect_left(self.sizes, x)]
+        self.total -= m * sum(pattern)
+
+    def put(self, pattern: tuple[int, ...], m: int) -> None:
+        for x in set(pattern):
+            if not self.count[x]:
+                self.sizes.insert(bisect_left(self.sizes, x), x)
+        for x in pattern:
+            self.count[x] += m
+        self.total += m * sum(pattern)
+
+
+def fillings(left: _Left, largest: int, capacity: int, waste: int, effort: Effort = Effort()) -> list[tuple[int, tuple[int, ...]]]:
+    """Undominated ways (waste, pieces) to fill the bin of the largest piece with at most so much waste: least waste first, then the most plentiful pieces.
 
     A piece of exactly the space that remains dominates every other completion
     of that space; fillings that leave room for another piece, or in which a
     piece can be swapped for a larger one that still fits, are dominated too.
     """
+    count, sizes = left.count, left.sizes
     found: list[tuple[int, tuple[int, ...]]] = []
-    used: dict[int, int] = {}
-    have = lambda x: left.get(x, 0) - used.get(x, 0) > 0
-    steps = 0
+    steps = exact = 0
+    have = lambda x: count.get(x, 0) - (x == largest)
 
-    def walk(space: int, at: int, chosen: tuple[int, ...]) -> bool:
-        nonlocal steps
+    def walk(space: int, k: int, chosen: tuple[int, ...]) -> None:
+        nonlocal steps, exact
         steps += 1
-        if have(space) and (not chosen or space <= chosen[-1]):
+        k = min(k, bisect_right(sizes, space) - 1)
+        if k >= 0 and sizes[k] == space and have(space) > 0:
             found.append((0, (*chosen, space)))
-            return True
-        low, grown = at, False
-        if sizes[at:] and sizes[at] > space:
-            lo, hi = at, len(sizes)
-            while lo < hi:
-                mid = (lo + hi) // 2
-                lo, hi = (mid + 1, hi) if sizes[mid] > space else (lo, mid)
-            low = lo
-        exact = 0
-        for k in range(low, len(sizes)):
+            exact += 1
+            return
+        grown = False
+        while k >= 0:
             x = sizes[k]
-            if not have(x):
-                continue
-            grown = True
-            used[x] = used.get(x, 0) + 1
-            exact += walk(space - x, k, (*chosen, x)) if space > x else 0
-            used[x] -= 1
-            if steps > effort or exact >= width:
-                break
+            for c in range(min(have(x), space // x), 0, -1):
+                grown = True
+                rest = space - c * x
+                if rest == 0:
+                    exact += 1
+                if rest < sizes[0]:
+                    found.append((rest, chosen + (x,) * c))
+                else:
+                    walk(rest, k - 1, chosen + (x,) * c)
+                if steps > effort.steps or exact >= effort.width:
+                    return
+            if grown and space - x < sizes[0]:  # smaller pieces that also end the bin are dominated
+                k = min(k, bisect_right(sizes, space - sizes[0]))
+            k -= 1
         if not grown:
             found.append((space, chosen))
-        return exact > 0
-
-    walk(room, 0, ())
-    found.sort(key=lambda f: (f[0], len(f[1]), tuple(-x for x in f[1])))
-    out: list[tuple[int, ...]] = []
-    for waste, f in found:
-        swap = any(left.get(y, 0) - f.count(y) > 0 for x in set(f) for y in range(x + 1, x + waste + 1)) if waste and waste < 64 else False
-        if f not in out and not (swap and out):
-            out.append(f)
-        if len(out) == width:
+
+    walk(capacity - largest, len(sizes) - 1, ())
+    left.steps += steps + len(found)
+    swap = lambda x, w, f: any(sizes[k] not in f and have(sizes[k]) > 0 for k in range(bisect_right(sizes, x), bisect_right(sizes, x + w)))
+    out: list[tuple[int, tuple[int, ...]]] = []
+    for w, f in sorted({f for f in found if f[0] <= waste}, key=lambda f: (f[0], -min((count[y] for y in f[1]), default=0), len(f[1]), tuple(-y for y in f[1]))):
+        if out and w and any(swap(x, w, f) for x in set(f)):
+            continue
+        out.append((w, f))
+        if len(out) == effort.width:
             break
-    return out or [()]
+    return out
 
 
-def complete(hist: dict[int, int], capacity: int = CAPACITY, width: int = 8, nodes: int = 50_000) -> list[Pattern]:
-    """Bin completion: fill the bin of the largest piece that is left, depth first, as often as the filling's pieces allow.
+def search(hist: dict[int, int], capacity: int, bins: int, waste: int, work: int, effort: Effort = Effort()) -> tuple[list[Pattern] | None, int]:
+    """(the packing into at most `bins` bins of least waste outside its emptiest bin, if that is below `waste`; work done).
 
-    A branch is cut once its waste shows that it cannot use fewer bins than
-    the incumbent. The search ends at the lower bound or after `nodes` bins
-    were tried; the best packing found is whole in either case.
+    Bins are completed around the largest piece that is left; a filling is
+    used as often as its pieces allow, or once. Dives follow the first choice
+    but for 0, 1, 2, ... discrepancies in all, so early choices are revisited
+    before late ones are exhausted. A branch is cut once its waste reaches the
+    incumbent's.
+    """
+    best, done = None, 0
+    for most in range(effort.discrepancies + 1):
+        left = _Left(hist)
+        path: list[tuple[tuple[int, ...], int, int]] = []
+        lost = used = 0
+
+        def options() -> list[tuple[tuple[int, ...], int, int]]:
+            x, out = left.sizes[-1], []  # noqa: B023
+            for w, f in fillings(left, x, capacity, waste - 1 - lost, effort):  # noqa: B023
+                pattern = (x, *f)
+                m = min(left.count[y] // pattern.count(y) for y in set(pattern))  # noqa: B023
+                if w:
+                    m = min(m, max(1, (waste - 1 - lost) // w))  # noqa: B023
+                out.append((pattern, m, w))
+                if m > 1:
+                    out.append((pattern, 1, w))
+            return out
+
+        stack = [[options(), 0, most]] if left.sizes else []
+        while stack:
+            if len(path) == len(stack):  # back here: take the last filling out
+                pattern, m, w = path.pop()
+                left.put(pattern, m)
+                lost, used = lost - w * m, used - m
+            choices, i, more = stack[-1]
+            if i >= len(choices) or i > more:
+                stack.pop()
+                continue
+            stack[-1][1] += 1
+            pattern, m, w = choices[i]
+            done += 1
+            if done + left.steps // STEPS > work:
+                return best, done + left.steps // STEPS
+            if lost + w * m >= waste or used + m + (left.total > m * sum(pattern)) > bins:
+                continue
+            left.take(pattern, m)
+            path.append((pattern, m, w))
+            lost, used = lost + w * m, used + m
+            if left.total <= capacity:
+                rest = tuple(x for x in reversed(left.sizes) for _ in range(left.count[x]))
+                best, waste = [(p, n) for p, n, _ in path] + ([(rest, 1)] if rest else []), lost
+                if not waste:
+                    return best, done + left.steps // STEPS
+                stack.append([[], 0, 0])
+            else:
+                stack.append([options(), 0, more - i])
+        done += left.steps // STEPS
+    return best, done
+
+
+def complete(hist: dict[int, int], capacity: int = CAPACITY, effort: Effort = Effort()) -> list[Pattern]:
+    """Bin completion, with best fit as the first incumbent and every better packing as the next.
+
+    First over all pieces, then, as long as there is work left, over the pieces of a
+    few bins that are emptied together: the emptiest one, others with waste and
+    some full ones, each as often as the rarest of them stands in the packing.
+    The search ends at the lower bound or with its effort.
     """
     hist = {int(x): int(n) for x, n in hist.items() if n}
     if not hist:
         return []
-    bound, total = lower_bound(hist, capacity), sum(x * n for x, n in hist.items())
-    best = best_fit(hist, capacity)
-    bins = sum(n for _, n in best)
-    left, sizes, path, tried = dict(hist), sorted(hist, reverse=True), [], 0
-    stack: list[tuple[list, int]] = []  # the fillings that remain to be tried, and the largest piece
-    waste = used = 0
-
-    def push() -> bool:
-        live = [x for x in sizes if left[x]]
-        if not live:
-            return False
-        x = live[0]
-        left[x] -= 1
-        options = fillings(capacity - x, live, left, width)
-        left[x] += 1
-        stack.append((options[::-1], x))
-        return True
-
-    push()
-    while stack and bins > bound and tried < nodes:
-        if len(path) == len(stack):  # back here: take the last filling out
-            pattern, m, lost = path.pop()
-            for x in pattern:
-                left[x] += m
-            waste, used = waste - lost, used - m
-        options, x = stack[-1]
-        if not options:
-            stack.pop()
-            continue
-        pattern = (x, *options.pop())
-        m = min(left[y] // pattern.count(y) for y in set(pattern))
-        lost = (capacity - sum(pattern)) * m
-        tried += 1
-        if waste + lost > (bins - 1) * capacity - total:
-            continue
-        for y in pattern:
-            left[y] -= m
-        path.append((pattern, m, lost))
-        waste, used = waste + lost, used + m
-        if not push() and used < bins:
-            best, bins = [(p, n) for p, n, _ in path], used
-    return best
-
-
-def pack(df: DataFrame, length_col: str = "length", capacity: int = CAPACITY) -> DataFrame:
+    bound = lower_bound(hist, capacity)
+    packing: Counter[tuple[int, ...]] = Counter()
+    for pattern, n in best_fit(hist, capacity):
+        packing[pattern] += n
+    bins = packing.total()
+    space = lambda p: capacity - sum(p)
+    if bins > bound:
+        got, done = search(hist, capacity, bins, sum(space(p) * n for p, n in packing.items()) - max(map(space, packing)), int(effort.work * effort.first), effort)
+        if got:
+            packing = Counter()
+            for pattern, n in got:
+                packing[pattern] += n
+            bins = packing.total()
+        dice = random.Random(0)
+        while bins > bound and done < effort.work:
+            poor = sorted((p for p in packing if space(p)), key=lambda p: (-space(p), p))
+            full = sorted(p for p in packing if not space(p))
+            some = min(len(poor), max(1, effort.group * 2 // 3))
+            pick = [poor[0], *dice.sample(poor[1:], some - 1)]
+            pick += dice.sample(full, min(len(full), effort.group - some))
+            times = min(packing[p] for p in pick)
+            if len(pick) == 1:  # equal bins with waste only: some of them together
+                pick, times = pick * min(effort.group, packing[pick[0]]), max(1, packing[pick[0]] // effort.group)
+            emptied = Counter(pick)
+            got, n = search(dict(Counter(x for p in pick for x in p)), capacity, len(pick), sum(map(space, pick)) - max(map(space, pick)) + 1, effort.work_each, effort)
+            done += max(1, n)
+            if got:
+                for p, m in emptied.items():
+                    packing[p] -= m * times
+                for p, m in got:
+                    packing[tuple(sorted(p, reverse=True))] += m * times
+                packing = +packing
+                bins = packing.total()
+    return list(packing.items())
+
+
+def pack(df: DataFrame, length_col: str = "length", capacity: int = CAPACITY, name: str = "pieces") -> DataFrame:
     """df with sequence_id and offset: every row has a place, no sequence is longer than capacity, and there are few of them.
 
-    df should be cheap to read twice (a written table). Lengths must be 1 to
-    capacity; a null or other length raises. Equal rows are told apart by
-    their rank only; an empty table stays empty; columns named sequence_id or
-    offset are replaced. Only the histogram (at most `capacity` rows) reaches
-    the driver, and the plan that is broadcast has a few rows for each length.
+    df is read once and written with a random salt, so equal rows do not meet
+    in one task however many there are; rows are told apart by their rank
+    only. Lengths must be 1 to capacity; a null or other length raises. An
+    empty table stays empty; columns named sequence_id or offset are replaced,
+    all others stay. Only the histogram (at most `capacity` rows) reaches the
+    driver, and the plan that is broadcast has a few rows for each length.
     """
     spark = df.sparkSession
     df = df.drop("sequence_id", "offset")
+    salt = free_name(df, "_salt")
+    df = written(df.withColumn(salt, F.floor(F.rand(7) * (1 << 30)).cast("int")), name)
+    kept = [c for c in df.columns if c != salt]
     length = F.col(length_col)
     hist = {r[0]: r[1] for r in df.groupBy(length.cast("int")).count().collect()}
     if any(x is None or not 1 <= x <= capacity for x in hist):
@@ -203,12 +313,12 @@ def pack(df: DataFrame, length_col: str = "length", capacity: int = CAPACITY) ->
     salts = max(64, 1 << math.ceil(math.log2(max(1, rows / RANKED_TOGETHER))))
 
     # Ranks within a length: by salted group, plus the sizes of the groups before it. A length that many rows share meets in no task.
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)))
-    group = Window.partitionBy(length.cast("int"), "_salt")
-    ranked = salted.withColumn("_rank", F.row_number().over(group.orderBy(*[F.col(f"`{c}`") for c in df.columns])) - 1)
-    before = salted.groupBy(length.cast("int").alias("_length"), F.col("_salt").alias("_of")).count()
+    salted = df.withColumn(salt, F.pmod(F.col(salt), F.lit(salts)))
+    group = Window.partitionBy(length.cast("int"), salt)
+    ranked = salted.withColumn("_rank", F.row_number().over(group.orderBy(*[F.col(f"`{c}`") for c in kept])) - 1)
+    before = salted.groupBy(length.cast("int").alias("_length"), F.col(salt).alias("_of")).count()
     before = before.select("_length", "_of", (F.sum("count").over(Window.partitionBy("_length").orderBy("_of")) - F.col("count")).alias("_before"))
-    placed = ranked.join(before, (length.cast("int") == F.col("_length")) & (F.col("_salt") == F.col("_of"))).drop("_length", "_of", "_salt")
+    placed = ranked.join(before, (length.cast("int") == F.col("_length")) & (F.col(salt) == F.col("_of"))).drop("_length", "_of", salt)
     plan = spark.createDataFrame(slots, "_length int, _from long, _to long, _shift long, offset long")
     rank = F.col("_rank") + F.col("_before")
     placed = placed.join(F.broadcast(plan), (length.cast("int") == F.col("_length")) & (rank >= F.col("_from")) & (rank < F.col("_to")))
@@ -238,7 +348,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     cut = pieces(rows, token_ids(F.col("_text"), end_id), capacity).drop("_text")
     cut = cut.select(id_col, "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(written(cut, name), "length", capacity)
+    return pack(cut, "length", capacity, name)
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:

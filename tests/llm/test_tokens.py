@@ -117,6 +117,35 @@ def test_completion_is_optimal_on_small_cases_and_whole_on_large():
     assert complete({}) == []
 
 
+def planted(n, seed, capacity=2048):
+    """n full bins of three pieces each, none near the ends of the range."""
+    rnd, hist = random.Random(seed), Counter()
+    for _ in range(n):
+        a = rnd.randint(760, 980)
+        b = rnd.randint(500, (capacity - a) // 2)
+        hist.update((a, b, capacity - a - b))
+    return hist
+
+
+@pytest.mark.parametrize(("n", "most"), [(60, 61), (500, 502), (2000, 2010)])
+def test_completion_finds_planted_packings(n, most):
+    hist = planted(n, 3)
+    used, bins = packed(complete(hist), 2048)
+    assert used == hist and n <= bins <= most < packed(best_fit(hist, 2048), 2048)[1]
+
+
+def test_completion_of_many_small_pieces_and_of_few_lengths():
+    for hist in ({1: 5000, 2000: 3}, {700: 10**9}, {1025: 1000, 600: 3000}, {2048: 4, 1: 1}, {3: 10**6, 1000: 7, 2045: 10**5}):
+        used, bins = packed(complete(hist), 2048)
+        assert used == Counter(hist) and bins <= packed(best_fit(hist, 2048), 2048)[1]
+
+
+def test_equal_rows_are_ranked_apart(spark):
+    rows = spark.range(40_000).select(F.lit(1).alias("doc_id"), F.lit(500).alias("length"))
+    got = pack(rows).groupBy("sequence_id").agg(F.count("*").alias("n"), F.countDistinct("offset").alias("places")).groupBy("n", "places").count().collect()
+    assert [tuple(r) for r in got] == [(4, 4, 10_000)]
+
+
 def test_hot_length_repeated_rows_and_clashing_columns(spark):
     df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") < 2000, 700).otherwise(F.col("id") % 2048 + 1).alias("length"), F.lit("x").alias("offset"), F.lit(1).alias("sequence_id"))
     rows = pack(df).collect()
