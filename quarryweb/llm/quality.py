@@ -22,7 +22,7 @@ from quarryweb.llm.common import bounded_batches, id_fold, table
 
 #: The most labelled documents of each label that the model is fitted on: those with the least hash of their id.
 TRAINING_DOCUMENTS = 1000
-#: Long labelled documents are whole in scoring; in fitting, one document gives at most this many lines, spread evenly.
+#: Long labelled documents are whole in scoring; in fitting, one document gives at most this many lines, which follow each other.
 TRAINING_LINES = 200
 
 _UPPER = bytes(range(65, 91))
@@ -74,11 +74,27 @@ def document_lines(text: str | None) -> list[bytes]:
 
 def chain_features(lines: list[bytes]) -> np.ndarray:
     """Features of each line, then those of the line before and the line after it (zero at the ends)."""
-    own = np.array([line_features(x) for x in lines])
+    return _chained(np.array([line_features(x) for x in lines]))
+
+
+def _chained(own: np.ndarray) -> np.ndarray:
     none = np.zeros((1, N_OWN))
     return np.hstack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none])])
 
 
+@dataclass(frozen=True)
+class Example:
+    """A labelled document for fitting: chain features of its lines, or of some that follow each other, and their lengths."""
+
+    features: np.ndarray
+    weights: np.ndarray
+    label: int
+
+
+def example(lines: list[bytes], label: int) -> Example:
+    return Example(chain_features(lines), np.array([len(x) + 1 for x in lines]), label)
+
+
 @dataclass(frozen=True)
 class LineModel:
     """emit: weights of label good against bad; step[a, b]: of label b after a; scale: logistic curve of the mean marginal."""
@@ -93,8 +109,11 @@ class LineModel:
         return _forward_backward((features @ self.emit).tolist(), self.step)[0]
 
     def mean(self, lines: list[bytes]) -> float:
-        p = self.marginals(chain_features(lines))
-        weight = [len(x) + 1 for x in lines]
+        return self.weighted(example(lines, 0))
+
+    def weighted(self, of: Example) -> float:
+        """The lines' marginals, weighted by length."""
+        p, weight = self.marginals(of.features), of.weights.tolist()
         return sum(a * w for a, w in zip(p, weight, strict=True)) / sum(weight)
 
     def score(self, text: str | None) -> float:
@@ -135,19 +154,19 @@ def _forward_backward(scores: list[float], step: np.ndarray) -> tuple[list[float
     return good, pairs, log_z
 
 
-def train(documents: list[tuple[list[bytes], int]], rounds: int = 60, decay: float = 1e-3, stands_for: tuple[float, float] = (1.0, 1.0)) -> LineModel:
+def train(documents: list[Example], rounds: int = 60, decay: float = 1e-3, stands_for: tuple[float, float] = (1.0, 1.0)) -> LineModel:
     """Fits the chain by gradient steps with running scales (Adam), then the curve on the documents' mean marginals.
 
     Classes are weighted to count alike in the chain; for the curve a document
     of label y counts as the `stands_for[y]` that it was chosen from. Without documents of both labels
     every score is the share of label 1 (one half without any).
     """
-    labels = np.array([y for _, y in documents], float)
+    labels = np.array([d.label for d in documents], float)
     if not len(labels) or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return LineModel(np.zeros(3 * N_OWN), np.zeros((2, 2)), (0.0, math.log(share / (1 - share))))
-    chains = [chain_features(lines) for lines, _ in documents]
+    chains = [d.features for d in documents]
     emit, step = np.zeros(3 * N_OWN), np.zeros((2, 2))
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     stacked = np.vstack(chains)
@@ -171,7 +190,7 @@ def train(documents: list[tuple[list[bytes], int]], rounds: int = 60, decay: flo
             s += 0.01 * (g * g - s)
             v += 0.25 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
     model = LineModel(emit, step, (1.0, 0.0))
-    x = np.array([model.mean(lines) for lines, _ in documents]) - 0.5
+    x = np.array([model.weighted(d) for d in documents]) - 0.5
     a, b = 4.0, 0.0
     each = np.where(labels > 0, stands_for[1], stands_for[0])
     each *= len(each) / each.sum()
@@ -190,8 +209,11 @@ def train(documents: list[tuple[list[bytes], int]], rounds: int = 60, decay: flo
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", documents: int = TRAINING_DOCUMENTS) -> LineModel:
     """A model from at most `documents` labelled documents of each label, those with the least hash of their id.
 
-    Only these rows come to the driver. Null ids, texts' nulls and labels other
-    than 0 and 1 take no part; a document with several labels has the least.
+    Null ids, and labels other than 0 and 1 take no part; a document with
+    several labels has the least, and of rows of docs that share an id the one
+    with the least hash of its text. Tasks send features of at most
+    TRAINING_LINES + 2 lines of a document, never its text, so what comes to
+    the driver is bounded in rows and bytes however often an id repeats.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
     order = F.xxhash64("_id")
@@ -200,20 +222,46 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = [known.where(F.col("_label") == y).orderBy(order, "_id").limit(documents) for y in (0, 1)]
     # The bound makes the chosen ids small enough to send to every task that reads documents.
     chosen = F.broadcast(ids[0].unionByName(ids[1]))
-    rows = docs.join(chosen, F.col(id_col) == F.col("_id")).select("_id", "_label", text_col)
+    rows = docs.join(chosen, F.col(id_col) == F.col("_id"))
+    names = ["id", "label", "hash", "lead", "features", "weights"]
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch_of(best: dict[int, tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        columns = list(zip(*((i, *best[i]) for i in sorted(best)), strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for an id, so `2 * documents` at most in memory and out."""
+        best: dict[int, tuple] = {}
+        for batch in batches:
+            for i, label, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if i in best and best[i][1] <= key:
+                    continue
+                lines = document_lines(text)
+                begin = key % (len(lines) - TRAINING_LINES + 1) if len(lines) > TRAINING_LINES else 0
+                end = min(len(lines), begin + TRAINING_LINES)
+                lead = int(begin > 0)
+                own = np.array([line_features(x) for x in lines[begin - lead : end + 1]])
+                best[i] = (label, key, lead, own.tobytes(), np.array([len(x) + 1 for x in lines[begin:end]], np.int64).tobytes())
+        yield batch_of(best)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}
         for batch in batches:
-            out = []
-            for text in batch.column(2):
-                x = document_lines(text.as_py())
-                step = max(1, math.ceil(len(x) / TRAINING_LINES))
-                out.append(x[::step])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.binary()))], ["id", "label", "lines"])
-
-    made = rows.select("_id", F.col("_label").cast("int"), text_col).mapInArrow(lines, "id long, label int, lines array<binary>").collect()
-    made.sort(key=lambda r: (r.id, r.lines))
-    return train([([bytes(x) for x in r.lines], r.label) for r in made], stands_for=stands_for)
+            for i, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if i not in best or row[1] < best[i][1]:
+                    best[i] = tuple(row)
+        yield batch_of(best)
+
+    schema = "id long, label int, hash long, lead int, features binary, weights binary"
+    made = rows.select("_id", F.col("_label").cast("int"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), text_col).mapInArrow(features, schema)
+    made = made.repartition("id").mapInArrow(least, schema).collect()
+    examples = []
+    for r in sorted(made, key=lambda r: r.id):
+        weights = np.frombuffer(r.weights, np.int64)
+        chain = _chained(np.frombuffer(r.features).reshape(-1, N_OWN))[r.lead : r.lead + len(weights)]
+        examples.append(Example(chain, weights, r.label))
+    return train(examples, stands_for=stands_for)
 
 
 def quality_score(text: Column, model: LineModel) -> Column:

@@ -1,9 +1,11 @@
 import itertools
 import math
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from quarryweb.llm.common import id_fold
 from quarryweb.llm.quality import LineModel, _forward_backward, chain_features, document_lines, fit, op9_quality_classifier, score_quality, train
 
 
@@ -52,3 +54,37 @@ def test_bounded_sample_keeps_the_share_of_labels(spark):
     labels = df.select("doc_id", (F.col("doc_id") % 10 > 0).cast("int").alias("quality"))
     for documents in (20, 1000):
         assert abs(fit(df, labels, documents=documents).score("some words in a line") - 0.9) < 0.01
+
+
+def test_repeated_labelled_id_sends_one_row_of_bounded_size(spark):
+    rows = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("same id, text "), F.col("id") % 7).alias("text"))
+    wide = spark.createDataFrame([(2, "x" * 3_000_000), (3, "||| ###\n" * 30_000), (None, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id long, quality int")
+    model = fit(rows.union(wide), labels)
+    assert model.score("same id, text 3") > 0.5 > model.score("||| ###\n" * 3)
+
+
+def test_every_score_equals_a_product_of_matrices(spark, sf_dir):
+    """The whole query against each document's marginals from explicit transfer matrices."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    part = id_fold("doc_id", 3) != 1
+    model = fit(docs.where(part), labels.where(part))
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in docs.select("doc_id").collect()}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in op9_quality_classifier(spark, sf_dir).collect():
+        lines = [x for x in (texts[r.doc_id] or "").split("\n") if x.strip(" \t\r\v\f")] or [""]
+        scores = chain_features([x.encode() for x in lines]) @ model.emit
+        after = [np.ones(2)]
+        for s in scores[:0:-1]:
+            v = np.exp(model.step) @ (np.exp([0, s]) * after[-1])
+            after.append(v / v.sum())
+        before, mean, size = np.ones(2), 0.0, 0
+        for i, (line, s) in enumerate(zip(lines, scores, strict=True)):
+            here = np.exp([0, s]) * (before @ np.exp(model.step) if i else before)
+            before = here / here.sum()
+            p = before * after[len(lines) - 1 - i]
+            mean, size = mean + p[1] / p.sum() * (len(line.encode()) + 1), size + len(line.encode()) + 1
+        a, b = model.scale
+        want = 1 / (1 + math.exp(-max(-30, min(30, a * (mean / size - 0.5) + b))))
+        assert r.held_out == held[r.doc_id] and math.isclose(r.score, want, rel_tol=1e-6, abs_tol=1e-9) and r.predicted == int(r.score >= 0.5)
