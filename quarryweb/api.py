@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import asyncio
+import math
+import time
 import warnings
 from dataclasses import replace
 from typing import Any
@@ -11,7 +13,7 @@ from pyspark.sql import Row, SparkSession
 
 from quarryweb.plans import Request, extract
 from quarryweb.sources.fetch import PREFIXES, Client, fetch_pages, get
-from quarryweb.sources.robots import RulesStore, allowed, host_and_path, robots_url
+from quarryweb.sources.robots import TTL_SECONDS, RulesStore, allowed, host_and_path, robots_url
 
 MISSING_FIELDS = 'Without fields every field is extracted; name the ones that are needed, or pass fields=["all"].'
 PAGE = "pos long, url string, html string"
@@ -70,7 +72,8 @@ class WebExtractor:
     def __init__(self, url: str, html: str | None = None):
         self.url, self.html = url, html
         self._request, self._client, self._set = Request(), Client(), False
-        self._rules: dict[str, str] | None = None
+        self._rules: dict[str, tuple[str, float]] | None = None
+        self._ttl = TTL_SECONDS
         self._store: RulesStore | None = None
 
     def _want(self, **fields) -> None:
@@ -129,13 +132,14 @@ class WebExtractor:
     def enable_robots_check_with_redis(self, redis_url: str) -> None:
         self._store, self._rules = RulesStore.from_url(redis_url), {}
 
-    def _checked(self) -> dict[str, str]:
+    def _checked(self) -> dict[str, tuple[str, float]]:
         if self._rules is None:
             raise RuntimeError(f"{PREFIXES['Other']}Robots checker not enabled")
         return self._rules
 
     def set_robots_redis_ttl(self, ttl_secs: int) -> None:
         self._checked()
+        self._ttl = ttl_secs
         if self._store:
             self._store.ttl = ttl_secs
 
@@ -147,20 +151,20 @@ class WebExtractor:
 
     def set_robots_txt(self, content: str) -> None:
         rules, host = self._checked(), self._host()
-        rules[host] = content
+        rules[host] = content, math.inf
         if self._store:
             self._store.put(host, content)
 
     def _find_rules(self) -> str:
         rules, host = self._checked(), self._host()
-        if host not in rules:
+        if host not in rules or rules[host][1] < time.monotonic():
             text = self._store.get(host) if self._store else None
             if text is None:
                 text = get(robots_url(self.url), replace(self._client, timeout=10))[0] or ""
                 if self._store:
                     self._store.put(host, text)
-            rules[host] = text
-        return rules[host]
+            rules[host] = text, time.monotonic() + self._ttl
+        return rules[host][0]
 
     def check_robots_allowed(self) -> bool:
         if self._rules is None:

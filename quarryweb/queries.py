@@ -57,17 +57,22 @@ SELECT page_id, title, text, octet_length(encode(text))::BIGINT AS text_length F
 
 
 def page_links(spark, sf_dir):
-    """Every link of every page, resolved."""
+    """Every link of every page, resolved: those within its site, then those that lead out of it."""
     out = extract(_pages(spark, sf_dir), Request(links=ALL), keep=["page_id"])
-    return out.select("page_id", F.posexplode("links.internal").alias("pos", "link")).select("page_id", F.col("pos").cast("long").alias("pos"), F.col("link.url").alias("link_url"), F.col("link.text").alias("link_text"))
+    def side(kind: str) -> Column:
+        return F.transform(f"links.{kind}", lambda x, i: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("pos"), x["url"].alias("link_url"), x["text"].alias("link_text")))
+
+    sides = [side("internal"), side("external")]
+    return out.select("page_id", F.explode(F.concat(*sides)).alias("l")).select("page_id", "l.*")
 
 
 _HREFS = r"""
 SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS site, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS hrefs, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS texts FROM pages
 """
 PAGE_LINKS_SQL = f"""
-WITH h AS ({_HREFS}), l AS (SELECT page_id, site, hrefs, texts, unnest(range(0, len(hrefs))) AS pos FROM h)
-SELECT page_id, pos, site || replace(replace(url_encode(hrefs[pos + 1]), '%2F', '/'), '%2C', ',') AS link_url, texts[pos + 1] AS link_text FROM l
+WITH h AS ({_HREFS}), l AS (SELECT page_id, site, hrefs[i + 1] AS href, texts[i + 1] AS link_text, i FROM (SELECT page_id, site, hrefs, texts, unnest(range(0, len(hrefs))) AS i FROM h)),
+k AS (SELECT *, CASE WHEN regexp_matches(href, '^[a-z]+:') AND NOT starts_with(href || '/', site || '/') THEN 'external' ELSE 'internal' END AS kind FROM l)
+SELECT page_id, kind, row_number() OVER (PARTITION BY page_id, kind ORDER BY i) - 1 AS pos, CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href ELSE site || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') END AS link_url, link_text FROM k
 """
 
 
@@ -320,12 +325,16 @@ SELECT c_custkey, CASE WHEN error_kind IS NULL AND NOT given THEN 'page ' || c_c
 
 
 def text_json(spark, sf_dir):
-    """Pages as JSON documents; the length of the text is there even where the text is not."""
-    out = to_json(extract(_pages(spark, sf_dir), Request(links=("external",))))
-    return out.select("url", F.get_json_object("json", "$.text.text_length").cast("long").alias("text_length"), F.get_json_object("json", "$.links.summary.total").cast("long").alias("total"), F.get_json_object("json", "$.article").alias("article"))
+    """Pages as JSON documents: text and its length, links and the title, of which absent ones leave no key."""
+    out = to_json(extract(_pages(spark, sf_dir), Request(text=True, links=ALL, article=("title", "author"), socials=ALL)))
+    at = lambda path: F.get_json_object("json", f"$.{path}")
+    return out.select("url", at("url").alias("json_url"), at("text.content").alias("content"), at("text.text_length").cast("long").alias("text_length"), at("links.summary.total").cast("long").alias("total"), at("article").alias("article"), at("socials").alias("socials"), at("product").alias("product"))
 
 
-TEXT_JSON_SQL = "SELECT url, 0::BIGINT AS text_length, 0::BIGINT AS total, NULL::VARCHAR AS article FROM pages"
+TEXT_JSON_SQL = rf"""
+WITH t AS (SELECT url, trim(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&quot;', '"'), '&amp;', '&')) AS title, {_PAGE_TEXT} AS text, len(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS n FROM pages)
+SELECT url, url AS json_url, text AS content, octet_length(encode(text))::BIGINT AS text_length, n::BIGINT AS total, '{{"title":' || to_json(title)::VARCHAR || '}}' AS article, '{{}}' AS socials, NULL::VARCHAR AS product FROM t
+"""
 
 
 def page_language(spark, sf_dir):

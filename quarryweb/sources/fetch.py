@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import http.client
 import random
 import socket
+import threading
 import urllib.error
-import urllib.request
+import urllib.parse
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
@@ -33,6 +36,11 @@ AGENTS = (
 PREFIXES = {"HttpError": "HTTP error: ", "ParseError": "Parse error: ", "InvalidUrl": "Invalid URL: ", "Timeout": "Timeout: ", "Other": "Error: "}
 
 
+MOST_REDIRECTS, MOST_CONNECTIONS = 10, 100
+#: Pages that a task fetches at a time, in all and of one host.
+THREADS, EACH_HOST = 10, 4
+
+
 @dataclass(frozen=True)
 class Client:
     """Settings of the HTTP client; every change makes a new one. fetcher(url, client) -> text or bytes replaces the built-in one."""
@@ -56,15 +64,77 @@ class Client:
         return random.Random(self.seed).choice(AGENTS) if self.random_agent else self.agent
 
 
+class Session:
+    """Connections of one thread, kept open by host as long as the server lets them."""
+
+    def __init__(self):
+        self.open: dict[tuple[str, str], http.client.HTTPConnection] = {}
+
+    def _connection(self, scheme: str, place: str, client: Client) -> http.client.HTTPConnection:
+        found = self.open.get((scheme, place))
+        if found is None:
+            if len(self.open) >= MOST_CONNECTIONS:
+                self.close()
+            kind = http.client.HTTPSConnection if scheme == "https" else http.client.HTTPConnection
+            found = self.open[scheme, place] = kind(place, timeout=client.timeout or None)
+        return found
+
+    def _ask(self, url: str, client: Client, headers: dict[str, str]) -> tuple[http.client.HTTPResponse, bytes]:
+        parts = urllib.parse.urlsplit(url)
+        if parts.scheme not in ("http", "https"):
+            raise urllib.error.URLError(f"no such protocol: {parts.scheme}")
+        path = urllib.parse.urlunsplit(("", "", parts.path or "/", parts.query, ""))
+        place = parts.netloc.rpartition("@")[2]
+        for again in (True, False):
+            kept = (parts.scheme, place) in self.open
+            connection = self._connection(parts.scheme, place, client)
+            try:
+                connection.request("GET", path, headers=headers)
+                response = connection.getresponse()
+                data = response.read()
+            except TimeoutError:
+                self._drop(parts.scheme, place)
+                raise
+            except (http.client.HTTPException, OSError) as e:
+                self._drop(parts.scheme, place)
+                if kept and again:  # the server has closed a connection that was kept
+                    continue
+                raise e if isinstance(e, OSError) else urllib.error.URLError(e) from e
+            if response.will_close:
+                self._drop(parts.scheme, place)
+            return response, data
+        raise AssertionError
+
+    def get(self, url: str, client: Client) -> str:
+        """The body of whatever the server answers, error pages included; redirects are followed."""
+        headers = {"User-Agent": client.chosen_agent(), "Accept": "*/*", **client.headers}
+        for _ in range(MOST_REDIRECTS + 1):
+            url = str(urls.parse(url))
+            response, data = self._ask(url, client, headers)
+            to = response.headers.get("Location") if response.status in (301, 302, 303, 307, 308) else None
+            if to is None:
+                return _decoded(data, response.headers.get_content_charset())
+            url = str(urls.parse(to, urls.parse(url)))
+        raise urllib.error.URLError("too many redirects")
+
+    def _drop(self, scheme: str, place: str) -> None:
+        if found := self.open.pop((scheme, place), None):
+            found.close()
+
+    def close(self) -> None:
+        for found in self.open.values():
+            found.close()
+        self.open.clear()
+
+
+_LOCAL = threading.local()
+
+
 def http_get(url: str, client: Client) -> str:
-    """The body of whatever the server answers, error pages included."""
-    request = urllib.request.Request(url, headers={"User-Agent": client.chosen_agent(), **client.headers})
-    try:
-        with urllib.request.urlopen(request, timeout=client.timeout) as response:
-            data, charset = response.read(), response.headers.get_content_charset()
-    except urllib.error.HTTPError as e:
-        data, charset = e.read(), e.headers.get_content_charset()
-    return _decoded(data, charset)
+    """The body of a page, over this thread's connections."""
+    if not hasattr(_LOCAL, "session"):
+        _LOCAL.session = Session()
+    return _LOCAL.session.get(url, client)
 
 
 def _decoded(data: bytes, charset: str | None) -> str:
@@ -97,12 +167,14 @@ def get(url: str, client: Client) -> tuple[str | None, dict[str, str] | None]:
         return None, error_of(e)
 
 
-def fetch_pages(df: DataFrame, client: Client | None = None, max_concurrent: int | None = 10, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def fetch_pages(df: DataFrame, client: Client | None = None, max_concurrent: int | None = None, url_col: str = "url", html_col: str = "html", threads: int = THREADS, each_host: int = EACH_HOST) -> DataFrame:
     """df with html_col filled and error set where that failed.
 
-    Rows that have html already (empty pages included) are not fetched.
-    max_concurrent bounds the tasks that fetch at a time; None keeps the
-    input's partitions, which is what a large crawl wants.
+    Rows that have html already (empty pages included) are not fetched. The
+    input's partitions are kept, so a crawl grows with its cluster; in each
+    task `threads` pages are fetched at a time, of one host `each_host` at
+    most. max_concurrent bounds the pages that are fetched at a time over all
+    tasks (by that many tasks of one thread), for small batches.
     """
     client = client or Client()
     if html_col not in df.columns:
@@ -110,17 +182,28 @@ def fetch_pages(df: DataFrame, client: Client | None = None, max_concurrent: int
     if "error" not in df.columns:
         df = df.withColumn("error", F.lit(None).cast("struct<kind:string,message:string>"))
     if max_concurrent and not df.isStreaming:
-        df = df.repartition(max_concurrent)
+        df, threads = df.repartition(max_concurrent), 1
     names = df.columns
     kind = pa.struct([("kind", pa.string()), ("message", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pages, errors = batch.column(html_col).to_pylist(), batch.column("error").to_pylist()
-            for i, url in enumerate(batch.column(url_col).to_pylist()):
-                if pages[i] is None and errors[i] is None:
-                    pages[i], errors[i] = get(url, client) if url is not None else (None, error_of(ValueError("null")))
-            made = {html_col: pa.array(pages, pa.string()), "error": pa.array(errors, kind)}
-            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names)
+        hosts: dict[str | None, threading.Semaphore] = {}
+
+        def one(url: str | None) -> tuple[str | None, dict[str, str] | None]:
+            if url is None:
+                return None, error_of(ValueError("null"))
+            parsed = urls.try_parse(url)
+            with hosts.setdefault(parsed.host if parsed else None, threading.Semaphore(each_host)):
+                return get(url, client)
+
+        with ThreadPoolExecutor(threads) as pool:
+            for batch in batches:
+                pages, errors = batch.column(html_col).to_pylist(), batch.column("error").to_pylist()
+                links = batch.column(url_col).to_pylist()
+                todo = [i for i in range(len(links)) if pages[i] is None and errors[i] is None]
+                for i, got in zip(todo, pool.map(one, [links[i] for i in todo]), strict=True):
+                    pages[i], errors[i] = got
+                made = {html_col: pa.array(pages, pa.string()), "error": pa.array(errors, kind)}
+                yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names)
 
     return df.mapInArrow(run, df.schema)

@@ -39,17 +39,36 @@ def _rules(text: str) -> tuple[tuple[frozenset[str], tuple[tuple[bool, str], ...
     return tuple((frozenset(a), tuple(r)) for a, r in groups)
 
 
+_ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|.", re.S)
+#: What stands for itself in a path; everything else, and an escaped slash, is compared in its escaped form.
+_PLAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~/:?&=+,;@!'()")
+
+
+@lru_cache(maxsize=4096)
+def canonical(path: str, special: str = "") -> str:
+    """path with one way to write each character: `%61` as `a`, `<` as `%3C`; characters of special are kept."""
+    out = []
+    for part in _ESCAPED.findall(path):
+        if part in special:
+            out.append(part)
+            continue
+        raw = bytes([int(part[1:], 16)]) if len(part) == 3 else part.encode("utf-8", "surrogatepass")
+        kept = raw.decode("latin-1") if len(raw) == 1 else ""
+        out.append(kept if kept in _PLAIN and kept and not (kept == "/" and len(part) == 3) else "".join(f"%{b:02X}" for b in raw))
+    return "".join(out)
+
+
 @lru_cache(maxsize=4096)
 def _pattern(path: str) -> re.Pattern:
     body, end = (path[:-1], r"\Z") if path.endswith("$") else (path, "")
-    return re.compile("".join(".*" if c == "*" else re.escape(c) for c in body) + end, re.S)
+    return re.compile("".join(".*" if c == "*" else re.escape(c) for c in canonical(body, "*")) + end, re.S)
 
 
 def allowed(rules: str | None, path: str, agent: str) -> bool:
     """The longest rule of the agent's groups (else of *) decides; allow wins ties; no rules allow everything."""
     if not rules:
         return True
-    agent, groups = agent.lower(), _rules(rules)
+    agent, groups, path = agent.lower(), _rules(rules), canonical(path)
     mine = [a for names, _ in groups for a in names if a != "*" and a and a in agent]
     best_name = max(mine, key=len) if mine else "*"
     found = [(len(p), allow) for names, lines in groups if best_name in names for allow, p in lines if _pattern(p).match(path)]
