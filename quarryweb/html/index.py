@@ -111,17 +111,20 @@ def index_page(url: str | None, html: str, parts: Iterable[str]) -> dict:
         out["clean_text"] = main_text(root)
     if not parts - {"text"}:
         return out
+    # Only what the requested parts read is gathered; the rest stays empty.
+    with_meta, with_links, with_json, with_tags, with_items, with_css, with_dates = (p in parts for p in ("meta", "links", "json_ld", "tags", "itemprop", "css", "dates"))
+    with_meta |= "meta_first" in parts
     meta: dict[str, dict[str, list[str]]] = {"property": {}, "name": {}}
     meta_first: dict[str, dict[str, str | None]] = {"property": {}, "name": {}}
     links, json_ld, tag_text, itemprop, itemprop_first, css, times = [], [], {}, {}, {}, {}, []
     h1 = author = body = None
     h1_seen = author_seen = False
-    base = urls.try_parse(url)
+    base = urls.try_parse(url) if with_links else None
     for e in root.walk():
         tag, a = e.tag, e.attrs
         if tag == "body" and body is None:
             body = e
-        if tag in ("title", "h1"):
+        if with_tags and tag in ("title", "h1"):
             text = e.text().strip(WHITE)
             if text:
                 tag_text.setdefault(tag, []).append(text)
@@ -131,27 +134,29 @@ def index_page(url: str | None, html: str, parts: Iterable[str]) -> dict:
             continue
         content = a.get("content")
         if tag == "meta":
-            for key in ("property", "name"):
-                if (name := a.get(key)) is not None:
-                    meta_first[key].setdefault(name, content)
-                    if content is not None:
-                        meta[key].setdefault(name, []).append(content)
+            if with_meta:
+                for key in ("property", "name"):
+                    if (name := a.get(key)) is not None:
+                        meta_first[key].setdefault(name, content)
+                        if content is not None:
+                            meta[key].setdefault(name, []).append(content)
         elif tag == "a":
-            if "href" in a and "links" in parts and (text := e.text().strip(WHITE)):
+            if with_links and "href" in a and (text := e.text().strip(WHITE)):
                 links.append(_link(a["href"], text, base))
-            if not author_seen and a.get("rel", "").lower() == "author":
+            if with_tags and not author_seen and a.get("rel", "").lower() == "author":
                 author_seen, author = True, e.text().strip(WHITE) or None
-        elif tag == "script" and a.get("type", "").lower() == "application/ld+json":
-            if raw := next(e.texts(), None):
+        elif tag == "script":
+            if with_json and a.get("type", "").lower() == "application/ld+json" and (raw := next(e.texts(), None)):
                 json_ld.append({"raw": raw, "objects": [jsonld.resolve(o) for o in jsonld.objects(raw)]})
-        elif tag == "time" and "datetime" in a:
+        elif with_dates and tag == "time" and "datetime" in a:
             times.append(a["datetime"])
-        if (name := a.get("itemprop")) is not None:
+        name = a.get("itemprop")
+        if with_items and name is not None:
             value = content if content is not None else e.text().strip(WHITE) or None
             itemprop_first.setdefault(name, value)
             if value is not None:
                 itemprop.setdefault(name, []).append(value)
-        if "css" in parts:
+        if with_css:
             hits = [_BY_CLASS[t] for t in dict.fromkeys(a.get("class", "").split()) if t in _BY_CLASS]
             hits += [s for k, s in _BY_ATTRIBUTE.items() if k in a]
             if name in _BY_ITEMPROP:
@@ -165,7 +170,7 @@ def index_page(url: str | None, html: str, parts: Iterable[str]) -> dict:
         "meta_by_property": list(meta["property"].items()), "meta_by_name": list(meta["name"].items()), "meta_first_by_property": list(meta_first["property"].items()), "meta_first_by_name": list(meta_first["name"].items()),
         "itemprop": list(itemprop.items()), "itemprop_first": list(itemprop_first.items()), "css_hits": list(css.items()), "time_datetime": times,
     }
-    if "dates" in parts:
+    if with_dates:
         out["body_text"] = " ".join((body or root).texts())
     return out
 
