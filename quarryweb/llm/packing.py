@@ -295,7 +295,7 @@ def pack(df: DataFrame, length_col: str = "length", capacity: int = CAPACITY, na
     df = df.drop("sequence_id", "offset")
     salt = free_name(df, "_salt")
     df = written(df.withColumn(salt, F.floor(F.rand(7) * (1 << 30)).cast("int")), name)
-    kept = [c for c in df.columns if c != salt]
+    order = [F.col(f"`{c}`") for c, kind in df.dtypes if c != salt and kind != "binary"]
     length = F.col(length_col)
     hist = {r[0]: r[1] for r in df.groupBy(length.cast("int")).count().collect()}
     if any(x is None or not 1 <= x <= capacity for x in hist):
@@ -315,7 +315,7 @@ def pack(df: DataFrame, length_col: str = "length", capacity: int = CAPACITY, na
     # Ranks within a length: by salted group, plus the sizes of the groups before it. A length that many rows share meets in no task.
     salted = df.withColumn(salt, F.pmod(F.col(salt), F.lit(salts)))
     group = Window.partitionBy(length.cast("int"), salt)
-    ranked = salted.withColumn("_rank", F.row_number().over(group.orderBy(*[F.col(f"`{c}`") for c in kept])) - 1)
+    ranked = salted.withColumn("_rank", F.row_number().over(group.orderBy(*order)) - 1)
     before = salted.groupBy(length.cast("int").alias("_length"), F.col(salt).alias("_of")).count()
     before = before.select("_length", "_of", (F.sum("count").over(Window.partitionBy("_length").orderBy("_of")) - F.col("count")).alias("_before"))
     placed = ranked.join(before, (length.cast("int") == F.col("_length")) & (F.col(salt) == F.col("_of"))).drop("_length", "_of", salt)
@@ -339,15 +339,16 @@ def pieces(df: DataFrame, ids: Column, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY, name: str = "pieces") -> DataFrame:
-    """All whole texts as pieces with a place: id_col, piece, start, length, ids_crc32, sequence_id, offset.
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY, name: str = "pieces", with_ids: bool = False) -> DataFrame:
+    """All whole texts as pieces with a place: id_col, piece, start, length, ids_crc32, sequence_id, offset; with_ids: and ids, little-endian unsigned 32-bit.
 
-    Null and empty texts are the end id alone. Ids may be null or repeat.
+    Null and empty texts are the end id alone. Ids of documents may be null or
+    repeat, and every row has its own pieces. Other columns are not looked at.
     """
     bounded_batches(df.sparkSession)
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     cut = pieces(rows, token_ids(F.col("_text"), end_id), capacity).drop("_text")
-    cut = cut.select(id_col, "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    cut = cut.select(id_col, "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *(["ids"] if with_ids else []))
     return pack(cut, "length", capacity, name)
 
 
