@@ -34,7 +34,7 @@ HAS_CHECKSUMS = 0x80
 ENTRY = np.dtype([("packed", "<u4"), ("unpacked", "<u4"), ("checksum", "<u4")])
 DOCUMENT = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("frame", "<u4"), ("ids", "<u4")])
 
-FRAME_BYTES = 1 << 20
+FRAME_BYTES, MOST_FRAME = 1 << 20, 1 << 32
 
 
 def _low32(data: bytes) -> int:
@@ -45,7 +45,9 @@ def write_shard(out, documents: Iterable[tuple[int | None, bytes]], frame_bytes:
     """Writes (doc_id, ids) in the given order to a binary stream; returns the numbers of documents and ids.
 
     A frame is closed once it has frame_bytes; a document is never split, so a
-    longer one has a frame of its own. Memory: one frame and the index.
+    longer one has a frame of its own. Sizes in the seek table have 32 bits,
+    so a document of 4 GiB of ids or more raises ValueError. Memory: one frame
+    and the index.
     """
     packer = zstandard.ZstdCompressor(level=level, write_checksum=True)
     entries, index, frame, size, total = [], [], [], 0, 0
@@ -53,6 +55,8 @@ def write_shard(out, documents: Iterable[tuple[int | None, bytes]], frame_bytes:
     def close() -> None:
         nonlocal frame, size
         if frame:
+            if size >= MOST_FRAME:
+                raise ValueError("a document has more ids than a frame can hold")
             data = b"".join(frame)
             packed = packer.compress(data)
             out.write(packed)

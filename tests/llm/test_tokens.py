@@ -179,6 +179,12 @@ def test_edge_documents(spark, tmp_path, whole):
     assert read_token_files(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_a_document_beyond_a_frame_raises(monkeypatch):
+    monkeypatch.setattr("quarryweb.llm.tokfile.MOST_FRAME", 1000)
+    with pytest.raises(ValueError, match="more ids"):
+        write_shard(io.BytesIO(), [(1, b"1234"), (2, b"0" * 1000)])
+
+
 def test_shard_reads_only_wanted_frames_and_finds_damage():
     docs = [(i, np.arange(i * 7 % 50, dtype="<u4").tobytes()) for i in range(200)]
     out = io.BytesIO()
