@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -103,14 +104,48 @@ def fresh(rules: DataFrame, ttl_seconds: int = TTL_SECONDS, now=None) -> DataFra
     return rules.where(F.col("fetched_at") > now - F.make_dt_interval(secs=F.lit(ttl_seconds)))
 
 
-def fetch_rules(pages: DataFrame, client: Client | None = None, known: DataFrame | None = None, url_col: str = "url") -> DataFrame:
-    """host, robots_txt, fetched_at of the hosts of pages that a known table lacks. Failures count as no rules."""
+def fetch_rules(pages: DataFrame, client: Client | None = None, known: DataFrame | None = None, url_col: str = "url", store: Callable[[], RulesStore] | None = None) -> DataFrame:
+    """host, robots_txt, fetched_at of the hosts of pages that a known table lacks. Failures count as no rules.
+
+    store makes, in each task, a key-value store that is asked before the
+    network and told what the network says; its own time to live holds there.
+    """
     hosts = with_host(pages.select(url_col), url_col).where("host is not null").groupBy("host").agg(F.min("robots_url").alias("url"))
     if known is not None:
         hosts = hosts.join(known.select("host"), "host", "left_anti")
     client = client or Client(timeout=TIMEOUT_SECONDS)
-    got = fetch_pages(hosts, client)
-    return got.select("host", F.coalesce("html", F.lit("")).alias("robots_txt"), F.current_timestamp().alias("fetched_at"))
+    if store is not None:
+        hosts = _asked(hosts, store)
+    got = fetch_pages(hosts, client).withColumn("robots_txt", F.coalesce("html", F.lit("")))
+    if store is not None:
+        got = _told(got, store)
+    return got.select("host", "robots_txt", F.current_timestamp().alias("fetched_at"))
+
+
+def _asked(hosts: DataFrame, store: Callable[[], RulesStore]) -> DataFrame:
+    """hosts with html, the store's rules where it has some, and stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = store()
+        for batch in batches:
+            rules = [held.get(h) for h in batch.column("host").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("url"), pa.array(rules, pa.string()), pa.array([r is not None for r in rules], pa.bool_())], ["host", "url", "html", "stored"])
+
+    return hosts.select("host", "url").mapInArrow(run, "host string, url string, html string, stored boolean")
+
+
+def _told(rows: DataFrame, store: Callable[[], RulesStore]) -> DataFrame:
+    """rows as they are, after what was fetched has been put into the store."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = store()
+        for batch in batches:
+            for host, text, stored in zip(*(batch.column(c).to_pylist() for c in ("host", "robots_txt", "stored")), strict=True):
+                if not stored:
+                    held.put(host, text)
+            yield batch.select(["host", "robots_txt"])
+
+    return rows.select("host", "robots_txt", "stored").mapInArrow(run, "host string, robots_txt string")
 
 
 def robots_gate(pages: DataFrame, rules: DataFrame, agent: str = Client().agent, url_col: str = "url") -> DataFrame:

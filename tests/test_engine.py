@@ -6,6 +6,7 @@ import threading
 import time
 import warnings
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -62,6 +63,34 @@ def test_rules_table(spark):
     assert fresh(old, 60, "2024-01-01 00:00:59").count() == 1 and fresh(old, 60, "2024-01-01 00:01:01").count() == 0
 
 
+def test_rules_table_asks_and_tells_a_store(spark, tmp_path):
+    class Files:
+        """A key-value store in a folder, which tasks share as they would a server."""
+
+        def __init__(self, folder):
+            self.folder = Path(folder)
+
+        def get(self, key):
+            at = self.folder / key.replace(":", "_")
+            return at.read_text() if at.exists() else None
+
+        def setex(self, key, ttl, value):
+            (self.folder / key.replace(":", "_")).write_text(value)
+
+    folder = str(tmp_path)
+    Files(folder).setex("robots:a.example", 1, "# stored")
+    pages = spark.createDataFrame([("https://a.example/x",), ("https://b.example/",), ("https://c.example/",)], "url string")
+
+    def answer(url, client):
+        if "c.example" in url:
+            raise ConnectionError("no")
+        return f"# {url}"
+
+    got = {r.host: r.robots_txt for r in fetch_rules(pages, Client(fetcher=answer), store=lambda: RulesStore(Files(folder), 60)).collect()}
+    assert got == {"a.example": "# stored", "b.example": "# https://b.example/robots.txt", "c.example": ""}
+    assert Files(folder).get("robots:b.example") == got["b.example"] and Files(folder).get("robots:a.example") == "# stored"
+
+
 def test_fetch_keeps_errors_and_given_pages(spark):
     def fetcher(url, client):
         if "bad" in url:
