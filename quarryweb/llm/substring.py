@@ -4,30 +4,39 @@ Every run of WINDOW words holds exactly one anchor: its least k-gram hash. So
 equal runs share their anchor and their place around it, and repeats are found
 by joining anchors, never by comparing documents in pairs:
 
-1. The anchors of all documents, each with the widest stretch of words whose
-   runs it anchors. Anchors that occur once are dropped.
+1. Seeds: each task sends its anchors, each with the widest stretch of words
+   whose runs it anchors, once with a count, to slices of the anchors' range.
+   Stretches that occur again are written; filters of fixed size tell which
+   anchors have more than one stretch, and (about) which stretches occur again.
 2. Full extension: an anchor whose whole stretch occurs again is repeated as a
    whole. Groups of copies end here, whatever their size, by counting.
-3. Where an anchor has several different stretches, one occurrence of each is
-   extended run by run: a run of words that occurs in another stretch too is
-   repeated.
-
-Overlapping repeats of a document are joined into maximal ones.
+3. Where an anchor has several different stretches, each is extended from the
+   anchor to both sides, window by window, as far as its words go on as in
+   another: a run of words that occurs at the anchor twice is repeated.
+
+Overlapping repeats of a document are joined into maximal ones. Equal texts
+have equal repeats, so they share one row until the end. No anchor is a hot
+key: counts are combined before the shuffle, and joins are of plain exchanges,
+which can be split.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryweb.llm.common import bounded_batches, table, written
-from quarryweb.llm.jaccard import WordHashes
+from quarryweb.llm.common import bounded_batches, discard, free_name, give_back, table, written
+from quarryweb.llm.slices import ROW, blobs, by_part, dealt, filter_of, may_have, segment, unpack
+from quarryweb.llm.words import hashed_words
 
 WINDOW, GRAM = 35, 8
+#: Bytes of text for each slice of anchors, and anchors that a task gathers before it sends them.
+SLICE_BYTES, GATHERED = 32 << 20, 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Base of the running hash, 3 modulo 4, and its inverse modulo 2**64.
 _BASE = 0xD1342543DE82EF97
@@ -58,106 +67,190 @@ class RunHashes:
         return h ^ (h >> np.uint64(29))
 
 
-def word_ids(words: list[bytes], known: WordHashes) -> np.ndarray:
-    return known.of(words)
+def _least(x: np.ndarray, width: int, most: int = 1 << 20) -> np.ndarray:
+    """The place of the least of each `width` that follow each other, by their high bits; the first of equal ones."""
+    out, low = [], np.uint64(most - 1)
+    for begin in range(0, len(x) - width + 1, most - width):
+        part = x[begin : begin + most - 1]
+        m, span = (part & ~low) | np.arange(len(part), dtype=np.uint64), 1
+        while 2 * span <= width:
+            m, span = np.minimum(m[:-span], m[span:]), 2 * span
+        n = len(part) - width + 1
+        out.append((np.minimum(m[:n], m[width - span : width - span + n]) & low).astype(np.int64) + begin)
+    return np.concatenate(out)
 
 
-def anchors(ids: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the anchor, first run, last run) of each anchor of a text of at least `window` words."""
+def anchors(ids: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first run, last run, place in the first run) of each anchor of a text of at least `window` words."""
     n = len(ids) - gram + 1
     g = np.zeros(n, np.uint64)
     for i in range(gram):
         g = (g ^ ids[i : n + i]) * _MIX
         g ^= g >> np.uint64(29)
-    width = window - gram + 1
-    at = np.lib.stride_tricks.sliding_window_view(g, width).argmin(axis=1) + np.arange(len(ids) - window + 1)
+    at = _least(g, window - gram + 1)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.append(first[1:], len(at)) - 1
     return g[at[first]], first, last, at[first] - first
 
 
-def _key(id_col: str, text_col: str) -> list[Column]:
-    return [F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash")]
+def _stretches(ids: np.ndarray, window: int, gram: int) -> tuple[RunHashes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(the text's run hashes; anchor, stretch, first run, number of runs) of each anchor."""
+    runs = RunHashes(ids)
+    anchor, first, last, left = anchors(ids, window, gram)
+    stretch = runs.of(first, last + window) ^ (left.astype(np.uint64) * _MIX) ^ ((last - first).astype(np.uint64) << np.uint64(32))
+    return runs, anchor, stretch, first, last - first + 1
 
 
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(_id, _hash, runs) of each document with repeats: runs of words [begin, end), each covered by windows that also start elsewhere.
+def _class_key(anchor: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    """What filters know a stretch by; it is in its anchor's slice."""
+    high = np.uint64(0xFFFFFFFF) << np.uint64(32)
+    return (anchor & high) | (((stretch ^ anchor) * _MIX) >> np.uint64(32))
 
-    _hash is xxhash64 of the text. Documents of fewer words than a window have
-    none; equal rows repeat each other and share one row here.
-    """
-    bounded_batches(df.sparkSession)
-    docs = df.select(*_key(id_col, text_col), F.col(text_col).alias("_text"))
 
-    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+def _seeds(texts: DataFrame, slices: int, window: int, gram: int) -> DataFrame:
+    """(anchor, stretch) of stretches that occur again (kind 0), and segments of the filters: 1, of them; 2, of anchors with several stretches."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            yield from blobs(0, *_counted(*(np.concatenate(x) for x in zip(*held, strict=True))), slices)
+            held.clear()
+
         for batch in batches:
-            parts = []
-            for row, text in enumerate(batch.column(2)):
-                words = words_of(text.as_py())
-                if len(words) < window:
-                    continue
-                ids = word_ids(words, known)
-                anchor, first, last, left = anchors(ids, window, gram)
-                stretch = RunHashes(ids).of(first, last + window) ^ (left.astype(np.uint64) * _MIX) ^ ((last - first).astype(np.uint64) << np.uint64(32))
-                parts.append((np.full(len(anchor), row), anchor.view(np.int64), stretch.view(np.int64), first.astype(np.int32), (last - first + 1).astype(np.int32)))
-            if parts:
-                row, *cols = (np.concatenate(x) for x in zip(*parts, strict=True))
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, cols)], ["_id", "_hash", "anchor", "stretch", "first", "n"])
-
-    kind = df.select(id_col).schema[0].dataType.simpleString()
-    occurs = written(docs.mapInArrow(seed, f"_id {kind}, _hash long, anchor long, stretch long, first int, n int"), "substring-seeds")
-    often = occurs.groupBy("anchor").agg(F.count("*").alias("c"), F.min("stretch").alias("x"), F.max("stretch").alias("y")).where("c > 1").select(F.col("anchor").alias("_a"), (F.col("x") != F.col("y")).alias("varied"))
-    often = written(often, "substring-often")  # so that both sides of the join are plain exchanges, which can be split where an anchor is hot
-    shared = written(occurs.join(often, F.col("anchor") == F.col("_a")).drop("_a"), "substring-shared")
-
-    whole = shared.groupBy("anchor", "stretch").agg(F.count("*").alias("c"), F.first("varied").alias("varied"), F.min(F.struct("first", "n", "_hash", F.col("_id").isNull().alias("no"), "_id")).alias("one"))
-    whole = written(whole, "substring-stretches")
-    again = whole.where("c > 1").select(F.col("anchor").alias("_a"), F.col("stretch").alias("_s"))
-    full = shared.join(again, (F.col("anchor") == F.col("_a")) & (F.col("stretch") == F.col("_s")))
-    full = full.select("_id", "_hash", F.col("first").alias("begin"), (F.col("first") + F.col("n") - 1 + window).alias("end"))
-
-    ask = whole.where("varied").select(F.col("one._id").alias("_id2"), F.col("one._hash").alias("_hash2"), F.struct("anchor", F.col("one.first").alias("first"), F.col("one.n").alias("n"), (F.col("c") == 1).alias("alone")).alias("q"))
-    ask = ask.groupBy("_id2", "_hash2").agg(F.collect_list("q").alias("asked"))
-    same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))
-    texts = docs.join(ask, same).select("_id", "_hash", "_text", F.col("asked.anchor").alias("anchor"), F.col("asked.first").alias("first"), F.col("asked.n").alias("n"), F.col("asked.alone").alias("alone"))
+            for _, hashes, cuts in hashed_words(batch.column(0), False):
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    if b - a >= window:
+                        _, anchor, stretch, _, _ = _stretches(hashes[a:b], window, gram)
+                        held.append((anchor, stretch, np.ones(len(anchor), np.int64)))
+                        size += len(anchor)
+            if size > GATHERED:
+                size = 0
+                yield from out()
+        if held:
+            yield from out()
+        give_back()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, size, most = None, [], 0, GATHERED
+
+        def add() -> tuple[np.ndarray, list[np.ndarray]]:
+            return _counted(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+        def close() -> Iterator[pa.RecordBatch]:
+            anchor, (stretch, count) = add()
+            parts.clear()
+            again = count > 1
+            several = np.flatnonzero(anchor[1:] == anchor[:-1])
+            for i in range(0, int(again.sum()), 100_000):
+                a, s = (x[again][i : i + 100_000].view(np.int64) for x in (anchor, stretch))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(a), pa.array(s), pa.nulls(len(a), pa.binary())], names)
+            for kind, keys in ((1, _class_key(anchor[again], stretch[again])), (2, anchor[several])):
+                low, bits = segment(keys, at, slices)
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([low], pa.int64()), pa.nulls(1, pa.int64()), pa.array([bits.tobytes()], pa.binary())], names)
+
+        for part, _, data in by_part(batches):
+            if part != at:
+                if parts:
+                    yield from close()
+                at, size, most = part, 0, GATHERED
+            parts.append(unpack(data, "uui"))
+            size += len(parts[-1][0])
+            if size > most:
+                anchor, rest = add()
+                parts[:] = [[anchor, *rest]]
+                size, most = 0, max(GATHERED, len(anchor))
+        if parts:
+            yield from close()
+        give_back()
+
+    names = ["kind", "anchor", "stretch", "bits"]
+    return dealt(texts.mapInArrow(gather, ROW), slices).mapInArrow(merge, "kind int, anchor long, stretch long, bits binary")
+
+
+def _counted(anchor: np.ndarray, stretch: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Different pairs in the anchors' order, with their counts added up."""
+    order = np.lexsort((stretch, anchor))
+    anchor, stretch = anchor[order], stretch[order]
+    first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (stretch[1:] != stretch[:-1]))) if len(anchor) else np.zeros(0, np.int64)
+    return anchor[first], [stretch[first], np.add.reduceat(count[order], first) if len(first) else count]
+
+
+def repeats(df: DataFrame, text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(text_hash, runs) of each text with repeats: runs of words [begin, end) in order, each of `window` words or more, each covered by windows that also start elsewhere.
+
+    text_hash is xxhash64 of the text. Texts of fewer words than a window have
+    none; equal texts (of equal rows, too) repeat each other and share one row.
+    df is read twice. Stretches and runs are told apart by 64-bit hashes
+    together with their anchors'.
+    """
+    spark = df.sparkSession
+    bounded_batches(spark)
+    texts = df.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(text_col).alias("text"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    seeds = written(_seeds(texts.select("text"), max(1, math.ceil(size / SLICE_BYTES)), window, gram), "substring-seeds")
+    filters = spark.sparkContext.broadcast([filter_of([(r[0], r[1]) for r in seeds.where(F.col("kind") == k).select("anchor", "bits").collect()]) for k in (1, 2)])
+    names = ["kind", "hash", "anchor", "run", "begin", "end"]
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        """Kind 0: whole stretches that occur again, about; 1: the runs of an anchor's stretches. Each text and stretch once for a task."""
+        again, several = filters.value
+        seen, told = set(), set()
         for batch in batches:
-            for row in range(batch.num_rows):
-                text, anchor, first, n, alone = (batch.column(i)[row].as_py() for i in range(2, 7))
-                runs = RunHashes(word_ids(words_of(text), known))
-                n = np.array(n)
-                start = np.concatenate([np.arange(f, f + k) for f, k in zip(first, n.tolist(), strict=True)])
-                take = pa.array(np.full(len(start), row))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.repeat(np.array(anchor, np.int64), n)), pa.array(runs.of(start, start + window).view(np.int64)), pa.array(start.astype(np.int32)), pa.array(np.repeat(np.array(alone), n))],
-                    ["_id", "_hash", "anchor", "run", "begin", "alone"],
-                )
-
-    # Equal rows ask for the same: one of them answers.
-    runs = written(texts.dropDuplicates(["_id", "_hash"]).mapInArrow(extend, f"_id {kind}, _hash long, anchor long, run long, begin int, alone boolean"), "substring-runs")
-    twice = runs.groupBy(F.col("anchor").alias("_a"), F.col("run").alias("_r")).count().where("count > 1")
-    part = runs.where("alone").join(twice, (F.col("anchor") == F.col("_a")) & (F.col("run") == F.col("_r"))).select("_id", "_hash", "begin", (F.col("begin") + window).alias("end"))
-    found = full.unionByName(part).groupBy("_id", "_hash").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("runs"))
-    return found
-
-
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+            keys, out = batch.column(0).to_numpy(), []
+            for row, hashes, cuts in hashed_words(batch.column(1), False):
+                for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), row):
+                    if b - a < window or (key := int(keys[i])) in seen:
+                        continue
+                    seen.add(key)
+                    runs, anchor, stretch, first, n = _stretches(hashes[a:b], window, gram)
+                    full = np.flatnonzero(may_have(again, _class_key(anchor, stretch)))
+                    out.append((np.zeros(len(full), np.int32), np.full(len(full), key), anchor[full], stretch[full], first[full], first[full] + n[full] - 1 + window))
+                    part = np.flatnonzero(may_have(several, anchor))
+                    part = np.array([k for k, c in zip(part.tolist(), stretch[part].tolist(), strict=True) if c not in told and not told.add(c)], np.int64)
+                    if len(part):
+                        of = np.repeat(part, n[part])
+                        start = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+                        out.append((np.ones(len(of), np.int32), np.full(len(of), key), anchor[of], runs.of(start, start + window), start, start + window))
+            if len(seen) > 200_000:
+                seen.clear()
+            if len(told) > 400_000:
+                told.clear()
+            if out:
+                kind, key, anchor, run, begin, end = (np.concatenate(x) for x in zip(*out, strict=True))
+                for i in range(0, len(kind), 100_000):
+                    s = slice(i, i + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(kind[s]), pa.array(key[s]), pa.array(anchor[s].view(np.int64)), pa.array(run[s].view(np.int64)), pa.array(begin[s].astype(np.int32)), pa.array(end[s].astype(np.int32))], names)
+        give_back()
+
+    found = written(texts.mapInArrow(extend, "kind int, hash long, anchor long, run long, begin int, end int"), "substring-extended")
+    whole = found.where("kind = 0").drop("kind").join(seeds.where("kind = 0").select(F.col("anchor").alias("_a"), F.col("stretch").alias("_s")), (F.col("anchor") == F.col("_a")) & (F.col("run") == F.col("_s")))
+    runs = found.where("kind = 1").drop("kind")
+    twice = written(runs.groupBy(F.col("anchor").alias("_a"), F.col("run").alias("_r")).agg(F.count("*").alias("c")).where("c > 1").drop("c"), "substring-twice")
+    part = runs.join(twice, (F.col("anchor") == F.col("_a")) & (F.col("run") == F.col("_r")))
+    spans = whole.select("hash", "begin", "end").unionByName(part.select("hash", "begin", "end"))
+    spans = written(spans.groupBy("hash").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("runs")), "substring-spans")
+    discard(found, seeds, twice)
+    blank = F.array().cast("array<struct<begin:int,end:int>>")
+    last = lambda acc: F.element_at(acc, -1)
+    joined = F.aggregate("runs", blank, lambda acc, r: F.when((F.size(acc) > 0) & (last(acc)["end"] >= r["begin"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["begin"].alias("begin"), F.greatest(last(acc)["end"], r["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(r))))
+    return spans.select(F.col("hash").alias("text_hash"), joined.alias("runs"))
+
+
+def remove_repeats(df: DataFrame, text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """df with n_words, n_removed and kept: the words that no repeated window covers, joined by one space.
 
     Windows are judged on the texts as they are, so all places of a repeat go.
     Null and empty texts and texts without words have 0, 0 and an empty kept;
     rows, ids (null or repeated) and all other columns stay; columns named
     n_words, n_removed or kept are replaced. Runs of words are told apart by
-    the anchor's 64-bit hash together with a 64-bit hash of the run.
+    the anchor's 64-bit hash together with a 64-bit hash of the run. Ids are
+    not looked at.
     """
-    found = repeats(df, id_col, text_col, window, gram).withColumnsRenamed({"_id": "_id2", "_hash": "_hash2", "runs": "_runs"})
+    found = repeats(df, text_col, window, gram).withColumnsRenamed({"text_hash": "_of", "runs": "_runs"})
     df = df.drop("n_words", "n_removed", "kept")
-    same = F.col(id_col).eqNullSafe(F.col("_id2")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_hash2"))
-    both = df.join(found, same, "left")
+    key = free_name(df, "_text_hash")
+    both = df.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(found, F.col(key) == F.col("_of"), "left")
 
     @F.arrow_udf("struct<n_words:long,n_removed:long,kept:string>")
     def keep(texts: pa.Array, runs: pa.Array) -> pa.Array:
