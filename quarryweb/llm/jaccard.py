@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryweb.llm.common import bounded_batches, discard, free_name, give_back, table, written
+from quarryweb.llm.words import hashed_words
 
 WORDS = 5
 #: Shingles are ranked by the number of documents in their bucket of so many; ties by hash. Any such order is exact.
@@ -33,34 +34,15 @@ BUCKETS = 1 << 20
 SHORT = 16
 #: Shingles in buckets of more documents than this, and of EVEN times the mean bucket, are not walked by one task.
 HOT, EVEN = 1000, 16
-#: Nodes of one side of a comparison unit.
-BLOCK = 256
+#: Nodes of one side of a comparison unit, and nodes that are compared with a list's least node in one.
+BLOCK, STAR = 128, 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept while there is room."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word) - (1 << 63)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words)).view(np.uint64)
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Words by ASCII white space, A-Z lower-cased."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def shingle_set(words: list[bytes], known: WordHashes, size: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of all runs of `size` words; of the whole sequence if there are fewer."""
-    if not words:
+def shingle_set(h: np.ndarray, size: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of all runs of `size` word hashes; of the whole sequence if there are fewer."""
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = known.of(words)
     n, k = len(h), min(size, len(h))
     out = np.full(n - k + 1, np.uint64(k))
     for i in range(k):
@@ -70,6 +52,13 @@ def shingle_set(words: list[bytes], known: WordHashes, size: int = WORDS) -> np.
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The shingle set of each text; words by ASCII white space, A-Z lower-cased."""
+    for _, hashes, cuts in hashed_words(texts, True):
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield shingle_set(hashes[a:b])
+
+
 def bucket(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(40)) % np.uint64(BUCKETS)
 
@@ -150,11 +139,10 @@ def _first_pass(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "key", "n", "node", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = WordHashes(), np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             n, nodes, sets = [], [], [np.zeros(0, np.uint64)]
-            for text in batch.column(1):
-                grams = shingle_set(words_of(text.as_py()), known)
+            for grams in shingle_sets(batch.column(1)):
                 n.append(len(grams))
                 nodes.append(node_of(grams) if len(grams) else None)
                 sets.append(grams)
@@ -191,11 +179,10 @@ def _postings(docs: DataFrame, counts, sim: Similarity) -> DataFrame:
     hot = max(HOT, EVEN * float(counts.value.mean()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, recent = WordHashes(), set()
+        recent = set()
         for batch in batches:
             grams, nodes = [], []
-            for text in batch.column(0):
-                g = shingle_set(words_of(text.as_py()), known)
+            for g in shingle_sets(batch.column(0)):
                 if not len(g) or (node := node_of(g)) in recent:
                     continue
                 recent.add(node)
@@ -280,11 +267,10 @@ def _sets(texts: DataFrame, counts) -> DataFrame:
     """(node, grams) of (text): each set once for a task, in rank order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, recent = WordHashes(), set()
+        recent = set()
         for batch in batches:
             nodes, sets = [], []
-            for text in batch.column(0):
-                g = shingle_set(words_of(text.as_py()), known)
+            for g in shingle_sets(batch.column(0)):
                 if len(g) and (node := node_of(g)) not in recent:
                     recent.add(node)
                     nodes.append(node)
@@ -404,8 +390,8 @@ def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
 
 
-def _classes(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """(doc_id, key, n, node, label) of every row: label is a node of its component, null for rows without words."""
+def _classes(df: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n, node, label) of every row: label is a node of its component, null for rows without words; and the verified links (a, b) of nodes."""
     spark: SparkSession = df.sparkSession
     bounded_batches(spark)
     sim = Similarity(percent)
@@ -428,7 +414,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
     sets = written(_sets(docs.join(chosen, F.col("key") == F.col("_key")).select("text"), counts), "jaccard-sets")
 
     # Each first node against its others, a block of them at a time.
-    big = stars.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
+    big = stars.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count("*") / STAR).alias("_blocks"))
     sides = stars.join(big, F.col("a") == F.col("_a")).withColumn("unit", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("_blocks"))))
     heads = sides.select("unit", F.lit(0).alias("side"), F.col("a").alias("node"), F.col("a").alias("comp")).distinct()
     links = written(_compare(heads.unionByName(sides.select("unit", F.lit(1).alias("side"), F.col("b").alias("node"), F.col("b").alias("comp"))), sets, sim), "jaccard-links")
@@ -460,11 +446,12 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
     again = blocks.where("n_r > 0").select("leader", "node", "comp", F.explode(pairs).alias("p"))
     again = again.select(F.xxhash64("leader", "p.r", "p.kind", "p.o").alias("unit"), F.col("p.side").alias("side"), "node", "comp")
     more = _compare(again, sets, sim)
-    labels = components(links.unionByName(written(more, "jaccard-more")), "jaccard-all", spread=False)
+    links = links.unionByName(written(more, "jaccard-more"))
+    labels = components(links, "jaccard-all", spread=False)
     discard(sets, found)
     labels = labels.withColumnRenamed("node", "_node")
     marked = members.join(labels, F.col("node") == F.col("_node"), "left")
-    return marked.select("doc_id", "key", "n", "node", F.coalesce("label", "node").alias("label"))
+    return marked.select("doc_id", "key", "n", "node", F.coalesce("label", "node").alias("label")), links
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -477,13 +464,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets are told apart by 64-bit hashes. Other columns are not looked at. An
     empty table stays empty.
     """
-    marked = written(_classes(df, id_col, text_col, percent), "jaccard-marked")
+    marked = written(_classes(df, id_col, text_col, percent)[0], "jaccard-marked")
     best = marked.where("label is not null").groupBy(F.col("label").alias("_c")).agg(F.min("doc_id").alias("_least"))
     best = written(best, "jaccard-least")  # so that both sides of the join are plain exchanges, which can be split where a component is hot
     named = marked.join(best, F.col("label") == F.col("_c"), "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
 
 
+def representative_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """Verified links between different shingle sets as (least id of the one, least id of the other), least first.
+
+    They join each component as a whole, so with component_id of
+    near_duplicates, which is the membership, no document is lost. Copies are
+    represented by their least id (null if they have none), and of a group of
+    near copies not all pairs are listed, as their number is the square of its
+    size.
+    """
+    marked, links = _classes(df, id_col, text_col, percent)
+    names = written(marked.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id")), "jaccard-names")
+    for side in "ab":
+        links = links.join(names.select(F.col("node").alias(side), F.col("id").alias(f"id_{side}")), side)
+    return links.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+
+
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """df with one row of each group of near duplicates; columns stay as they are.
 
@@ -491,7 +494,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     that of the least hash of its text stays, once if it repeats. Rows without
     words (null and empty texts too) are in no group and all stay.
     """
-    found = written(_classes(df, id_col, text_col, percent).where("label is not null").select("label", "doc_id", "key"), "jaccard-found")
+    found = written(_classes(df, id_col, text_col, percent)[0].where("label is not null").select("label", "doc_id", "key"), "jaccard-found")
     # The least id, then the least key of that id: plain numbers, which combine before the shuffle.
     ids = found.groupBy("label").agg(F.min("doc_id").alias("_id")).withColumnRenamed("label", "_l")
     ids = written(ids, "jaccard-least")

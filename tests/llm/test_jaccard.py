@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryweb.llm import jaccard
-from quarryweb.llm.jaccard import Similarity, components, deduplicate, near_duplicates, op4_ngram_jaccard_join
+from quarryweb.llm.jaccard import Similarity, components, deduplicate, near_duplicates, op4_ngram_jaccard_join, representative_links
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -108,6 +108,29 @@ def test_many_null_ids_and_a_shared_shingle_of_unrelated_documents(spark, monkey
     assert len(rows) == 3000 and all(r.component_id == r.doc_id for r in rows)
 
 
+def test_links_are_true_and_join_every_component(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    links = [tuple(r) for r in representative_links(docs).collect()]
+    assert links and all(100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and a < b for a, b in links)
+    parent = {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    first = {}
+    for d, s in sorted(sets.items()):
+        first.setdefault(frozenset(s) if s else d, d)
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        if a != b:
+            parent[b] = a
+    want = {d: root(first[frozenset(s)]) if s else d for d, s in sets.items()}
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == want
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(500, 500)]
     random.Random(0).shuffle(edges)
