@@ -14,6 +14,7 @@ from quarryweb.html.index import CONTENT_CSS, ORIGINAL_PRICE_CSS, PRICE_CSS, RAT
 from quarryweb.operators.fields import ARTICLE_ALIASES, PRODUCT_ALIASES
 from quarryweb.plans import Request, extract
 from quarryweb.sources import Client, fetch_pages, robots_gate, spread
+from quarryweb.sources.fetch import AGENTS
 from quarryweb.sources.robots import fetch_rules, fresh
 
 
@@ -359,17 +360,23 @@ def _facade_row(key: int, name: str) -> tuple:
     later.configure_client(lambda url, client: f"<title>{client.timeout} {client.chosen_agent()} {sorted(client.headers)} {url[-1]}</title>")
     later.extract_article(["title"])
     fetched = asyncio.run(later.run()).article["title"]
+    other = WebExtractor(f"https://example.com/{key}")
+    other.set_random_user_agent()
+    other.configure_client(lambda url, client: f"<title>{client.chosen_agent()}</title>")
+    other.extract_article(["title"])
+    other.extract_product(["all"])
+    any_agent = other.run().article["title"] in AGENTS
     out = got.to_dict()
     return (
         key, error, len([w for w in seen if w.category is UserWarning]), allowed, stored, kept, got.text, json.dumps(got.content), len(got.links["internal"]), len(got.links["external"]), got.grouped_links == got.links,
-        json.dumps(got.socials), got.videos is None, got.article["title"], repr(got), ",".join(sorted(out)), out == got.result, got.language is None, fetched,
+        json.dumps(got.socials), got.videos is None, got.article["title"], repr(got), ",".join(sorted(out)), out == got.result, got.language is None, fetched, any_agent,
     )
 
 
 def facade(spark, sf_dir):
     """The one-page facade on the page of each region, of which there are five."""
     regions = sorted((r.r_regionkey, r.r_name) for r in _table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect())
-    schema = "r_regionkey int, error string, n_warnings int, allowed boolean, stored string, kept boolean, text string, content string, n_internal int, n_external int, same_links boolean, socials string, no_videos boolean, title string, shown string, keys string, same_result boolean, no_language boolean, fetched string"
+    schema = "r_regionkey int, error string, n_warnings int, allowed boolean, stored string, kept boolean, text string, content string, n_internal int, n_external int, same_links boolean, socials string, no_videos boolean, title string, shown string, keys string, same_result boolean, no_language boolean, fetched string, any_agent boolean"
     return spark.createDataFrame([_facade_row(*r) for r in regions], schema)
 
 
@@ -377,7 +384,7 @@ FACADE_SQL = """
 SELECT r_regionkey, 'No activities configured' AS error, 1 AS n_warnings, r_regionkey % 2 = 0 AS allowed, '' AS stored, false AS kept, r_name || ' text in out' AS text,
   '{"text": "' || r_name || ' text in out", "text_length": ' || length(r_name || ' text in out') || '}' AS content, 1 AS n_internal, CASE WHEN r_regionkey % 2 = 0 THEN 1 ELSE 0 END AS n_external, true AS same_links,
   '{"og_title": "og ' || r_regionkey || '"}' AS socials, true AS no_videos, 'og ' || r_regionkey AS title, 'ExtractionResult(url=''https://example.com/' || r_regionkey || ''')' AS shown,
-  'article,links,socials,text,url' AS keys, true AS same_result, true AS no_language, '0 Agent/9 [''X-Two''] ' || r_regionkey AS fetched FROM region
+  'article,links,socials,text,url' AS keys, true AS same_result, true AS no_language, '0 Agent/9 [''X-Two''] ' || r_regionkey AS fetched, true AS any_agent FROM region
 """
 
 
