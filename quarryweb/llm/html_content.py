@@ -212,6 +212,26 @@ def marginals(score: list[float], parent: list[int], pair: list[list[float]]) ->
     return belief, pairs
 
 
+def forest_marginals(score: np.ndarray, parent: np.ndarray, levels: list[np.ndarray], pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same as marginals over many trees at once: levels are the places of the nodes by depth, roots first."""
+    n, e = len(score), np.exp(pair)
+    up, message, down, pairs = np.zeros((2, n)), np.zeros((2, n)), np.zeros((2, n)), np.zeros((2, 2))
+    up[1] = score
+    scaled = lambda x: np.exp(x - x.max(axis=0))
+    for at in reversed(levels[1:]):
+        x = np.log(e @ scaled(up[:, at]))
+        message[:, at] = x - x.max(axis=0)
+        for label in (0, 1):
+            up[label] += np.bincount(parent[at], message[label, at], n)
+    for at in levels[1:]:
+        q = scaled(up[:, parent[at]] + down[:, parent[at]] - message[:, at])
+        x = np.log(e.T @ q)
+        down[:, at] = x - x.max(axis=0)
+        w = q[:, None, :] * e[:, :, None] * scaled(up[:, at])[None, :, :]
+        pairs += (w / w.sum(axis=(0, 1))).sum(axis=2)
+    return 1 / (1 + np.exp(-np.clip(up[1] + down[1] - up[0] - down[0], -700, 700))), pairs
+
+
 class Model:
     def __init__(self, weights: np.ndarray, pair: np.ndarray):
         self.weights, self.pair = weights, pair.tolist()
@@ -335,24 +355,25 @@ def labelled_pages(n: int, seed: int) -> list[str]:
 
 def train(pages: list[str], rounds: int = ROUNDS, decay: float = 1e-4) -> Model:
     """Weights that make the labels likely: gradient steps with running scales on the exact likelihood."""
-    trees = []
+    stacked, labels, parents, depths, seen = [], [], [], [], np.zeros((2, 2))
     for html in pages:
         nodes, runs = blocks(parse(html))
-        x, y, parent = features(nodes, runs), [float(MARK in b.element.attrs) for b in nodes], [b.parent for b in nodes]
-        seen = np.zeros((2, 2))
+        at, own = sum(map(len, labels)), [MARK in b.element.attrs for b in nodes]
+        depth = [0] * len(nodes)
         for i in range(1, len(nodes)):
-            seen[int(y[parent[i]]), int(y[i])] += 1
-        trees.append((x, np.array(y), parent, seen))
-    x = np.vstack([t[0] for t in trees])
+            depth[i] = depth[nodes[i].parent] + 1
+            seen[int(own[nodes[i].parent]), int(own[i])] += 1
+        stacked.append(features(nodes, runs))
+        labels.append(np.array(own, float))
+        parents.append(np.array([max(0, b.parent) for b in nodes]) + at)
+        depths.append(np.array(depth))
+    x, y, parent, depth = np.vstack(stacked), np.concatenate(labels), np.concatenate(parents), np.concatenate(depths)
+    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
     w, pair = np.zeros(N_FEATURES), np.zeros((2, 2))
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(pair), np.zeros_like(pair)]
     for k in range(1, rounds + 1):
-        scores, at, residual, g_pair = (x @ w).tolist(), 0, np.empty(len(x)), np.zeros((2, 2))
-        for own, y, parent, seen in trees:
-            belief, pairs = marginals(scores[at : at + len(own)], parent, pair.tolist())
-            residual[at : at + len(own)] = y - np.array(belief)
-            g_pair += seen - pairs
-            at += len(own)
+        belief, pairs = forest_marginals(x @ w, parent, levels, pair)
+        residual, g_pair = y - belief, seen - pairs
         for i, (g, v) in enumerate(((residual @ x / len(x) - decay * w, w), (g_pair / len(x) - decay * pair, pair))):
             m, s = moments[2 * i], moments[2 * i + 1]
             m += 0.1 * (g - m)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryweb.html import parse
-from quarryweb.llm.html_content import MARK, blocks, extract_main_text, features, labelled_pages, marginals, op7_html_extraction, trained
+from quarryweb.llm.html_content import MARK, blocks, extract_main_text, features, forest_marginals, labelled_pages, marginals, op7_html_extraction, trained
 
 
 def test_messages_equal_enumeration():
@@ -29,6 +29,25 @@ def test_messages_equal_enumeration():
         assert np.allclose(pairs, want)
 
 
+def test_many_trees_at_once_equal_one_by_one():
+    rnd, rng = random.Random(2), np.random.default_rng(2)
+    pair = rng.normal(size=(2, 2))
+    scores, parents, depths, beliefs, total = [], [], [], [], np.zeros((2, 2))
+    for _ in range(30):
+        n = rnd.randint(1, 40)
+        parent = [-1] + [rnd.randrange(i) for i in range(1, n)]
+        score = (rng.normal(size=n) * 3).tolist()
+        belief, pairs = marginals(score, parent, pair.tolist())
+        depth = [0] * n
+        for i in range(1, n):
+            depth[i] = depth[parent[i]] + 1
+        parents += [max(p, 0) + len(scores) for p in parent]
+        scores, depths, beliefs, total = scores + score, depths + depth, beliefs + belief, total + pairs
+    levels = [np.flatnonzero(np.array(depths) == d) for d in range(max(depths) + 1)]
+    belief, pairs = forest_marginals(np.array(scores), np.array(parents), levels, pair)
+    assert np.allclose(belief, beliefs) and np.allclose(pairs, total)
+
+
 def test_held_out_pages():
     model, right, n = trained(), 0, 0
     for page in labelled_pages(100, seed=77):
