@@ -100,7 +100,9 @@ def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes
             yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
 
 
-def dealt(rows: DataFrame, slices: int) -> DataFrame:
-    """Rows of blobs by slice, then kind; each slice is whole in one task, and slices are dealt out evenly."""
+def dealt(rows: DataFrame, slices: int, by_kind: bool = False) -> DataFrame:
+    """Rows of blobs by slice, and by kind if asked; each slice is whole in one task, and slices are dealt out evenly."""
     n = min(slices, TASKS)
-    return rows.repartitionById(n, (F.col("part") % n).cast("int")).sortWithinPartitions("part", "kind")
+    out = rows.repartitionById(n, (F.col("part") % n).cast("int"))
+    # A task of one slice has nothing to sort.
+    return out.sortWithinPartitions("part", "kind") if by_kind else out.sortWithinPartitions("part") if n < slices else out
