@@ -38,43 +38,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryweb.llm.common import bounded_batches, discard, free_name, give_back, id_fold, table, written
+from quarryweb.llm.slices import ENTRIES, ROW, blobs, by_part, dealt, filter_of, grouped, may_have, pack, row, segment, slice_of, unpack
+from quarryweb.llm.words import PIECE, hashed_words, word_hash
 
 #: The most words of a context.
 DEPTH = 4
 #: Contexts' listed next words have at least this count.
-LEAST = 4
+LEAST = 3
 DISCOUNT = 0.5
 #: Runs with this share of the corpus are sent to every task; it does not bound the tree.
 SHARE = 5e-7
 #: Bytes of text for each slice of run hashes in counting; slices of values are for more, as they hold fewer runs.
-SLICE_BYTES, VALUE_SLICES = 8 << 20, 3
-#: Runs that a task gathers before it sends them, and entries of one blob.
-GATHERED, ENTRIES = 1_500_000, 1 << 13
-#: Bits of the filters, in blocks of which each run's two bits share one.
-FILTER_BITS, BLOCKS = 1 << 27, 1 << 16
-
-_BASE = 0xD1342543DE82EF97
+SLICE_BYTES, VALUE_SLICES = 5 << 20, 8
+#: Runs that a task gathers before it sends them.
+GATHERED = 1_000_000
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 _UNMIX = pow(_MIX[1], -1, 1 << 64)
-#: Each byte's value in a word's hash: A-Z as a-z. White space parts words.
-_VALUE = np.arange(1, 257, dtype=np.uint64)
-_VALUE[65:91] += np.uint64(32)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-
-
-class _Powers:
-    """Powers of the base of word hashes, and of its inverse, grown as wanted."""
-
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
-
-    @classmethod
-    def reach(cls, n: int) -> None:
-        if len(cls.up) <= n:
-            size = max(n + 1, 1 << 16)
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                setattr(cls, name, np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, np.uint64(base)))]))
+#: Stand before the first word of each text, in contexts only, and after its last. No word holds a line feed.
+START, END = word_hash(b"\n\n"), word_hash(b"\n")
 
 
 def longer(key: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -91,63 +72,16 @@ def last_word(key: np.ndarray, context: np.ndarray) -> np.ndarray:
     return x - context * np.uint64(_MIX[0])
 
 
-def _word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words [begin, end) of one piece of bytes."""
-    _Powers.reach(len(data))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * _Powers.up[: len(data)])])
-    x = (sums[end] - sums[begin]) * _Powers.down[begin] + (end - begin).astype(np.uint64)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(_MIX[0])
-    return x ^ (x >> np.uint64(29))
-
-
-def word_hash(word: bytes) -> np.uint64:
-    return _word_hashes(np.frombuffer(word, np.uint8), np.zeros(1, np.int64), np.full(1, len(word)))[0]
-
-
-#: Stand before the first word of each text, in contexts only, and after its last. No word holds a line feed.
-START, END = word_hash(b"\n\n"), word_hash(b"\n")
-
-
-def words_in(texts: pa.Array, piece: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, number of texts, hashes, starts) of groups of texts of about `piece` bytes; a longer text is a group.
-
-    hashes: START, the words and END of each text; starts: the places of START. Null texts are empty.
-    """
-    texts = texts.cast(pa.large_binary()).fill_null(b"")
-    if not len(texts):
-        return
-    _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + piece, side="right")) - 1)
-        to = min(to, len(texts))
-        group, cuts = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        blank = _SPACE[group]
-        first, last = ~blank, ~blank
-        first[1:] &= blank[:-1]
-        last[:-1] &= blank[1:]
-        inner = cuts[1:-1]
-        inner = inner[(inner > 0) & (inner < len(group))]
-        first[inner], last[inner - 1] = ~blank[inner], ~blank[inner - 1]
-        begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        words = np.zeros(len(begin), np.uint64)
-        done = 0
-        while done < len(begin):  # a long text's bytes, a piece at a time
-            upto = max(done + 1, int(np.searchsorted(end, begin[done] + 2 * piece, side="right")))
-            low = begin[done]
-            words[done:upto] = _word_hashes(group[low : end[upto - 1]], begin[done:upto] - low, end[done:upto] - low)
-            done = upto
-        n = to - at
-        of = np.searchsorted(cuts[1:], begin, side="right")
-        each = np.bincount(of, minlength=n)
+def words_in(texts: pa.Array, piece: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, number of texts, hashes, starts) of groups of texts; hashes: START, the words and END of each text; starts: the places of START."""
+    for first, words, cuts in hashed_words(texts, True, piece):
+        n = len(cuts) - 1
+        each = np.diff(cuts)
         starts = np.concatenate([[0], np.cumsum(each + 2)])
         hashes = np.full(len(words) + 2 * n, END)
         hashes[starts[:-1]] = START
-        hashes[np.arange(len(words)) + 2 * of + 1] = words
-        yield at, n, hashes, starts[:-1]
-        at = to
+        hashes[np.arange(len(words)) + 2 * np.repeat(np.arange(n), each) + 1] = words
+        yield first, n, hashes, starts[:-1]
 
 
 def _places(size: int, starts: np.ndarray) -> np.ndarray:
@@ -158,85 +92,6 @@ def _before(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, x.dtype), x[:-1]])
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns of 64 bits as planes of bytes: sorted and small numbers then compress."""
-    return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
-
-
-def unpack(data: bytes, kinds: str) -> list[np.ndarray]:
-    n = len(data) // (8 * len(kinds))
-    whole = np.frombuffer(data, np.uint8).reshape(len(kinds), 8, n)
-    return [np.ascontiguousarray(whole[i].T).reshape(-1).view({"u": np.uint64, "i": np.int64, "f": np.float64}[k]) for i, k in enumerate(kinds)]
-
-
-_ROW = "part long, kind int, data binary"
-
-
-def _row(part: int, kind: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], ["part", "kind", "data"])
-
-
-def _slices(key: np.ndarray, slices: int) -> np.ndarray:
-    return ((key >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
-
-
-def _blobs(kind: int, key: np.ndarray, columns: list[np.ndarray], slices: int) -> Iterator[pa.RecordBatch]:
-    """Rows of sorted keys with their columns, for each slice, in blobs of at most ENTRIES."""
-    of = _slices(key, slices)
-    cut = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]]) if len(of) else [0]
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        for i in range(a, b, ENTRIES):
-            at = slice(i, min(b, i + ENTRIES))
-            yield _row(int(of[a]), kind, pack(key[at], *[c[at] for c in columns]))
-
-
-def _grouped(key: np.ndarray, count: np.ndarray | None, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Sorted different keys, their counts (or the sums of `count`), and others of one of each."""
-    order = np.argsort(key)
-    key = key[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    sums = np.diff(np.append(first, len(key))) if count is None else np.add.reduceat(count[order], first) if len(first) else count
-    return key[first], sums, [x[order[first]] for x in others]
-
-
-def _segment(keys: np.ndarray, part: int, slices: int) -> tuple[int, np.ndarray]:
-    """(first word, words) of the filter's blocks that keys of this slice fall in."""
-    low, high = ((((p << 32) + slices - 1) // slices) * BLOCKS >> 32 for p in (part, part + 1))
-    high = min(high, BLOCKS - 1)
-    each = FILTER_BITS // BLOCKS
-    bits = np.zeros((high - low + 1) * each, bool)
-    for at in _bits(keys):
-        bits[at - low * each] = True
-    return low * each // 64, np.packbits(bits, bitorder="little").view(np.uint64)
-
-
-def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    each = FILTER_BITS // BLOCKS
-    one = (keys >> np.uint64(65 - FILTER_BITS.bit_length())).astype(np.int64)
-    block = (keys >> np.uint64(65 - BLOCKS.bit_length())).astype(np.int64)
-    return one, block * each + (keys & np.uint64(each - 1)).astype(np.int64)
-
-
-def _may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    one, two = _bits(keys)
-    return ((bits[one >> 6] >> (one & 63).astype(np.uint64)) & (bits[two >> 6] >> (two & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-
-
-def _filter(segments: list) -> np.ndarray:
-    """The filter from its segments (first word, bytes)."""
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    for at, data in segments:
-        words = np.frombuffer(data, np.uint64)
-        out[at : at + len(words)] |= words
-    return out
-
-
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-
-
 def _counted(texts: DataFrame, depths: range, slices: int, known) -> DataFrame:
     """(depth, context, suffix, word, key, count) of runs of depth + 1 words: all of depth 0 and those of others with LEAST and more.
 
@@ -254,8 +109,8 @@ def _counted(texts: DataFrame, depths: range, slices: int, known) -> DataFrame:
                 if parts:
                     key, *rest = map(np.concatenate, zip(*parts, strict=True))
                     parts.clear()
-                    key, count, rest = _grouped(key, None, rest)
-                    yield from _blobs(depth, key, [count, *rest], slices)
+                    key, count, rest = grouped(key, None, rest)
+                    yield from blobs(depth, key, [count, *rest], slices)
 
         for batch in batches:
             for _, _, h, starts in words_in(batch.column(0)):
@@ -269,7 +124,7 @@ def _counted(texts: DataFrame, depths: range, slices: int, known) -> DataFrame:
                     if known is not None:
                         # A run is frequent only if all runs of depths[0] words in it are.
                         if depth == depths[0] - 1:
-                            may = here & _may_have(known.value, key)
+                            may = here & may_have(known.value, key)
                             alive = may
                         elif depth in depths:
                             alive = may & np.append(False, alive[:-1])
@@ -286,49 +141,47 @@ def _counted(texts: DataFrame, depths: range, slices: int, known) -> DataFrame:
         give_back()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, size, most = None, [], 0, GATHERED
+        held: dict[int, list] = {}  # by depth: what is not added up, its size, and how large that may be
+        at = None
 
-        def add() -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-            key, count, *rest = map(np.concatenate, zip(*parts, strict=True))
-            return _grouped(key, count, rest)
+        def add(depth: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+            key, count, *rest = map(np.concatenate, zip(*held[depth][0], strict=True))
+            return grouped(key, count, rest)
 
         def close() -> Iterator[pa.RecordBatch]:
-            part, depth = at
-            key, count, rest = add()
-            parts.clear()
-            if depth:
-                often = count >= LEAST
-                key, count, rest = key[often], count[often], [x[often] for x in rest]
-            none = np.zeros(len(key), np.uint64)
-            context, suffix = [*rest, none, none][:2]
-            word = last_word(key, context)
-            for i in range(0, len(key), 100_000):
-                s = slice(i, i + 100_000)
-                n = len(key[s])
-                signed = [pa.array(x[s].view(np.int64)) for x in (context, suffix, word, key)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, depth, np.int32)), *signed, pa.array(count[s]), pa.nulls(n, pa.binary())], names)
-            if depth == depths[-1] and depth:
-                low, bits = _segment(key, part, slices)
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([low], pa.int64()), *[pa.nulls(1, pa.int64())] * 4, pa.array([bits.tobytes()], pa.binary())], names)
-
-        for part, depth, data in _by_part(batches):
-            if (part, depth) != at:
-                if parts:
-                    yield from close()
-                at, size, most = (part, depth), 0, GATHERED
-            parts.append(unpack(data, "ui" + "u" * min(2, depth)))
-            size += len(parts[-1][0])
-            if size > most:
-                key, count, rest = add()
-                parts[:] = [[key, count, *rest]]
-                size, most = 0, max(GATHERED, len(key))
-        if parts:
-            yield from close()
+            for depth in sorted(held):
+                key, count, rest = add(depth)
+                del held[depth]
+                if depth:
+                    often = count >= LEAST
+                    key, count, rest = key[often], count[often], [x[often] for x in rest]
+                none = np.zeros(len(key), np.uint64)
+                context, suffix = [*rest, none, none][:2]
+                word = last_word(key, context)
+                for i in range(0, len(key), 100_000):
+                    s = slice(i, i + 100_000)
+                    n = len(key[s])
+                    signed = [pa.array(x[s].view(np.int64)) for x in (context, suffix, word, key)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, depth, np.int32)), *signed, pa.array(count[s]), pa.nulls(n, pa.binary())], names)
+                if depth == depths[-1] and depth:
+                    low, bits = segment(key, at, slices)
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([low], pa.int64()), *[pa.nulls(1, pa.int64())] * 4, pa.array([bits.tobytes()], pa.binary())], names)
+
+        for part, depth, data in by_part(batches):
+            if part != at:
+                yield from close()
+                at = part
+            of = held.setdefault(depth, [[], 0, GATHERED])
+            of[0].append(unpack(data, "ui" + "u" * min(2, depth)))
+            of[1] += len(of[0][-1][0])
+            if of[1] > of[2]:
+                key, count, rest = add(depth)
+                of[:] = [[[key, count, *rest]], 0, max(GATHERED, len(key))]
+        yield from close()
         give_back()
 
     names = ["depth", "context", "suffix", "word", "key", "count", "bits"]
-    spread = texts.mapInArrow(runs, _ROW).repartition("part").sortWithinPartitions("part", "kind")
-    return spread.mapInArrow(merge, "depth int, context long, suffix long, word long, key long, count long, bits binary")
+    return dealt(texts.mapInArrow(runs, ROW), slices).mapInArrow(merge, "depth int, context long, suffix long, word long, key long, count long, bits binary")
 
 
 def _root(counts: np.ndarray, total: int, distinct: int) -> np.ndarray:
@@ -403,7 +256,7 @@ def _values(entries: DataFrame, slices: int, often: float) -> DataFrame:
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
             order = np.argsort(columns[0])
-            yield from _blobs(0, columns[0][order], [x[order] for x in columns[1:]], slices)
+            yield from blobs(0, columns[0][order], [x[order] for x in columns[1:]], slices)
 
         for batch in batches:
             if batch.num_rows:
@@ -428,15 +281,15 @@ def _values(entries: DataFrame, slices: int, often: float) -> DataFrame:
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             key, value, count, word = key[first], np.add.reduceat(value, first), np.maximum.reduceat(count, first), np.maximum.reduceat(word, first)
             sent = count >= often
-            yield _row(at, 1, pack(key[sent], value[sent], word[sent]))
+            yield row(at, 1, pack(key[sent], value[sent], word[sent]))
             key, value, word = key[~sent], value[~sent], word[~sent]
             for i in range(0, len(key), ENTRIES):
                 s = slice(i, i + ENTRIES)
-                yield _row(at, 0, pack(key[s], value[s], word[s]))
-            low, bits = _segment(key, at, slices)
-            yield _row(low, 2, bits.tobytes())
+                yield row(at, 0, pack(key[s], value[s], word[s]))
+            low, bits = segment(key, at, slices)
+            yield row(low, 2, bits.tobytes())
 
-        for part, _, data in _by_part(batches):
+        for part, _, data in by_part(batches):
             if part != at and parts:
                 yield from close()
             at = part
@@ -445,7 +298,7 @@ def _values(entries: DataFrame, slices: int, often: float) -> DataFrame:
             yield from close()
         give_back()
 
-    return written(entries.mapInArrow(cut, _ROW).repartition("part").sortWithinPartitions("part").mapInArrow(merge, _ROW), "suffix-values")
+    return written(dealt(entries.mapInArrow(cut, ROW), slices).mapInArrow(merge, ROW), "suffix-values")
 
 
 def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> Tree:
@@ -460,8 +313,10 @@ def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> Tree:
     for depths in steps:
         table_ = written(_counted(texts, depths, slices, known), "suffix-counts")
         counts = table_ if counts is None else counts.unionByName(table_)
+        if known is not None:
+            known.destroy()
         if depths is not steps[-1]:
-            known = spark.sparkContext.broadcast(_filter([(r[0], r[1]) for r in table_.where("depth < 0").select("context", "bits").collect()]))
+            known = spark.sparkContext.broadcast(filter_of([(r[0], r[1]) for r in table_.where("depth < 0").select("context", "bits").collect()]))
     counts = counts.where("depth >= 0")
     words = counts.where("depth = 0")
     end = int(END.view(np.int64))
@@ -479,7 +334,7 @@ def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> Tree:
     parts = [unpack(bytes(r[0]), "ufi") for r in values.where("kind = 1").select("data").collect()]
     key, value, word = map(np.concatenate, zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64))
     order = np.argsort(key)
-    bits = _filter([(r[0], r[1]) for r in values.where("kind = 2").select("part", "data").collect()])
+    bits = filter_of([(r[0], r[1]) for r in values.where("kind = 2").select("part", "data").collect()])
     return Tree(int(total), int(distinct), (key[order], value[order], word[order]), bits, by_value, values.where("kind = 0"), tuple(shape.get(d, 0) for d in range(1, depth + 1)))
 
 
@@ -501,13 +356,13 @@ def _looked(texts: DataFrame, shared, depth: int) -> DataFrame:
             held = []
             order = np.argsort(key)
             key, of = key[order], of[order]
-            part = _slices(key, tree.slices)
+            part = slice_of(key, tree.slices)
             cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else [0]
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 for i in range(a, b, ENTRIES):
                     s = slice(i, min(b, i + ENTRIES))
                     told, at = np.unique(of[s], return_inverse=True)
-                    yield _row(int(part[a]), 1, b"".join([len(told).to_bytes(8, "little"), pack(names[told]), pack(key[s]), pack(at.astype(np.int64))]))
+                    yield row(int(part[a]), 1, b"".join([len(told).to_bytes(8, "little"), pack(names[told]), pack(key[s]), pack(at.astype(np.int64))]))
 
         for batch in batches:
             hashes = batch.column(0).to_numpy().view(np.uint64)
@@ -526,7 +381,7 @@ def _looked(texts: DataFrame, shared, depth: int) -> DataFrame:
                     extra += np.bincount(doc[hit], values[at[hit]], n)
                     ask = ~hit
                     if d:
-                        ask &= _may_have(tree.filter, key)
+                        ask &= may_have(tree.filter, key)
                         # A run is in the tree only if the run without its first word is.
                         alive = np.zeros(len(h), bool)
                         alive[here[order[hit | ask]]] = True
@@ -538,7 +393,7 @@ def _looked(texts: DataFrame, shared, depth: int) -> DataFrame:
                 held.append((np.concatenate([w[0] for w in wanted]), np.concatenate([w[1] for w in wanted]), names))
                 sent += len(held[-1][0])
                 words = np.diff(np.append(starts, len(h))) - 1
-                yield _row(turn % tree.slices, 2, pack(names, words, known, base, extra))
+                yield row(turn % tree.slices, 2, pack(names, words, known, base, extra))
                 turn += 1
             if sent > GATHERED // 3:
                 sent = 0
@@ -547,10 +402,10 @@ def _looked(texts: DataFrame, shared, depth: int) -> DataFrame:
             yield from out()
         give_back()
 
-    return texts.mapInArrow(run, _ROW)
+    return texts.mapInArrow(run, ROW)
 
 
-def _answered(rows: DataFrame, total: int, distinct: int) -> DataFrame:
+def _answered(rows: DataFrame, total: int, distinct: int, slices: int) -> DataFrame:
     """(hash, copies, n, known, base, extra): parts of the sums of the texts of a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -559,7 +414,7 @@ def _answered(rows: DataFrame, total: int, distinct: int) -> DataFrame:
         def batch_of(name, copies, n, known, base, extra) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), *[pa.array(x, pa.int64()) for x in (copies, n, known)], pa.array(base, pa.float64()), pa.array(extra, pa.float64())], names)
 
-        for part, kind, data in _by_part(batches):
+        for part, kind, data in by_part(batches):
             if part != at:
                 at, held, values = part, [], None
             if kind == 0:
@@ -589,7 +444,7 @@ def _answered(rows: DataFrame, total: int, distinct: int) -> DataFrame:
         give_back()
 
     names = ["hash", "copies", "n", "known", "base", "extra"]
-    return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, "hash long, copies long, n long, known long, base double, extra double")
+    return dealt(rows, slices, by_kind=True).mapInArrow(run, "hash long, copies long, n long, known long, base double, extra double")
 
 
 def score_texts(df: DataFrame, tree: Tree, text_col: str = "text") -> DataFrame:
@@ -606,7 +461,7 @@ def score_texts(df: DataFrame, tree: Tree, text_col: str = "text") -> DataFrame:
     df = df.drop("n_tokens", "n_known", "base_score", "score")
     text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     looked = _looked(df.select(text.alias("hash"), F.col(text_col).alias("text")), shared, len(tree.contexts))
-    sums = _answered(looked.unionAll(tree.values), tree.total, tree.distinct).groupBy("hash").agg(*[F.sum(c).alias(c) for c in ("copies", "n", "known", "base", "extra")])
+    sums = _answered(looked.unionAll(tree.values), tree.total, tree.distinct, tree.slices).groupBy("hash").agg(*[F.sum(c).alias(c) for c in ("copies", "n", "known", "base", "extra")])
     of = free_name(df, "_text_hash")
     unknown = float(tree.root(np.zeros(1))[0])
     log10 = F.lit(math.log(10)) * F.col("copies")

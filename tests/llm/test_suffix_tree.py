@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryweb.llm import suffix_tree
-from quarryweb.llm.suffix_tree import END, START, last_word, longer, op3_lm_scoring, score_texts, train, word_hash, words_in
+from quarryweb.llm.suffix_tree import END, START, last_word, longer, op3_lm_scoring, score_texts, train, words_in
+from quarryweb.llm.words import word_hash
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SF = "/root/testdata/sf0.01"
