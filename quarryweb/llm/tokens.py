@@ -41,7 +41,7 @@ class WordEncoder:
     memory: once half as many are new, those that were not used since go.
     """
 
-    def __init__(self, path: str, kept: int = 450_000):
+    def __init__(self, path: str, kept: int = 900_000):
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
