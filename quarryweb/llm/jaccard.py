@@ -1,17 +1,21 @@
-"""N-gram Jaccard join: rare-first prefix filter, then length, positional and suffix filters, then one exact check of a pair.
+"""N-gram Jaccard join: rare-first prefix filter, then length, count, parity, positional and suffix filters, then one exact check of a pair.
 
 Documents with the same shingle set are one node. The rarest shingles of a
 node (its prefix) are joined on their hashes; two sets that are similar enough
 must share one. A shingle's list is not expanded into pairs: its least node is
-compared with the others (a star), and only nodes that are then still in
-different components are compared with each other, in blocks. So a group of m
-near copies costs about m comparisons, and no link that joins two components
-is lost.
+paired with the others (a star), and only nodes that are then still in
+different components meet each other, in blocks. So a group of m near copies
+costs about m comparisons, and no link that joins two components is lost.
 
 Lists are walked, each by one task, but for hot ones. The least node of a hot
 list is found by an aggregate that combines before its shuffle, and the
-list joins it, so no task has to take it whole. Sets that are compared are
-written once, in rank order.
+list joins it, so no task has to take it whole.
+
+What is moved stays in proportion to the input however many near copies there
+are: a list gives about a row for each of its nodes, pairs are told apart by
+small sketches before any text moves, a text moves for one pair of its node
+first and for others only if that left them apart, and texts move compressed;
+their sets are made again where they meet.
 """
 
 from __future__ import annotations
@@ -30,8 +34,10 @@ from quarryweb.llm.words import hashed_words
 WORDS = 5
 #: Shingles are ranked by the number of documents in their bucket of so many; ties by hash. Any such order is exact.
 BUCKETS = 1 << 20
-#: The longest list of a shingle that is expanded into pairs.
-SHORT = 16
+#: The longest list of a shingle that is expanded into pairs: 1.5 rows for each of its nodes.
+SHORT = 4
+#: The most bits of a sketch.
+SKETCH = 1 << 16
 #: Shingles in buckets of more documents than this, and of EVEN times the mean bucket, are not walked by one task.
 HOT, EVEN = 1000, 16
 #: Nodes of one side of a comparison unit, and nodes that are compared with a list's least node in one.
@@ -67,6 +73,26 @@ def node_of(grams: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63)
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """The parities of the numbers of shingles in n to 2n cells; sets differ in at least as many shingles as their parities do."""
+    cells = min(SKETCH, 1 << max(6, (len(grams) - 1).bit_length()))
+    odd = np.bincount((grams & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differ(a: bytes, b: bytes) -> int:
+    """The number of shingles that two sets, told by their sketches, differ in at least."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    m, n = 8 * len(a), 8 * len(b)
+    while m > n:  # the cells of half as many are two of these
+        m //= 2
+        x = (x >> m) ^ (x & ((1 << m) - 1))
+    while n > m:
+        n //= 2
+        y = (y >> n) ^ (y & ((1 << n) - 1))
+    return (x ^ y).bit_count()
+
+
 def ranked(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """grams, rarest first."""
     rank = np.minimum(counts[bucket(grams)], 0xFFFF).astype(np.uint64)
@@ -89,6 +115,10 @@ class Similarity:
     def lengths(self, a: int, b: int) -> bool:
         return 100 * min(a, b) >= self.percent * max(a, b)
 
+    def may_link(self, a: int, x: bytes, b: int, y: bytes) -> bool:
+        """Whether sets of a and b members with sketches x and y can be linked."""
+        return self.lengths(a, b) and differ(x, y) <= a + b - 2 * self.overlap(a, b)
+
 
 class Node:
     """A set in rank order, with what the filters look at."""
@@ -135,26 +165,27 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _first_pass(docs: DataFrame) -> DataFrame:
-    """Of (doc_id, text, key), two kinds of rows: (doc_id, key, n, node) of documents; (block, counts) of shingles by bucket, from each task."""
-    names = ["doc_id", "key", "n", "node", "block", "counts"]
+    """Of (doc_id, text, key), two kinds of rows: (doc_id, key, n, node, sketch) of documents; (block, counts) of shingles by bucket, from each task."""
+    names = ["doc_id", "key", "n", "node", "sketch", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            n, nodes, sets = [], [], [np.zeros(0, np.uint64)]
+            n, nodes, sketches, sets = [], [], [], [np.zeros(0, np.uint64)]
             for grams in shingle_sets(batch.column(1)):
                 n.append(len(grams))
                 nodes.append(node_of(grams) if len(grams) else None)
+                sketches.append(sketch(grams) if len(grams) else None)
                 sets.append(grams)
             counts += np.bincount(bucket(np.concatenate(sets)), minlength=BUCKETS)
             size = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names)
         parts = counts.reshape(16, -1)
         kept = [k for k in range(16) if parts[k].any()]
         size = len(kept)
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(size, pa.int64())] * 4, pa.array(kept, pa.int32()), pa.array([parts[k].astype("<i4").tobytes() for k in kept], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(size, pa.int64())] * 4, pa.nulls(size, pa.binary()), pa.array(kept, pa.int32()), pa.array([parts[k].astype("<i4").tobytes() for k in kept], pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, key long, n long, node long, block int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, key long, n long, node long, sketch binary, block int, counts binary")
 
 
 def _sum_counts(blocks: DataFrame) -> np.ndarray:
@@ -199,35 +230,37 @@ def _postings(docs: DataFrame, counts, sim: Similarity) -> DataFrame:
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """Shingles with two nodes or more, by one sorted walk that holds at most SHORT rows of a list; postings are of lists of bounded length.
+    """(a, b, long), a < b, of shingles with two nodes or more, by one sorted walk that holds at most SHORT rows of a list; postings are of lists of bounded length.
 
-    A short list gives all its pairs (gram null, a, b); a long one gives
-    (gram, its first node, node) for each of its other nodes.
+    A short list gives all its pairs; a long one pairs its first node with each other one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_g, held_v = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        long: tuple[int, int] | None = None  # a list that goes on: its shingle and first node
+        long: tuple[int, int, int] | None = None  # a list that goes on: its shingle, first and last node
 
         def flush(g: np.ndarray, v: np.ndarray, ends: bool):
             """Whole lists of (g, v); what may go on is kept back."""
             nonlocal held_g, held_v, long
             out: list[tuple] = []
+            if len(g):
+                keep = np.concatenate([[True], (g[1:] != g[:-1]) | (v[1:] != v[:-1])])
+                g, v = g[keep], v[keep]
             if long is not None and len(g):
                 same = int(np.searchsorted(g, long[0], side="right"))
-                out.append((np.full(same, long[0]), np.full(same, long[1]), v[:same], True))
+                on = v[:same][v[:same] != long[2]]
+                out.append((np.full(len(on), long[1]), on, True))
+                long = (long[0], long[1], int(v[same - 1])) if same else long
                 g, v = g[same:], v[same:]
                 long = long if not len(g) else None
             if len(g):
-                keep = np.concatenate([[True], (g[1:] != g[:-1]) | (v[1:] != v[:-1])])
-                g, v = g[keep], v[keep]
                 start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
                 end = np.append(start[1:], len(g))
                 if not ends:
                     s = start[-1]
                     if len(g) - s > SHORT:
-                        long = (int(g[s]), int(v[s]))
-                        out.append((np.full(len(g) - s - 1, g[s]), np.full(len(g) - s - 1, v[s]), v[s + 1 :], True))
+                        long = (int(g[s]), int(v[s]), int(v[-1]))
+                        out.append((np.full(len(g) - s - 1, v[s]), v[s + 1 :], True))
                         held_g, held_v = g[:0], v[:0]
                     else:
                         held_g, held_v = g[s:], v[s:]
@@ -238,13 +271,14 @@ def _shared(postings: DataFrame) -> DataFrame:
                 for m in np.unique(size[(size > 1) & (size <= SHORT)]).tolist():
                     lists = v[start[size == m][:, None] + np.arange(m)]
                     i, j = np.triu_indices(m, 1)
-                    x, y = lists[:, i].ravel(), lists[:, j].ravel()
-                    out.append((None, np.maximum(x, y), np.minimum(x, y), False))
-                for s, e in zip(start[size > SHORT].tolist(), end[size > SHORT].tolist(), strict=True):
-                    out.append((np.full(e - s - 1, g[s]), np.full(e - s - 1, v[s]), v[s + 1 : e], True))
-            for gram, a, b, is_long in out:
+                    out.append((lists[:, i].ravel(), lists[:, j].ravel(), False))
+                of = size > SHORT
+                if of.any():
+                    at = np.concatenate([np.arange(x + 1, y) for x, y in zip(start[of].tolist(), end[of].tolist(), strict=True)])
+                    out.append((np.repeat(v[start[of]], size[of] - 1), v[at], True))
+            for a, b, is_long in out:
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(gram) if is_long else pa.nulls(len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["gram", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), is_long))], ["a", "b", "long"])
 
         for batch in batches:
             if batch.num_rows:
@@ -253,101 +287,171 @@ def _shared(postings: DataFrame) -> DataFrame:
         yield from flush(held_g, held_v, True)
 
     spread = postings.repartition("gram").sortWithinPartitions("gram", "node")
-    return spread.mapInArrow(run, "gram long, a long, b long")
+    return spread.mapInArrow(run, "a long, b long, long boolean")
 
 
 def _stars(postings: DataFrame) -> DataFrame:
-    """(gram, a, b) of lists of any length: a is the least node, b each other one."""
+    """(a, b, long) of lists of any length: a is the least node, b each other one."""
     least = postings.groupBy(F.col("gram").alias("_g")).agg(F.min("node").alias("a"), F.max("node").alias("_z")).where("a != _z").drop("_z")
     least = written(least, "jaccard-heads")  # so that both sides of the join are plain exchanges, which can be split where a shingle is hot
-    return postings.join(least, F.col("gram") == F.col("_g")).where("node != a").select("gram", "a", F.col("node").alias("b")).distinct()
-
-
-def _sets(texts: DataFrame, counts) -> DataFrame:
-    """(node, grams) of (text): each set once for a task, in rank order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent = set()
-        for batch in batches:
-            nodes, sets = [], []
-            for g in shingle_sets(batch.column(0)):
-                if len(g) and (node := node_of(g)) not in recent:
-                    recent.add(node)
-                    nodes.append(node)
-                    sets.append(ranked(g, counts.value).tobytes())
-            if len(recent) > 200_000:
-                recent.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "grams"])
-
-    return texts.mapInArrow(run, "node long, grams binary")
+    pairs = postings.join(least, F.col("gram") == F.col("_g")).where("node != a").select("gram", "a", F.col("node").alias("b")).distinct()
+    return pairs.select("a", "b", F.lit(True).alias("long"))
 
 
-def _alike(pairs: DataFrame, longs: DataFrame, sizes: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs (a, b) of short lists that can still be linked: by their lengths, and by how many prefix shingles they share.
+def _alike(edges: DataFrame, sizes: DataFrame, sim: Similarity) -> DataFrame:
+    """Pairs (a, b, na, nb) that can still be linked: by their lengths, and by how many prefix shingles they share.
 
-    Shingles outside both prefixes are at most the rest of the longer rest;
-    those in long lists are at most as many as either has there.
+    edges: a, b, c lists, l of them long. Shingles outside both prefixes are
+    at most the rest of the longer rest; those in long lists that a third node
+    leads are at most as many as either has there.
     """
-    shared = pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
-    hot = longs.select(F.col("b").alias("node"), "gram").unionByName(longs.select(F.col("a").alias("node"), "gram").distinct()).groupBy("node").agg(F.count("*").alias("h"))
-    info = sizes.join(hot, "node", "left").select("node", "n", F.coalesce("h", F.lit(0)).alias("h"))
+    led = edges.where("l > 0").groupBy(F.col("b").alias("_of")).agg(F.sum("l").alias("h"))
+    info = sizes.join(led, F.col("node") == F.col("_of"), "left").select("node", "n", F.coalesce("h", F.lit(0)).alias("h"))
+    shared = edges
     for side in "ab":
         shared = shared.join(info.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("h").alias(f"h{side}")), side)
     p = sim.percent
     need = F.ceil(p * (F.col("na") + F.col("nb")) / (100 + p))
     rest = F.ceil(p * F.greatest("na", "nb") / 100) - 1
     lengths = 100 * F.least("na", "nb") >= p * F.greatest("na", "nb")
-    return shared.where(lengths & (F.col("c") + F.least("ha", "hb") + rest >= need)).select("a", "b")
+    return shared.where(lengths & (F.col("c") + F.least("ha", "hb") + rest >= need)).select("a", "b", "na", "nb")
 
 
-def _compare(units: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
-    """Links (a, b) between the two sides of each unit, found by one task that holds at most two blocks of sets.
+def _sketches(members: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(node, sketch) of the chosen (node, _key)."""
+    found = members.join(chosen.select("_key"), F.col("key") == F.col("_key")).select("node", "n", "sketch")
+    return found.dropDuplicates(["node"])
 
-    units: unit, side (0 or 1; 2 is side 0 compared with itself), node, comp. Nodes of one component are not compared.
-    """
+
+def _near(pairs: DataFrame, sketches: DataFrame, sim: Similarity) -> DataFrame:
+    """Of pairs (a, b, na, nb), those (a, b) that their sketches don't tell apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, rows = None, []
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in ("na", "sa", "nb", "sb")), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([sim.may_link(*r) for r in rows], pa.bool_()))
 
-        def close() -> pa.RecordBatch:
-            parent: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while (p := parent.get(x, x)) != x:
-                    parent[x] = parent.get(p, p)
-                    x = p
-                return x
-
-            made: dict[int, tuple[Node, int, int]] = {}
-            for side, node, comp, grams in rows:
-                if node not in made:
-                    order = np.frombuffer(grams, np.uint64)
-                    made[node] = (Node(node, order, sim.prefix(len(order))), comp, side)
-            left = sorted((x for x in made.values() if x[2] != 1), key=lambda x: x[0].node)
-            right = [x for x in made.values() if x[2] == 1] if any(x[2] == 1 for x in made.values()) else None
-            out = []
-            for i, (a, ca, _) in enumerate(left):
-                for b, cb, _ in right if right is not None else left[:i]:
-                    ra, rb = root(ca), root(cb)
-                    if ra != rb and linked(a, b, sim):
-                        parent[max(ra, rb)] = min(ra, rb)
-                        out.append((a.node, b.node))
-            a, b = zip(*out, strict=True) if out else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    for side in "ab":
+        pairs = pairs.join(sketches.select(F.col("node").alias(side), F.col("sketch").alias(f"s{side}")), side)
+    return pairs.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
+
+
+def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(node, size, text) of the chosen (node, _key): the compressed text of one document each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, codec = None, pa.Codec("zstd", 1)
+        for batch in batches:
+            nodes, sizes, texts = [], [], []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if node != last:
+                    last, data = node, text.as_buffer()
+                    nodes.append(node)
+                    sizes.append(data.size)
+                    texts.append(codec.compress(data, asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(texts, pa.binary())], ["node", "size", "text"])
+
+    found = docs.join(chosen, F.col("key") == F.col("_key")).select("node", "text")
+    return found.mapInArrow(run, "node long, size long, text binary")
 
+
+def _units(units: DataFrame, run, schema: str) -> DataFrame:
+    """Runs over the rows of one unit after the other, each whole in one task."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, rows = None, []
         for batch in batches:
-            for u, side, node, comp, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for u, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if u != unit:
                     if len(rows) > 1:
-                        yield close()
+                        yield run(unit, rows)
                     unit, rows = u, []
-                rows.append((side, node, comp, grams))
+                rows.append(row)
         if len(rows) > 1:
-            yield close()
+            yield run(unit, rows)
         give_back()
 
-    full = units.join(sets, "node").select("unit", "side", "node", "comp", "grams")
-    return full.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(run, "a long, b long")
+    return units.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(walk, schema)
+
+
+def _sides(rows: list) -> tuple[list, list | None]:
+    """The two sides of a unit, each node once; no right one if the left is compared with itself. rows: side, node and others."""
+    made = {r[1]: r for r in rows}
+    left = sorted((r for r in made.values() if r[0] != 1), key=lambda r: r[1])
+    right = [r for r in made.values() if r[0] == 1]
+    return left, right or None
+
+
+def _screen(units: DataFrame, sketches: DataFrame, sim: Similarity) -> DataFrame:
+    """The rows of units whose node can be linked with one of the other side, by sizes and sketches. units: as for _compare."""
+
+    def run(unit: int, rows: list) -> pa.RecordBatch:
+        left, right = _sides(rows)
+        kept = set()
+        for i, (_, a, ca, na, sa) in enumerate(left):
+            for _, b, cb, nb, sb in right if right is not None else left[:i]:
+                if ca != cb and not (a in kept and b in kept) and sim.may_link(na, sa, nb, sb):
+                    kept |= {a, b}
+        out = [(unit, side, node, comp) for side, node, comp, _, _ in [*left, *(right or [])] if node in kept]
+        unit, side, node, comp = zip(*out, strict=True) if out else ((),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(side, pa.int32()), pa.array(node, pa.int64()), pa.array(comp, pa.int64())], ["unit", "side", "node", "comp"])
+
+    return _units(units.join(sketches, "node").select("unit", "side", "node", "comp", "n", "sketch"), run, "unit long, side int, node long, comp long")
+
+
+def _compare(units: DataFrame, texts: DataFrame, counts, sim: Similarity) -> DataFrame:
+    """Links (a, b) between the two sides of each unit, found by one task that holds at most two blocks of texts.
+
+    units: unit, side (0 or 1; 2 is side 0 compared with itself), node, comp. Nodes of one component are not compared.
+    """
+
+    def run(unit: int, rows: list) -> pa.RecordBatch:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (p := parent.get(x, x)) != x:
+                parent[x] = parent.get(p, p)
+                x = p
+            return x
+
+        def made(side: list | None) -> list | None:
+            if side is None:
+                return None
+            codec = pa.Codec("zstd")
+            whole = pa.array([codec.decompress(text, size, asbytes=True) for *_, size, text in side], pa.large_binary())
+            out = []
+            for (_, node, comp, _, _), grams in zip(side, shingle_sets(whole), strict=True):
+                out.append((Node(node, ranked(grams, counts.value), sim.prefix(len(grams))), comp))
+            return out
+
+        left, right = map(made, _sides(rows))
+        out = []
+        for i, (a, ca) in enumerate(left):
+            for b, cb in right if right is not None else left[:i]:
+                ra, rb = root(ca), root(cb)
+                if ra != rb and linked(a, b, sim):
+                    parent[max(ra, rb)] = min(ra, rb)
+                    out.append((a.node, b.node))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return _units(units.join(texts, "node").select("unit", "side", "node", "comp", "size", "text"), run, "a long, b long")
+
+
+def _star_units(pairs: DataFrame) -> DataFrame:
+    """Units of (a, b, a_comp, b_comp): each first node against its others, STAR of them at a time."""
+    big = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count("*") / STAR).alias("_blocks"))
+    sides = pairs.join(big, F.col("a") == F.col("_a")).withColumn("unit", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("_blocks"))))
+    heads = sides.select("unit", F.lit(0).alias("side"), F.col("a").alias("node"), F.col("a_comp").alias("comp")).distinct()
+    return heads.unionByName(sides.select("unit", F.lit(1).alias("side"), F.col("b").alias("node"), F.col("b_comp").alias("comp")))
+
+
+def _with_comps(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """pairs with the component of either side, which is itself if it has no link."""
+    for c in "ab":
+        of = comps.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        pairs = pairs.join(of, F.col(c) == F.col("_n"), "left").withColumn(f"{c}_comp", F.coalesce("_l", c)).drop("_n", "_l")
+    return pairs
 
 
 def components(links: DataFrame, name: str = "components", spread: bool = True) -> DataFrame:
@@ -397,38 +501,48 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[D
     sim = Similarity(percent)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _row_key(id_col, text_col).alias("key"))
     first = written(_first_pass(docs), "jaccard-first")
-    members = first.where("n is not null").select("doc_id", "key", "n", "node")
+    members = first.where("n is not null").select("doc_id", "key", "n", "node", "sketch")
     counts = spark.sparkContext.broadcast(_sum_counts(first.where("block is not null").select("block", "counts")))
 
     postings = written(_postings(docs, counts, sim), "jaccard-postings")
     cold = _shared(postings.where("not hot").select("gram", "node"))
     found = written(cold.unionByName(_stars(postings.where("hot").select("gram", "node"))), "jaccard-lists")
     discard(postings)
-    longs = found.where("gram is not null")
+    edges = written(found.groupBy("a", "b").agg(F.count("*").alias("c"), F.sum(F.col("long").cast("long")).alias("l")), "jaccard-edges")
+    discard(found)
     sizes = members.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("key").alias("key"))
-    near = written(_alike(found.where("gram is null"), longs, sizes.select("node", "n"), sim), "jaccard-near")
-    stars = near.unionByName(longs.select("a", "b").distinct()).distinct()
-    # The set of one document of each node that is compared.
-    compared = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = sizes.join(compared, "node", "left_semi").select(F.col("key").alias("_key"))
-    sets = written(_sets(docs.join(chosen, F.col("key") == F.col("_key")).select("text"), counts), "jaccard-sets")
-
-    # Each first node against its others, a block of them at a time.
-    big = stars.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count("*") / STAR).alias("_blocks"))
-    sides = stars.join(big, F.col("a") == F.col("_a")).withColumn("unit", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("_blocks"))))
-    heads = sides.select("unit", F.lit(0).alias("side"), F.col("a").alias("node"), F.col("a").alias("comp")).distinct()
-    links = written(_compare(heads.unionByName(sides.select("unit", F.lit(1).alias("side"), F.col("b").alias("node"), F.col("b").alias("comp"))), sets, sim), "jaccard-links")
-    comps = components(links, "jaccard-stars", spread=False)
 
-    # Long lists that still hold more than one component: their nodes meet again in blocks, but never two of the largest component.
-    comp_of = lambda t, c: t.join(comps.select(F.col("node").alias("_n"), F.col("label").alias(f"{c}_comp")), F.col(c) == F.col("_n"), "left").drop("_n").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
-    told = written(comp_of(comp_of(longs, "a"), "b"), "jaccard-told")
-    mixed = told.where("a_comp != b_comp").select("gram").distinct()
-    left = told.join(mixed, "gram", "left_semi")
+    def chosen(nodes: DataFrame) -> DataFrame:
+        """(node, _key) of one document of each node."""
+        return sizes.join(nodes.distinct(), "node", "left_semi").select("node", F.col("key").alias("_key"))
+
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    alike = written(_alike(edges, sizes.select("node", "n"), sim), "jaccard-alike")
+    sketches = written(_sketches(members, chosen(ends(alike))), "jaccard-sketches")
+    near = written(_near(alike, sketches, sim), "jaccard-near")
+    discard(alike, sketches)
+    texts = written(_texts(docs, chosen(ends(near))), "jaccard-texts")
+
+    # Each node against the least of the first nodes that it can be linked with; then against the others, if it is not joined with them yet.
+    least = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b", F.col("a").alias("a_comp"), F.col("b").alias("b_comp"))
+    links = written(_compare(_star_units(least), texts, counts, sim), "jaccard-links")
+    comps = components(links, "jaccard-stars", spread=False)
+    apart = written(_with_comps(near, comps).where("a_comp != b_comp"), "jaccard-apart")
+    if apart.take(1):
+        links = links.unionByName(written(_compare(_star_units(apart), texts, counts, sim), "jaccard-links"))
+        discard(comps)
+        comps = components(links, "jaccard-stars", spread=False)
+    discard(texts, near, apart)
+
+    # First nodes of long lists that still hold more than one component: their nodes meet again in blocks, but never two of the largest component.
+    told = written(_with_comps(edges.where("l > 0").select("a", "b"), comps), "jaccard-told")
+    mixed = told.where("a_comp != b_comp").select("a").distinct()
+    left = told.join(mixed, "a", "left_semi")
     inside = left.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("b_comp").alias("comp")).unionByName(left.select(F.col("a").alias("leader"), F.col("a").alias("node"), F.col("a_comp").alias("comp"))).distinct()
     inside = written(inside, "jaccard-inside")
-    sizes = inside.groupBy("leader", "comp").count()
-    shape = sizes.groupBy("leader").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n_all"))
+    discard(edges, told)
+    sketches = written(_sketches(members, chosen(inside.select("node"))), "jaccard-sketches")
+    shape = inside.groupBy("leader", "comp").count().groupBy("leader").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n_all"))
     blocks = inside.join(shape, "leader").withColumn("is_main", F.col("comp") == F.col("main"))
     n_main = F.ceil(F.col("n_main") / BLOCK).cast("int")
     n_rest = F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int")
@@ -445,10 +559,11 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[D
     )
     again = blocks.where("n_r > 0").select("leader", "node", "comp", F.explode(pairs).alias("p"))
     again = again.select(F.xxhash64("leader", "p.r", "p.kind", "p.o").alias("unit"), F.col("p.side").alias("side"), "node", "comp")
-    more = _compare(again, sets, sim)
-    links = links.unionByName(written(more, "jaccard-more"))
+    again = written(_screen(again, sketches, sim), "jaccard-units")
+    texts = written(_texts(docs, chosen(again.select("node"))), "jaccard-texts")
+    links = links.unionByName(written(_compare(again, texts, counts, sim), "jaccard-more"))
     labels = components(links, "jaccard-all", spread=False)
-    discard(sets, found)
+    discard(texts, sketches, again, inside)
     labels = labels.withColumnRenamed("node", "_node")
     marked = members.join(labels, F.col("node") == F.col("_node"), "left")
     return marked.select("doc_id", "key", "n", "node", F.coalesce("label", "node").alias("label")), links

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,36 @@ def test_many_null_ids_and_a_shared_shingle_of_unrelated_documents(spark, monkey
     assert len(rows) == 3000 and all(r.component_id == r.doc_id for r in rows)
 
 
+def test_many_near_copies_move_in_proportion_to_the_input(spark, monkeypatch):
+    rows = {}
+
+    def counted(df, name, real=jaccard.written):
+        out = real(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    rnd = random.Random(9)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(rnd.randint(60, 90))) for _ in range(100)]
+    docs = spark.createDataFrame([(1000 * k + i, f"{t} and copy number{k}" if k else t) for i, t in enumerate(texts) for k in range(12)], "doc_id long, text string").repartition(3)
+    assert all(r.component_id == r.doc_id % 1000 for r in near_duplicates(docs).collect())
+    assert rows["jaccard-lists"] <= 1.5 * rows["jaccard-postings"]
+    # Each text is compared about once, though any two of a dozen are alike.
+    assert rows["jaccard-near"] <= 3 * docs.count() and rows["jaccard-links"] <= docs.count()
+
+
+def test_sketches_never_tell_like_sets_apart():
+    rnd, sim = random.Random(2), Similarity()
+    for n in [1, 2, 5, 31, 64, 65, 100, 127, 128, 129, 300, 1000]:
+        for m in {n, max(1, n * 3 // 4), n + 1, n * 4 // 3}:
+            both = rnd.sample(range(1 << 62), n + m)
+            for shared in {min(n, m), min(n, m, sim.overlap(n, m)), 0}:
+                a, b = set(both[:n]), set(both[:shared] + both[n : n + m - shared])
+                x, y = (jaccard.sketch(np.array(sorted(v), np.uint64)) for v in (a, b))
+                assert jaccard.differ(x, y) == jaccard.differ(y, x) <= len(a ^ b)
+                assert sim.may_link(n, x, m, y) or 100 * len(a & b) < 75 * len(a | b)
+
+
 def test_links_are_true_and_join_every_component(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
