@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline
+from quarryweb.llm import jaccard
 from quarryweb.llm.decontaminate import find_contamination
 from quarryweb.llm.jaccard import near_duplicates
 from quarryweb.llm.packing import pack_documents
@@ -87,3 +88,18 @@ def test_pieces_carry_their_ids(spark):
     df = spark.createDataFrame([(1, "some words here"), (1, "some words here"), (2, None), (3, "ab " * 3000)], "doc_id long, text string")
     rows = pack_documents(df, with_ids=True).collect()
     assert all(len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in rows) and len(rows) == 5
+
+
+def test_near_duplicates_of_near_copies_write_about_a_row_for_each_posting(spark, monkeypatch):
+    rows = {}
+
+    def counted(df, name, real=jaccard.written):
+        out = real(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    docs = spark.range(480).select(F.col("id").alias("doc_id"), F.expr("concat(array_join(transform(sequence(1, 60), x -> concat('p', id % 40, 'w', x)), ' '), ' copy', id div 40)").alias("text"))
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
+    assert rows["jaccard-lists"] <= 1.5 * rows["jaccard-postings"]
