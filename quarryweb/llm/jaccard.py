@@ -15,7 +15,8 @@ What is moved stays in proportion to the input however many near copies there
 are: a list gives about a row for each of its nodes, pairs are told apart by
 small sketches before any text moves, a text moves for one pair of its node
 first and for others only if that left them apart, and texts move compressed;
-their sets are made again where they meet.
+their sets are made again where they meet. Pairs that blocks leave are told
+once however many lists they share, and the nodes of most pairs come first.
 """
 
 from __future__ import annotations
@@ -42,6 +43,10 @@ SKETCH = 1 << 16
 HOT, EVEN = 1000, 16
 #: Nodes of one side of a comparison unit, and nodes that are compared with a list's least node in one.
 BLOCK, STAR = 128, 64
+#: The most pairs that a unit gives for each of its nodes; with more, its nodes only meet as a whole.
+DENSE = 16
+#: Rounds in which each node's text moves for one pair.
+ROUNDS = 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -383,20 +388,27 @@ def _sides(rows: list) -> tuple[list, list | None]:
 
 
 def _screen(units: DataFrame, sketches: DataFrame, sim: Similarity) -> DataFrame:
-    """The rows of units whose node can be linked with one of the other side, by sizes and sketches. units: as for _compare."""
+    """What can be linked between the two sides of each unit, by sizes and sketches: (unit, side, node) of their nodes, and the pairs (node, other), but where they are many (dense). units: as for _compare."""
+    names = ["unit", "side", "node", "other", "dense"]
 
     def run(unit: int, rows: list) -> pa.RecordBatch:
         left, right = _sides(rows)
+        pairs, most = [], DENSE * (len(left) + len(right or []))
         kept = set()
         for i, (_, a, ca, na, sa) in enumerate(left):
             for _, b, cb, nb, sb in right if right is not None else left[:i]:
-                if ca != cb and not (a in kept and b in kept) and sim.may_link(na, sa, nb, sb):
+                if ca != cb and not (len(pairs) > most and a in kept and b in kept) and sim.may_link(na, sa, nb, sb):
+                    pairs.append((a, b))
                     kept |= {a, b}
-        out = [(unit, side, node, comp) for side, node, comp, _, _ in [*left, *(right or [])] if node in kept]
-        unit, side, node, comp = zip(*out, strict=True) if out else ((),) * 4
-        return pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(side, pa.int32()), pa.array(node, pa.int64()), pa.array(comp, pa.int64())], ["unit", "side", "node", "comp"])
+        dense = len(pairs) > most
+        out = [(unit, side, node, None, dense) for side, node, *_ in [*left, *(right or [])] if node in kept]
+        if not dense:
+            out += [(unit, None, a, b, dense) for a, b in pairs]
+        columns = zip(*out, strict=True) if out else ((),) * 5
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
-    return _units(units.join(sketches, "node").select("unit", "side", "node", "comp", "n", "sketch"), run, "unit long, side int, node long, comp long")
+    return _units(units.join(sketches, "node").select("unit", "side", "node", "comp", "n", "sketch"), run, "unit long, side int, node long, other long, dense boolean")
 
 
 def _compare(units: DataFrame, texts: DataFrame, counts, sim: Similarity) -> DataFrame:
@@ -454,6 +466,39 @@ def _with_comps(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs
 
 
+def _in_rounds(pairs: DataFrame, links: DataFrame | None, comps: DataFrame | None, texts: DataFrame, counts, sim: Similarity, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The links with those that pairs (a, b) add between different components, the components, and the pairs that did not meet.
+
+    In a round each node meets the one of most pairs among its others, so a
+    text moves once in it, and pairs within a component then need no more.
+    whole: what is apart after the rounds meets at once, pair by pair.
+    """
+    for last in [False] * ROUNDS + [True] * whole:
+        if comps is None:
+            apart = pairs.withColumns({"a_comp": F.col("a"), "b_comp": F.col("b")})
+        else:
+            apart = _with_comps(pairs, comps).where("a_comp != b_comp")
+        apart = written(apart, "jaccard-apart")
+        if comps is not None and not apart.take(1):
+            pairs = apart.select("a", "b")
+            break
+        degree = apart.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+        turned = apart
+        for c in "ab":
+            turned = turned.join(degree.select(F.col("node").alias(c), F.col("d").alias(f"d{c}")), c)
+        first = F.struct(F.col("da").alias("d"), F.col("a").alias("node"), F.col("a_comp").alias("comp"))
+        second = F.struct(F.col("db").alias("d"), F.col("b").alias("node"), F.col("b_comp").alias("comp"))
+        turned = written(turned.select(F.greatest(first, second).alias("x"), F.least(first, second).alias("y")), "jaccard-turned")
+        discard(apart)
+        met = turned if last else turned.groupBy("y").agg(F.max("x").alias("x"))
+        met = written(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.comp").alias("a_comp"), F.col("y.comp").alias("b_comp")), "jaccard-met")
+        more = written(_compare(_star_units(met), texts, counts, sim), "jaccard-links")
+        links = more if links is None else links.unionByName(more)
+        comps = components(links, "jaccard-stars", spread=False)
+        pairs = turned.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).join(met.select("a", "b"), ["a", "b"], "left_anti")
+    return links, comps, pairs
+
+
 def components(links: DataFrame, name: str = "components", spread: bool = True) -> DataFrame:
     """(node, label) of every node of links (a, b): label is the least node that is reachable.
 
@@ -523,16 +568,8 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[D
     discard(alike, sketches)
     texts = written(_texts(docs, chosen(ends(near))), "jaccard-texts")
 
-    # Each node against the least of the first nodes that it can be linked with; then against the others, if it is not joined with them yet.
-    least = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b", F.col("a").alias("a_comp"), F.col("b").alias("b_comp"))
-    links = written(_compare(_star_units(least), texts, counts, sim), "jaccard-links")
-    comps = components(links, "jaccard-stars", spread=False)
-    apart = written(_with_comps(near, comps).where("a_comp != b_comp"), "jaccard-apart")
-    if apart.take(1):
-        links = links.unionByName(written(_compare(_star_units(apart), texts, counts, sim), "jaccard-links"))
-        discard(comps)
-        comps = components(links, "jaccard-stars", spread=False)
-    discard(texts, near, apart)
+    links, comps, _ = _in_rounds(near, None, None, texts, counts, sim, True)
+    discard(texts, near)
 
     # First nodes of long lists that still hold more than one component: their nodes meet again in blocks, but never two of the largest component.
     told = written(_with_comps(edges.where("l > 0").select("a", "b"), comps), "jaccard-told")
@@ -560,8 +597,17 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[D
     again = blocks.where("n_r > 0").select("leader", "node", "comp", F.explode(pairs).alias("p"))
     again = again.select(F.xxhash64("leader", "p.r", "p.kind", "p.o").alias("unit"), F.col("p.side").alias("side"), "node", "comp")
     again = written(_screen(again, sketches, sim), "jaccard-units")
-    texts = written(_texts(docs, chosen(again.select("node"))), "jaccard-texts")
-    links = links.unionByName(written(_compare(again, texts, counts, sim), "jaccard-more"))
+    pairs = again.where("other is not null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    nodes = again.where("other is null")
+    texts = written(_texts(docs, chosen(nodes.select("node"))), "jaccard-texts")
+    links, comps, pairs = _in_rounds(pairs, links, comps, texts, counts, sim, False)
+    # What did not meet yet, and all of dense units, meet unit by unit where they hold more than one component.
+    apart = _with_comps(pairs, comps).where("a_comp != b_comp")
+    open_ = nodes.join(ends(apart).distinct(), "node", "left_semi").unionByName(nodes.where("dense")).select("unit", "side", "node").distinct()
+    open_ = open_.join(comps.select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"), "left").select("unit", "side", "node", F.coalesce("label", "node").alias("comp"))
+    open_ = written(open_, "jaccard-open")
+    mixed = open_.groupBy(F.col("unit").alias("_u")).agg(F.min("comp").alias("_least"), F.max("comp").alias("_most")).where("_least != _most")
+    links = links.unionByName(written(_compare(open_.join(mixed, F.col("unit") == F.col("_u"), "left_semi"), texts, counts, sim), "jaccard-more"))
     labels = components(links, "jaccard-all", spread=False)
     discard(texts, sketches, again, inside)
     labels = labels.withColumnRenamed("node", "_node")

@@ -183,3 +183,26 @@ def test_similarity_bounds():
         for b in range(1, 40):
             for shared in range(min(a, b) + 1):
                 assert (100 * shared >= 75 * (a + b - shared)) == (shared >= sim.overlap(a, b))
+
+
+def test_edited_copies_move_their_texts_a_few_times(spark, monkeypatch):
+    """Copies with other words here and there are linked with the first text, but not with each other, and share lists that many of them lead."""
+    r, rows = random.Random(5), []
+    for g in range(4):
+        words = [f"w{g}_{i}" for i in range(400)]
+        rows.append((g * 100, " ".join(words)))
+        for k in range(1, 24):
+            rows.append((g * 100 + k, " ".join(f"q{g}_{k}_{i}" if r.random() < 1 / 45 else w for i, w in enumerate(words))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    moved, compare = [], jaccard._compare
+    monkeypatch.setattr(jaccard, "_compare", lambda units, *a: moved.append(units.count()) or compare(units, *a))
+    found = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(396)} for i, t in rows}
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if c == high else c for i, c in label.items()}
+    assert found == label
+    assert sum(moved) <= 4 * len(rows)
