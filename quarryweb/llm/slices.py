@@ -53,13 +53,23 @@ def blobs(kind: int, key: np.ndarray, columns: list[np.ndarray], slices: int) ->
             yield row(int(of[a]), kind, pack(key[at], *[c[at] for c in columns]))
 
 
-def grouped(key: np.ndarray, count: np.ndarray | None, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Sorted different keys, their counts (or the sums of `count`), and others of one of each."""
+def gathered(parts: list[list[np.ndarray]], counted: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Sorted different keys, their counts (or the sums of the counts), and others of one of each, of parts (key, count if counted, others); empties parts, and joins one column at a time, so that memory is not held twice."""
+    columns = [list(c) for c in zip(*parts, strict=True)]
+    parts.clear()
+    key = np.concatenate(columns.pop(0))
     order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    sums = np.diff(np.append(first, len(key))) if count is None else np.add.reduceat(count[order], first) if len(first) else count
-    return key[first], sums, [x[order[first]] for x in others]
+    size, key = len(key), key[first]
+    if counted:
+        count = np.concatenate(columns.pop(0))
+        sums = np.add.reduceat(count[order], first) if size else count
+        del count
+    else:
+        sums = np.diff(np.append(first, size))
+    order = order[first]
+    return key, sums, [np.concatenate(columns.pop(0))[order] for _ in range(len(columns))]
 
 
 def segment(keys: np.ndarray, part: int, slices: int) -> tuple[int, np.ndarray]:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryweb.llm.common import bounded_batches, discard, free_name, give_back, id_fold, table, written
-from quarryweb.llm.slices import ENTRIES, ROW, blobs, by_part, dealt, filter_of, grouped, may_have, pack, row, segment, slice_of, unpack
+from quarryweb.llm.slices import ENTRIES, ROW, blobs, by_part, dealt, filter_of, gathered, may_have, pack, row, segment, slice_of, unpack
 from quarryweb.llm.words import PIECE, hashed_words, word_hash
 
 #: The most words of a context.
@@ -107,9 +107,7 @@ def _counted(texts: DataFrame, depths: range, slices: int, known) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             for depth, parts in held.items():
                 if parts:
-                    key, *rest = map(np.concatenate, zip(*parts, strict=True))
-                    parts.clear()
-                    key, count, rest = grouped(key, None, rest)
+                    key, count, rest = gathered(parts, False)
                     yield from blobs(depth, key, [count, *rest], slices)
 
         for batch in batches:
@@ -144,14 +142,9 @@ def _counted(texts: DataFrame, depths: range, slices: int, known) -> DataFrame:
         held: dict[int, list] = {}  # by depth: what is not added up, its size, and how large that may be
         at = None
 
-        def add(depth: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-            key, count, *rest = map(np.concatenate, zip(*held[depth][0], strict=True))
-            return grouped(key, count, rest)
-
         def close() -> Iterator[pa.RecordBatch]:
             for depth in sorted(held):
-                key, count, rest = add(depth)
-                del held[depth]
+                key, count, rest = gathered(held.pop(depth)[0], True)
                 if depth:
                     often = count >= LEAST
                     key, count, rest = key[often], count[often], [x[often] for x in rest]
@@ -175,7 +168,7 @@ def _counted(texts: DataFrame, depths: range, slices: int, known) -> DataFrame:
             of[0].append(unpack(data, "ui" + "u" * min(2, depth)))
             of[1] += len(of[0][-1][0])
             if of[1] > of[2]:
-                key, count, rest = add(depth)
+                key, count, rest = gathered(of[0], True)
                 of[:] = [[[key, count, *rest]], 0, max(GATHERED, len(key))]
         yield from close()
         give_back()

@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryweb.llm import suffix_tree
+from quarryweb.llm.slices import gathered
 from quarryweb.llm.suffix_tree import END, START, last_word, longer, op3_lm_scoring, score_texts, train, words_in
 from quarryweb.llm.words import word_hash
 
@@ -143,3 +145,22 @@ def test_repeated_pairs_count_in_a_large_corpus(spark):
     tree = train(filler.union(rare))
     row = score_texts(rare.limit(1), tree).first()
     assert row.score > row.base_score + 5
+
+
+def test_gathering_does_not_hold_columns_twice():
+    rng = np.random.default_rng(5)
+    n = 250_000
+    parts = []
+    for _ in range(8):
+        key = rng.integers(0, n, n).astype(np.uint64)
+        parts.append([key, np.ones(n, np.int64), key + np.uint64(1), key + np.uint64(2)])
+    want = Counter(np.concatenate([p[0] for p in parts]).tolist())
+    tracemalloc.start()
+    held = [[x.copy() for x in p] for p in parts]
+    before = tracemalloc.get_traced_memory()[0]
+    key, count, (one, two) = gathered(held, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert dict(zip(key.tolist(), count.tolist(), strict=True)) == want and key.tolist() == sorted(want)
+    assert (one == key + np.uint64(1)).all() and (two == key + np.uint64(2)).all()
+    assert not held and peak < 1.6 * before
