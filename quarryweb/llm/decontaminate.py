@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryweb.llm.common import ascii_lower, table
+from quarryweb.llm.common import ascii_lower, bloom, table
 
 WINDOW = 10
 #: The most windows whose hash set travels with the plan (some 2 MB); beyond it a filter of BLOOM_BITS at most and a shuffle of what passes it.
 SENT_WINDOWS = 250_000
-BLOOM_BITS = 1 << 25
 #: Everything but digits, lower-case letters and non-ASCII characters parts words (after lower-casing).
 _APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -45,22 +43,6 @@ def _in_set(hashed: DataFrame) -> Callable[[Column], Column]:
     return lambda x: Column(x._jc.isInCollection(values))
 
 
-def _bloom(hashed: DataFrame, n: int) -> Callable[[Column], Column]:
-    """Tests two bits of a hash in a filter of 16 bits a hash, but BLOOM_BITS at most; nothing in `hashed` fails."""
-    size = max(64, min(BLOOM_BITS, 1 << math.ceil(math.log2(16 * n))))
-    bits = lambda h: (h.bitwiseAND(size - 1), F.shiftrightunsigned(h, 32).bitwiseAND(size - 1))
-    words = hashed.select(F.explode(F.array(*bits(F.col("hash")))).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-    every = hashed.sparkSession.range(size // 64).join(words, F.col("id") == F.col("at"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    table_ = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits"))
-
-    def may(h: Column) -> Column:
-        one, two = bits(h)
-        bit = lambda b: F.get(table_.scalar(), F.shiftright(b, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(63).cast("int"))) != 0
-        return bit(one) & bit(two)
-
-    return may
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row for each row of docs: id_col, text_hash, n_words, n_hit, items (sorted as strings), hit_runs.
 
@@ -97,7 +79,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         out = keyed.select("_id", "_hash", "_n", F.explode(F.concat(F.array(mark), F.transform(windows, named))).alias("_x"))
     else:
         listed = keyed.select("_id", "_hash", F.explode(windows).alias("_x"))
-        near = listed.where(_bloom(hashed, sum(sizes.values()))(F.col("_x.hash"))).join(hashed, F.col("_x.hash") == F.col("hash"), "left_semi")
+        near = listed.where(bloom(hashed, sum(sizes.values()))(F.col("_x.hash"))).join(hashed, F.col("_x.hash") == F.col("hash"), "left_semi")
         places = near.groupBy(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2")).agg(F.collect_set("_x").alias("_all"))
         again = base.join(places, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))).dropDuplicates(["_id", "_hash"])
         out = again.select("_id", "_hash", "_n", F.explode(F.transform("_all", named)).alias("_x"))

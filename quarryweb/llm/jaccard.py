@@ -21,6 +21,7 @@ once however many lists they share, and the nodes of most pairs come first.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryweb.llm.common import bounded_batches, discard, free_name, give_back, table, written
+from quarryweb.llm.common import bloom, bounded_batches, discard, free_name, give_back, table, written
 from quarryweb.llm.words import hashed_words
 
 WORDS = 5
@@ -43,8 +44,10 @@ SKETCH = 1 << 16
 HOT, EVEN = 1000, 16
 #: Nodes of one side of a comparison unit, and nodes that are compared with a list's least node in one.
 BLOCK, STAR = 128, 64
-#: The most pairs that a unit gives for each of its nodes; with more, its nodes only meet as a whole.
-DENSE = 16
+#: The most pairs that a unit gives for each of its nodes; with more, it gives each node's nearest one, and what is then still apart meets as a whole.
+DENSE = 1
+#: Rows of postings and bytes of texts that are dealt out at once if they are more, but SLICES times at most, so that shuffle files are a part of the table only.
+SLICE_ROWS, SLICE_BYTES, SLICES = 1 << 25, 1 << 28, 8
 #: Rounds in which each node's text moves for one pair.
 ROUNDS = 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -122,7 +125,11 @@ class Similarity:
 
     def may_link(self, a: int, x: bytes, b: int, y: bytes) -> bool:
         """Whether sets of a and b members with sketches x and y can be linked."""
-        return self.lengths(a, b) and differ(x, y) <= a + b - 2 * self.overlap(a, b)
+        return self.lengths(a, b) and differ(x, y) <= self.room(a, b)
+
+    def room(self, a: int, b: int) -> int:
+        """The most shingles that linked sets of a and b members differ in."""
+        return a + b - 2 * self.overlap(a, b)
 
 
 class Node:
@@ -342,22 +349,33 @@ def _near(pairs: DataFrame, sketches: DataFrame, sim: Similarity) -> DataFrame:
 
 
 def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(node, size, text) of the chosen (node, _key): the compressed text of one document each."""
+    """(node, size, text): the compressed text of one document, or of a few, of each chosen (node, _key).
+
+    No text is shuffled: a filter of the keys tells which documents are taken,
+    and their nodes are made again. What it takes besides has the node of its
+    own text, so it is a copy or is not asked for.
+    """
+    keys = written(chosen.select(F.col("_key").alias("hash")), "jaccard-keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, codec = None, pa.Codec("zstd", 1)
+        recent, codec = set(), pa.Codec("zstd", 1)
         for batch in batches:
             nodes, sizes, texts = [], [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if node != last:
-                    last, data = node, text.as_buffer()
+            for grams, text in zip(shingle_sets(batch.column(0)), batch.column(0), strict=True):
+                if len(grams) and (node := node_of(grams)) not in recent:
+                    recent.add(node)
+                    data = text.as_buffer()
                     nodes.append(node)
                     sizes.append(data.size)
                     texts.append(codec.compress(data, asbytes=True))
+            if len(recent) > 200_000:
+                recent.clear()
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(texts, pa.binary())], ["node", "size", "text"])
 
-    found = docs.join(chosen, F.col("key") == F.col("_key")).select("node", "text")
-    return found.mapInArrow(run, "node long, size long, text binary")
+    found = docs.where(bloom(keys, keys.count())(F.col("key"))).select("text")
+    found = written(found.mapInArrow(run, "node long, size long, text binary"), "jaccard-texts")
+    discard(keys)
+    return found
 
 
 def _units(units: DataFrame, run, schema: str) -> DataFrame:
@@ -388,27 +406,36 @@ def _sides(rows: list) -> tuple[list, list | None]:
 
 
 def _screen(units: DataFrame, sketches: DataFrame, sim: Similarity) -> DataFrame:
-    """What can be linked between the two sides of each unit, by sizes and sketches: (unit, side, node) of their nodes, and the pairs (node, other), but where they are many (dense). units: as for _compare."""
-    names = ["unit", "side", "node", "other", "dense"]
+    """What can be linked between the two sides of each unit, by sizes and sketches: (unit, side, node) of their nodes, and pairs (node, other) with how far they are apart. units: as for _compare.
+
+    A unit with more than DENSE pairs for each node (dense) gives each node's
+    nearest one only, so rows stay in proportion to nodes.
+    """
+    names = ["unit", "side", "node", "other", "far", "dense"]
 
     def run(unit: int, rows: list) -> pa.RecordBatch:
         left, right = _sides(rows)
-        pairs, most = [], DENSE * (len(left) + len(right or []))
-        kept = set()
+        pairs, nearest, n = {}, {}, 0
+        most = DENSE * (len(left) + len(right or []))
         for i, (_, a, ca, na, sa) in enumerate(left):
             for _, b, cb, nb, sb in right if right is not None else left[:i]:
-                if ca != cb and not (len(pairs) > most and a in kept and b in kept) and sim.may_link(na, sa, nb, sb):
-                    pairs.append((a, b))
-                    kept |= {a, b}
-        dense = len(pairs) > most
-        out = [(unit, side, node, None, dense) for side, node, *_ in [*left, *(right or [])] if node in kept]
-        if not dense:
-            out += [(unit, None, a, b, dense) for a, b in pairs]
-        columns = zip(*out, strict=True) if out else ((),) * 5
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+                if ca == cb or not sim.lengths(na, nb) or (d := differ(sa, sb)) > (room := sim.room(na, nb)):
+                    continue
+                n, far = n + 1, d / max(room, 1)
+                if n <= most:
+                    pairs[a, b] = far
+                for x, y in ((a, b), (b, a)):
+                    if x not in nearest or (far, y) < nearest[x]:
+                        nearest[x] = (far, y)
+        if dense := n > most:
+            pairs = {(min(x, y), max(x, y)): far for x, (far, y) in nearest.items()}
+        out = [(unit, side, node, None, None, dense) for side, node, *_ in [*left, *(right or [])] if node in nearest]
+        out += [(unit, None, a, b, far, dense) for (a, b), far in pairs.items()]
+        columns = zip(*out, strict=True) if out else ((),) * 6
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
-    return _units(units.join(sketches, "node").select("unit", "side", "node", "comp", "n", "sketch"), run, "unit long, side int, node long, other long, dense boolean")
+    return _units(units.join(sketches, "node").select("unit", "side", "node", "comp", "n", "sketch"), run, "unit long, side int, node long, other long, far double, dense boolean")
 
 
 def _compare(units: DataFrame, texts: DataFrame, counts, sim: Similarity) -> DataFrame:
@@ -450,6 +477,22 @@ def _compare(units: DataFrame, texts: DataFrame, counts, sim: Similarity) -> Dat
     return _units(units.join(texts, "node").select("unit", "side", "node", "comp", "size", "text"), run, "a long, b long")
 
 
+def _in_slices(units: DataFrame, rows: int, texts: DataFrame, counts, sim: Similarity, name: str) -> DataFrame:
+    """The links of _compare as a table; where units have many rows, a part of the units and of the texts moves at a time."""
+    size = texts.agg(F.avg("size")).first()[0] or 0
+    slices = max(1, min(SLICES, math.ceil(rows * size / SLICE_BYTES)))
+    if slices == 1:
+        return written(_compare(units, texts, counts, sim), name)
+    out = None
+    for k in range(slices):
+        some = written(units.where(F.pmod("unit", F.lit(slices)) == k), "jaccard-slice")
+        near = texts.where(bloom(some.select(F.col("node").alias("hash")), some.count())(F.col("node")))
+        part = written(_compare(some, near, counts, sim), name)
+        discard(some)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _star_units(pairs: DataFrame) -> DataFrame:
     """Units of (a, b, a_comp, b_comp): each first node against its others, STAR of them at a time."""
     big = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count("*") / STAR).alias("_blocks"))
@@ -492,7 +535,7 @@ def _in_rounds(pairs: DataFrame, links: DataFrame | None, comps: DataFrame | Non
         discard(apart)
         met = turned if last else turned.groupBy("y").agg(F.max("x").alias("x"))
         met = written(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.comp").alias("a_comp"), F.col("y.comp").alias("b_comp")), "jaccard-met")
-        more = written(_compare(_star_units(met), texts, counts, sim), "jaccard-links")
+        more = _in_slices(_star_units(met), 2 * met.count(), texts, counts, sim, "jaccard-links")
         links = more if links is None else links.unionByName(more)
         comps = components(links, "jaccard-stars", spread=False)
         pairs = turned.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).join(met.select("a", "b"), ["a", "b"], "left_anti")
@@ -550,8 +593,11 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[D
     counts = spark.sparkContext.broadcast(_sum_counts(first.where("block is not null").select("block", "counts")))
 
     postings = written(_postings(docs, counts, sim), "jaccard-postings")
-    cold = _shared(postings.where("not hot").select("gram", "node"))
-    found = written(cold.unionByName(_stars(postings.where("hot").select("gram", "node"))), "jaccard-lists")
+    found = written(_stars(postings.where("hot").select("gram", "node")), "jaccard-hot")
+    slices = max(1, min(SLICES, math.ceil(postings.count() / SLICE_ROWS)))
+    for k in range(slices):
+        cold = postings.where("not hot").where(F.pmod("gram", F.lit(slices)) == k).select("gram", "node")
+        found = found.unionByName(written(_shared(cold), "jaccard-lists"))
     discard(postings)
     edges = written(found.groupBy("a", "b").agg(F.count("*").alias("c"), F.sum(F.col("long").cast("long")).alias("l")), "jaccard-edges")
     discard(found)
@@ -566,7 +612,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[D
     sketches = written(_sketches(members, chosen(ends(alike))), "jaccard-sketches")
     near = written(_near(alike, sketches, sim), "jaccard-near")
     discard(alike, sketches)
-    texts = written(_texts(docs, chosen(ends(near))), "jaccard-texts")
+    texts = _texts(docs, chosen(ends(near)))
 
     links, comps, _ = _in_rounds(near, None, None, texts, counts, sim, True)
     discard(texts, near)
@@ -597,19 +643,25 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[D
     again = blocks.where("n_r > 0").select("leader", "node", "comp", F.explode(pairs).alias("p"))
     again = again.select(F.xxhash64("leader", "p.r", "p.kind", "p.o").alias("unit"), F.col("p.side").alias("side"), "node", "comp")
     again = written(_screen(again, sketches, sim), "jaccard-units")
-    pairs = again.where("other is not null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    pairs = again.where("other is not null").groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.min("far").alias("far"))
+    pairs = written(pairs, "jaccard-pairs")
     nodes = again.where("other is null")
-    texts = written(_texts(docs, chosen(nodes.select("node"))), "jaccard-texts")
-    links, comps, pairs = _in_rounds(pairs, links, comps, texts, counts, sim, False)
-    # What did not meet yet, and all of dense units, meet unit by unit where they hold more than one component.
-    apart = _with_comps(pairs, comps).where("a_comp != b_comp")
-    open_ = nodes.join(ends(apart).distinct(), "node", "left_semi").unionByName(nodes.where("dense")).select("unit", "side", "node").distinct()
-    open_ = open_.join(comps.select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"), "left").select("unit", "side", "node", F.coalesce("label", "node").alias("comp"))
-    open_ = written(open_, "jaccard-open")
-    mixed = open_.groupBy(F.col("unit").alias("_u")).agg(F.min("comp").alias("_least"), F.max("comp").alias("_most")).where("_least != _most")
-    links = links.unionByName(written(_compare(open_.join(mixed, F.col("unit") == F.col("_u"), "left_semi"), texts, counts, sim), "jaccard-more"))
+    texts = _texts(docs, chosen(nodes.select("node")))
+    # Each node meets its nearest one over all units first; these pairs are no more than the nodes.
+    sides = pairs.select("a", "b", "far", F.explode(F.array("a", "b")).alias("node"))
+    nearest = sides.groupBy("node").agg(F.min_by(F.struct("a", "b"), F.struct("far", "a", "b")).alias("p")).select("p.*").distinct()
+    nearest = written(nearest, "jaccard-nearest")
+    links, comps, _ = _in_rounds(nearest, links, comps, texts, counts, sim, True)
+    # What did not meet yet meets unit by unit where it can still join components; of dense units, not all pairs are known.
+    apart = _with_comps(pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti"), comps).where("a_comp != b_comp")
+    now = lambda df: df.join(comps.select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"), "left").select("unit", "side", "node", F.coalesce("label", "node").alias("comp"))
+    mixed = lambda df: df.join(df.groupBy(F.col("unit").alias("_u")).agg(F.min("comp").alias("_least"), F.max("comp").alias("_most")).where("_least != _most"), F.col("unit") == F.col("_u"), "left_semi")
+    dense = written(now(nodes.where("dense").select("unit", "side", "node")), "jaccard-dense")
+    dense = written(_screen(mixed(dense), sketches, sim).where("other is null").select("unit", "side", "node"), "jaccard-dense")
+    open_ = written(now(nodes.where("not dense").select("unit", "side", "node").join(ends(apart).distinct(), "node", "left_semi").unionByName(dense)), "jaccard-open")
+    links = links.unionByName(_in_slices(mixed(open_), open_.count(), texts, counts, sim, "jaccard-more"))
     labels = components(links, "jaccard-all", spread=False)
-    discard(texts, sketches, again, inside)
+    discard(texts, sketches, again, inside, pairs)
     labels = labels.withColumnRenamed("node", "_node")
     marked = members.join(labels, F.col("node") == F.col("_node"), "left")
     return marked.select("doc_id", "key", "n", "node", F.coalesce("label", "node").alias("label")), links
@@ -661,9 +713,10 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     ids = written(ids, "jaccard-least")
     first = found.join(ids, (F.col("label") == F.col("_l")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     kept = written(first.groupBy("label").agg(F.min("key").alias("_kept")).select("_kept"), "jaccard-kept")
+    may = bloom(kept.select(F.col("_kept").alias("hash")), kept.count())  # before whole rows are shuffled
     key = free_name(df, "_key")
     words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    one = df.where(words).withColumn(key, _row_key(id_col, text_col)).join(kept, F.col(key) == F.col("_kept"), "left_semi")
+    one = df.where(words).withColumn(key, _row_key(id_col, text_col)).where(may(F.col(key))).join(kept, F.col(key) == F.col("_kept"), "left_semi")
     return one.dropDuplicates([key]).drop(key).unionByName(df.where(~words))
 
 

@@ -206,3 +206,37 @@ def test_edited_copies_move_their_texts_a_few_times(spark, monkeypatch):
                 label = {i: low if c == high else c for i, c in label.items()}
     assert found == label
     assert sum(moved) <= 4 * len(rows)
+
+
+def test_many_unlinked_texts_that_sketches_do_not_tell_apart_give_few_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rows = []
+
+    def counted(df, name, real=jaccard.written):
+        out = real(df, name)
+        rows.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    r, texts = random.Random(7), []
+    for i in range(60):  # any two differ in 60 of 196 shingles or a few less, linked ones in 56 at most
+        places = {10 + 60 * k + 5 * r.randrange(11) for k in range(3)}
+        texts.append((i, " ".join(f"own{i}_{k}" if k in places else f"w{k}" for k in range(200))))
+    found = near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
+    assert got(found) == brute(texts)
+    names = [name for name, _ in rows]
+    met = [n for name, n in rows[names.index("jaccard-units") :] if name == "jaccard-apart"]
+    assert met and max(met) <= 2 * len(texts)
+
+
+def test_texts_are_fetched_without_a_join(spark, monkeypatch):
+    plans = {}
+
+    def seen(df, name, real=jaccard.written):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return real(df, name)
+
+    monkeypatch.setattr(jaccard, "written", seen)
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.expr("concat(array_join(transform(sequence(1, 60), x -> concat('p', id % 20, 'w', x)), ' '), ' copy', id)").alias("text"))
+    assert deduplicate(docs).count() == 20
+    assert plans["jaccard-texts"] == 1
